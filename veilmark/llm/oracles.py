@@ -6,9 +6,9 @@ _ALNUM = r"regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRST
 DECONTAMINATION = rf"""
 WITH d AS (SELECT doc_id, {_ALNUM.format('text')} AS w FROM documents),
 b AS (SELECT item_id, {_ALNUM.format('text')} AS w FROM benchmark),
-i AS (SELECT item_id, least(len(w), 5) AS k, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), p -> array_to_string(w[p:p + 4], ' ')))) AS g FROM b WHERE len(w) > 0),
+i AS (SELECT item_id, least(len(w), 5) AS k, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda p: array_to_string(w[p:p + 4], ' ')))) AS g FROM b WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY ALL),
-s AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), p -> array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+s AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS g FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
 SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
 FROM s JOIN i USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_item HAVING 5 * count(*) >= 4 * n_item
 """
