@@ -1,9 +1,298 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the documents and the identity cards derived from ``customer``."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import rules
+from ..functions.scalars import confidence_label, first_match, lookup, mask, mask_display, risk_label
+from ..operators import classify, detect, fuzzy, geometry, history, policy
+from ..sources import tables as T
+
+Query = Callable[[SparkSession, str], DataFrame]
+PAGE = (800, 1200)
+
+
+def _detect(field: str, pattern: str, cards_only: bool) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = T.texts(spark, sf_dir)
+        rows = rows.where("src = 'card'") if cards_only else rows
+        found = F.filter(F.array(F.struct(first_match(F.col("text"), pattern).alias("value"))), lambda x: x["value"].isNotNull())
+        return rows.select("src", "doc_id", F.inline(found))
+
+    query.__name__ = f"detect_{field}"
+    return query
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.universal_scan(T.texts(spark, sf_dir))
+
+
+def universal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scanned(spark, sf_dir).select("src", "doc_id", F.inline("fields"))
+    return rows.select("src", "doc_id", "field_name", "value", F.col("weight").cast("long").alias("weight"), "confidence")
+
+
+def scan_text_pei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No field is needed for any purpose here, so the score is 0 or 100."""
+    n = F.size("fields").cast("long")
+    return _scanned(spark, sf_dir).select("src", "doc_id", n.alias("n_fields"), F.when(n > 0, 100.0).otherwise(0.0).alias("pei_before"))
+
+
+def scan_text_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).select("src", "doc_id", F.md5(detect.highlight(F.coalesce("text", F.lit("")), F.col("fields"))).alias("highlight_md5"))
+
+
+def docs_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = universal_scan(spark, sf_dir)
+    return T.texts(spark, sf_dir).select("src", "doc_id").join(found, ["src", "doc_id"], "left_semi")
+
+
+def docs_without_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = universal_scan(spark, sf_dir)
+    return T.texts(spark, sf_dir).select("src", "doc_id").join(found, ["src", "doc_id"], "left_anti")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.classify(T.id_cards(spark, sf_dir))
+
+
+def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.id_cards(spark, sf_dir).select("doc_id", *[s.alias(f"score_{k}") for k, s in classify.keyword_scores(F.col("text")).items()])
+
+
+def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).select("doc_id", "true_type", "document_type", "type_confidence")
+
+
+def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _classified(spark, sf_dir)
+    return rows.groupBy("document_type").agg(F.count("*").alias("n"), F.avg((F.col("document_type") == F.col("true_type")).cast("double")).alias("accuracy"))
+
+
+def type_context_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir).rollup("document_type", "context").agg(F.count("*").alias("n"))
+
+
+def mrz_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.id_cards(spark, sf_dir).select("doc_id", detect.parse_mrz(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.inline(F.filter(F.array("m"), lambda m: m.isNotNull())))
+
+
+def anchored_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers glued to their label, which only the anchored search finds."""
+    glued = F.replace("text", F.lit("Number "), F.lit("Number"))
+    rows = T.id_cards(spark, sf_dir).where("true_type = 'pan'").select("doc_id", glued.alias("text"))
+    return rows.select("doc_id", first_match(F.col("text"), rules.PAN).alias("exact"), detect.anchored_match(F.col("text"), rules.PAN, ["permanent account number", "pan", "income tax"]).alias("anchored"))
+
+
+def keyword_anchor_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.id_cards(spark, sf_dir).select("doc_id", detect.anchored_words(F.col("text"), "name", ["name", "नाम"]).alias("name"))
+
+
+def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of the identity cards' words."""
+    rows = fuzzy.window_candidates(T.id_cards(spark, sf_dir))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), "candidate")
+
+
+def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate matches of the Aadhaar, PAN and EPIC templates in the cards and in literal fixtures."""
+    fixtures = spark.sql("SELECT * FROM VALUES (-1L, '00000000000'), (-2L, '0000000000000'), (-3L, 'AAA0-97'), (-4L, 'ABCDE1234F'), (-5L, CAST(NULL AS STRING)) AS t(doc_id, text)")
+    rows = T.id_cards(spark, sf_dir).select("doc_id", "text").unionByName(fixtures)
+    tried = F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(rules.TEMPLATES[p]).alias("template"), F.lit(t).alias("threshold")) for n, p, t in (("aadhaar", rules.AADHAAR, 85.0), ("pan", rules.PAN, 88.0), ("epic", rules.EPIC, 80.0))])
+    rows = rows.select("doc_id", "text", F.inline(tried)).withColumn("best", fuzzy.fuzzy_match("text", "template", "threshold"))
+    return rows.where("best.value is not null").select("doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.extract_fields(_classified(spark, sf_dir).drop("true_type", "type_confidence"))
+
+
+def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", "document_type", "field_name", "value", "confidence", "method", "needs_review")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.with_necessity(_fields(spark, sf_dir)).withColumn("decision", policy.default_decision())
+
+
+def necessity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.necessity(spark)
+
+
+def necessity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("doc_id", "field_name", "context", "required")
+
+
+def excess_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy("doc_id").agg(F.count_if(~F.col("required")).alias("n_excess"), F.count_if("required").alias("n_required"), F.count("*").alias("n_fields"))
+
+
+def default_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("doc_id", "field_name", "decision")
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submitted decisions, by arithmetic on the key; about a quarter of the fields has none."""
+    rows = _fields(spark, sf_dir).select("doc_id", "field_name", ((F.col("doc_id") + F.length("field_name")) % 4).alias("k")).where("k < 3")
+    return rows.select("doc_id", "field_name", F.when(F.col("k") == 0, "redact").when(F.col("k") == 1, "mask").otherwise("allow").alias("decision"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.apply_decisions(_judged(spark, sf_dir), _decisions(spark, sf_dir), ["doc_id"])
+
+
+def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir).select("doc_id", "field_name", "submitted", "applied")
+
+
+def _with_all(spark: SparkSession, sf_dir: str, scores: DataFrame, *names: str) -> DataFrame:
+    rows = T.id_cards(spark, sf_dir).select("doc_id", "context").join(scores, "doc_id", "left")
+    return rows.select("doc_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
+def pei_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_all(spark, sf_dir, policy.exposure(_judged(spark, sf_dir), ["doc_id"], "pei_before"), "pei_before")
+
+
+def pei_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_all(spark, sf_dir, policy.exposure(_decided(spark, sf_dir), ["doc_id"], "pei_after", policy.exposed_after()), "pei_after")
+
+
+def pei_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir)
+    return rows.groupBy("doc_id").agg(*[F.least(F.sum(policy.projected(a)), F.lit(100)).cast("double").alias(n) for n, a in (("pei_projected_required", False), ("pei_projected_decisions", True))])
+
+
+def pei_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pei_before(spark, sf_dir).join(pei_after(spark, sf_dir), "doc_id")
+    return both.select("doc_id", policy.reduction(F.col("pei_before"), F.col("pei_after")).alias("reduction"))
+
+
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", "field_name", policy.explanation().alias("explanation"))
+
+
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", "field_name", mask(F.col("value")).alias("masked"), mask_display(F.col("value")).alias("displayed"))
+
+
+def needs_review_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).groupBy("doc_id").agg(F.count_if("needs_review").alias("n_review"))
+
+
+def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fields(spark, sf_dir).select("doc_id", "field_name", confidence_label(F.col("confidence")).alias("confidence_label"), risk_label(F.col("weight") * 10).alias("field_risk"))
+
+
+def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("weight")), F.sum("weight")), F.lit(0.0))
+    return _fields(spark, sf_dir).groupBy("doc_id").agg(F.round(score, 9).alias("weighted_confidence"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = _judged(spark, sf_dir).where("method <> 'image'").select("doc_id", "field_name", "value", "decision")
+    return geometry.value_boxes(geometry.layout_words(T.id_cards(spark, sf_dir)), values, ["doc_id"])
+
+
+def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(spark, sf_dir).select("doc_id", "field_name", "bbox.x", "bbox.y", "bbox.width", "bbox.height")
+
+
+def bbox_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = geometry.normalise(F.col("bbox"), F.lit(PAGE[0]), F.lit(PAGE[1]))
+    return _boxes(spark, sf_dir).select("doc_id", "field_name", scaled.alias("b")).select("doc_id", "field_name", "b.*")
+
+
+def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corners = geometry.pad_clamp(F.col("bbox"), F.lit(PAGE[0]), F.lit(PAGE[1]))
+    rows = _boxes(spark, sf_dir).select("doc_id", "field_name", geometry.painted(corners, F.col("decision")).alias("p"))
+    return rows.where("p is not null").select("doc_id", "field_name", "p.*")
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of every third scan, scores that are null, zero or positive."""
+    rows = classify.classify(T.id_cards(spark, sf_dir)).select("doc_id", "document_type", "context", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("version"))
+    k = F.col("doc_id")
+    return rows.select(
+        F.concat(F.lit("scan-"), k).alias("scan_id"), F.concat(F.lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")).alias("timestamp"), F.concat(F.lit("File_"), k, F.lit(".png")).alias("filename"), "document_type", F.col("context").alias("declared_context"),
+        (k % 101).cast("double").alias("pei_before"), F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, 0.0).otherwise((k % 21).cast("double")).alias("pei_after"), (k % 4).cast("long").alias("needs_review_count"), F.col("version").cast("long").alias("version"),
+    )
+
+
+def latest_scan_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.latest(_scans(spark, sf_dir))
+
+
+def scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.newest_first(latest_scan_version(spark, sf_dir)).select("scan_id", "timestamp", "filename", "document_type", "declared_context", "pei_before", "pei_after", "needs_review_count")
+
+
+def scan_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_scan_version(spark, sf_dir).where("scan_id = 'scan-42'")
+
+
+def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.search(latest_scan_version(spark, sf_dir), "E_12").select("scan_id", "filename", "document_type")
+
+
+def risk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.in_risk(latest_scan_version(spark, sf_dir), "high").select("scan_id", "pei_before")
+
+
+def scan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_scan_version(spark, sf_dir).select("scan_id", lookup(F.col("document_type"), rules.TYPE_LABELS).alias("type_label"), risk_label(F.col("pei_before")).alias("risk"))
+
+
+def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.totals(latest_scan_version(spark, sf_dir))
+    return rows.select("n_scans", F.round("avg_before", 9).alias("avg_before"), F.round("avg_after", 9).alias("avg_after"), "reduction")
+
+
+def top_exposed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.top_exposed(_judged(spark, sf_dir))
+
+
+def recent_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.newest_first(latest_scan_version(spark, sf_dir), 10).select("scan_id", "timestamp")
+
+
+def scan_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.timeline(latest_scan_version(spark, sf_dir))
+    return rows.select("scan_id", F.col("step").cast("long").alias("step"), "event")
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested reports, exploded again."""
+    rows = history.audit_rows(_judged(spark, sf_dir))
+    reports = history.audit_report(rows, ["doc_id", "document_type", "context"])
+    return reports.select("doc_id", "document_type", "context", F.inline("fields_detected")).select("doc_id", "document_type", "context", "field_name", "masked_value", "confidence", "method", "required", "decision")
+
+
+def qr_xml_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address of a QR payload built for each customer."""
+    k = F.col("c_custkey")
+    xml = F.concat(F.lit('<PrintLetterBarcodeData uid="'), k, F.lit('" house="H'), k, F.lit('" street="" lm="Near Park" vtc="Town'), k % 7, F.lit('" dist="Pune" state="MH" pc="'), 411000 + k % 100, F.lit('"/>'))
+    return T.table(spark, sf_dir, "customer").select(k.alias("doc_id"), xml.alias("xml")).select("doc_id", detect.qr_address(F.col("xml")).alias("address"))
+
+
+def queries() -> dict[str, Query]:
+    pairs = [("email", rules.EMAIL), ("phone", rules.PHONE), ("pan", rules.PAN), ("aadhaar", rules.AADHAAR), ("passport", rules.PASSPORT), ("date", rules.DATE)]
+    typed = [("dl", rules.DL), ("epic", rules.EPIC), ("gender", rules.GENDER_A), ("blood_group", rules.BLOOD)]
+    found = [_detect(n, p, False) for n, p in pairs] + [_detect(n, p, True) for n, p in typed]
+    found += [
+        universal_scan, scan_text_pei, scan_text_highlight, docs_with_pii, docs_without_pii, keyword_scores, classify_documents, type_distribution, type_context_rollup, mrz_parse, anchored_regex, keyword_anchor_name, ngram_candidates,
+        fuzzy_best, extract_fields, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
+        weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import oracles
+
+    return oracles()
