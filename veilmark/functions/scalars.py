@@ -19,10 +19,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def after_anchor(text: Column, anchor: str) -> Column:
-    """What follows the first occurrence of ``anchor``, without white space and colons before it; null without one."""
-    at = F.instr(F.lower(text), anchor.lower())
-    rest = strip(F.substring(text, at + len(anchor), F.length(text)))
+def after_anchor(text: Column, anchor: Column) -> Column:
+    """What follows the first occurrence of the lower-case ``anchor``, without white space and colons before it; null without one."""
+    at = F.instr(F.lower(text), anchor)
+    rest = strip(F.substring(text, at + F.length(anchor), F.length(text)))
     return F.when(at > 0, F.regexp_replace(rest, r"^:+", ""))
 
 

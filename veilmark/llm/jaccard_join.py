@@ -14,8 +14,9 @@ So linked sets always share a signature; no bucket is capped.
 
 Work in a bucket. Equal sets are one class and meet once. Each class is first verified against the smallest class of a
 bucket, and components are formed. Then only buckets that still hold several components are gone through for pairs across components;
-a histogram of each set's elements, whose L1 distance cannot exceed the number of differing elements, rules out pairs before
-they are emitted. Every pair that is emitted is verified on the whole texts.
+a histogram of each set's elements, with more cells for larger sets, whose L1 distance cannot exceed the number of differing
+elements, rules out pairs before they are emitted. The nearest pair of a set and another component is verified first; where it
+links them, the rest need not be looked at. Every pair that is emitted is verified on the whole texts.
 
 Hashes have 64 bits. Null and empty texts have empty sets and link with nothing; repeated rows get a row each; a null identifier
 takes part, but cannot name a component.
@@ -36,7 +37,9 @@ SHINGLE = 5
 BLOCK_BYTES = 2_000_000
 #: Sizes of a band lie within this ratio; up to SMALL, parts are cut in three.
 RATIO, SMALL, SLACK = 1.5, 48, 1.2
-CELLS = 64
+#: Histograms have a cell for every ELEMENTS_PER_CELL elements, LEAST_CELLS at least, a power of two: unrelated sets then lie
+#: farther apart than linked ones at every size.
+LEAST_CELLS, ELEMENTS_PER_CELL = 128, 8
 #: Identifiers are broadcast up to this number (16 MB); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Members that one task verifies against a leader before the leader is copied to another.
@@ -105,6 +108,18 @@ def set_classes(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.n
     return n, _mix(total, 5).view(np.int64)
 
 
+def histograms(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Elements in each cell, up to 255, for each set; null for empty sets. A cell of a smaller histogram is two of a larger."""
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    place = _mix(gram, 11)
+    out: list[bytes | None] = []
+    for i, size in enumerate(n.tolist()):
+        bits = max(LEAST_CELLS, size // ELEMENTS_PER_CELL).bit_length() - 1
+        cell = (place[bounds[i] : bounds[i + 1]] >> _u(64 - bits)).astype(np.int64)
+        out.append(np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8).tobytes() if size else None)
+    return out
+
+
 def bands() -> np.ndarray:
     """Largest size of each band."""
     edges = [1]
@@ -188,11 +203,10 @@ def classify_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, b in _blocks(texts):
                 owner, gram = shingle_sets(texts[a:b])
                 n, cls = set_classes(owner, gram, b - a)
-                cell = owner * CELLS + (_mix(gram, 11) >> _u(58)).astype(np.int64)
-                cells = np.minimum(np.bincount(cell, minlength=(b - a) * CELLS), 65535).astype("<u2").reshape(b - a, CELLS)
+                cells = histograms(owner, gram, n)
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array([None if e else r.tobytes() for r, e in zip(cells, empty, strict=True)], pa.binary())],
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array(cells, pa.binary())],
                     names=["doc_id", "n_shingles", "class", "cells"],
                 )
 
@@ -282,29 +296,56 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
-def crossing_pairs(buckets: DataFrame) -> DataFrame:
+def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of representatives in one bucket that lie in different components and that their histograms allow.
 
-    ``buckets`` has sig, rep, comp, n, cells."""
+    ``buckets`` has sig, rep, comp, n, cells. With ``nearest``, of the pairs of a representative and a component in a bucket
+    only the one with the nearest histograms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
+        got = list(batches)
+        table = pa.Table.from_batches(got).combine_chunks() if got else None
         if table is None or not table.num_rows:
             return
         table = table.sort_by([("sig", "ascending"), ("n", "ascending")])
         sig, rep, comp, n = (table[c].to_numpy() for c in ("sig", "rep", "comp", "n"))
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        cells = [np.frombuffer(x, np.uint8) for x in table["cells"].to_pylist()]
         begin = np.append(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))), len(sig))
         done: set[tuple[int, int]] = set()
-        for x, y in zip(begin[:-1], begin[1:], strict=True):
+        for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            # sorted by size, so runs of one number of cells follow each other
+            sizes = np.array([len(c) for c in cells[x:y]])
+            own = {int(c): np.stack(cells[x + int(np.argmax(sizes == c)) : x + int(np.searchsorted(sizes, c, side="right"))]).astype(np.int16) for c in np.unique(sizes)}
             for i in range(x, y - 1):
-                end = x + int(np.searchsorted(n[x:y], n[i] * 5 // 4, side="right"))  # sorted by size: no larger partner links
-                for c in range(i + 1, end, 20_000):
-                    js = np.arange(c, min(c + 20_000, end))
-                    js = js[comp[js] != comp[i]]
-                    apart = np.abs(cells[js] - cells[i]).sum(axis=1)
-                    for j in js[apart <= (n[js] + n[i]) // 9]:
-                        done.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+                end = x + int(np.searchsorted(n[x:y], n[i] * 5 // 4, side="right"))  # no larger partner links
+                near: dict[int, tuple[int, int]] = {}
+                for c, block in own.items():
+                    first = x + int(np.searchsorted(sizes, c, side="left"))
+                    lo, hi = max(i + 1, first), min(end, first + len(block))
+                    if c < len(cells[i]) or lo >= hi:
+                        continue
+                    mine = cells[i].astype(np.int16)
+                    for k in range(lo, hi, 20_000):
+                        js = np.arange(k, min(k + 20_000, hi))
+                        js = js[comp[js] != comp[i]]
+                        if not len(js):
+                            continue
+                        theirs = block[js - first]
+                        if c > len(mine):  # fold the finer histogram; cells that are full only make the distance smaller
+                            full = (theirs == 255).reshape(len(js), len(mine), -1).any(axis=2)
+                            theirs = theirs.reshape(len(js), len(mine), -1).sum(axis=2, dtype=np.int16)
+                            gap = np.where(full, np.maximum(theirs - mine, 0), np.abs(np.minimum(theirs, 255) - mine))
+                        else:
+                            gap = np.abs(theirs - mine)
+                        apart = gap.sum(axis=1, dtype=np.int64)
+                        fits = apart <= (n[js] + n[i]) // 9
+                        for j, d in zip(js[fits].tolist(), apart[fits].tolist(), strict=True):
+                            if not nearest:
+                                done.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+                            elif d < near.get(int(comp[j]), (1 << 60, 0))[0]:
+                                near[int(comp[j])] = (d, j)
+                for _, j in near.values():
+                    done.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
         pairs = list(done)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
@@ -324,16 +365,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = star.join(of.select("class", F.col("rep").alias("b")), "class").join(of.select(F.col("class").alias("leader"), F.col("rep").alias("a")), "leader").select("a", "b")
     links = materialize(verify(materialize(pairs), docs, id_col, text_col).distinct())
     comps = connected_components(links)
-    # what the leaders have not joined
-    labelled = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("class", "rep", "comp", "n", "cells")
-    members = buckets.select("sig", "class").join(labelled.select("class", "comp"), "class")
-    mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    rest = buckets.select("sig", "class").join(mixed, "sig", "left_semi").join(labelled, "class")
-    crossing = materialize(crossing_pairs(rest))
-    if not crossing.isEmpty():
+    # what the leaders have not joined: first the nearest pairs, then all that still cross
+    for nearest in (True, False):
+        labelled = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("class", "rep", "comp", "n", "cells")
+        members = buckets.select("sig", "class").join(labelled.select("class", "comp"), "class")
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        buckets = materialize(buckets.select("sig", "class").join(mixed, "sig", "left_semi"))
+        crossing = materialize(crossing_pairs(buckets.join(labelled, "class"), nearest))
+        if crossing.isEmpty():
+            break
         more = materialize(verify(crossing, docs, id_col, text_col).distinct())
         if not more.isEmpty():
-            comps = connected_components(links.unionByName(more))
+            links = materialize(links.unionByName(more))
+            comps = connected_components(links)
     named = classes.select("class", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
     joined = sets.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -69,19 +69,22 @@ def blacklisted(value: Column) -> Column:
     return (F.size(distinct) > 0) & (F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in NAME_BLACKLIST]))) / F.greatest(F.size(distinct), F.lit(1)) > 0.3)
 
 
+def _first_of(anchors: list[str], value, keep) -> Column:
+    """The first anchor's value that ``keep`` accepts. The anchors are elements of an array, so the expression stays small."""
+    if not anchors:
+        return F.lit(None).cast("string")
+    return F.get(F.filter(F.transform(F.array(*[F.lit(a) for a in anchors]), value), keep), F.lit(0))
+
+
 def anchored_words(text: Column, field: str, anchors: list[str]) -> Column:
     """Up to five words after the first anchor that yields any, without label words."""
-    tries = []
-    for a in anchors:
-        kept = F.filter(F.slice(words(strip(after_anchor(text, a))), 1, 5), lambda w: ~F.lower(w).isin(SKIP_WORDS))
-        value = F.nullif(F.array_join(kept, " "), F.lit(""))
-        tries.append(F.when(~blacklisted(value), value) if field in ("name", "father_name") else value)
-    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
+    value = lambda a: F.array_join(F.filter(F.slice(words(strip(after_anchor(text, a))), 1, 5), lambda w: ~F.lower(w).isin(SKIP_WORDS)), " ")
+    names = field in ("name", "father_name")
+    return _first_of(anchors, value, lambda v: (F.coalesce(v, F.lit("")) != "") & ~blacklisted(v) if names else F.coalesce(v, F.lit("")) != "")
 
 
 def anchored_match(text: Column, pattern: str, anchors: list[str]) -> Column:
-    tries = [first_match(after_anchor(text, a), pattern) for a in anchors]
-    return F.coalesce(*tries) if tries else F.lit(None).cast("string")
+    return _first_of(anchors, lambda a: first_match(after_anchor(text, a), pattern), lambda v: v.isNotNull())
 
 
 QR_FIELDS = {"aadhaar_number": "uid", "name": "name", "dob": "dob", "gender": "gender", "phone": "phone"}
