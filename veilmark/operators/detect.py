@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,25 +68,27 @@ def parse_mrz(text: Column) -> Column:
 def blacklisted(value: Column) -> Column:
     """Whether more than three tenths of the distinct words are no name's."""
     distinct = F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(r"\w+"), F.lit(0)))
-    return (F.size(distinct) > 0) & (F.size(F.array_intersect(distinct, F.array(*[F.lit(w) for w in NAME_BLACKLIST]))) / F.greatest(F.size(distinct), F.lit(1)) > 0.3)
+    listed = F.split(F.lit(" ".join(NAME_BLACKLIST)), " ")
+    return (F.size(distinct) > 0) & (F.size(F.array_intersect(distinct, listed)) / F.greatest(F.size(distinct), F.lit(1)) > 0.3)
 
 
-def _first_of(anchors: list[str], value, keep) -> Column:
-    """The first anchor's value that ``keep`` accepts. The anchors are elements of an array, so the expression stays small."""
-    if not anchors:
-        return F.lit(None).cast("string")
-    return F.get(F.filter(F.transform(F.array(*[F.lit(a) for a in anchors]), value), keep), F.lit(0))
+def _list(anchors: list[str] | Column) -> Column:
+    return anchors if isinstance(anchors, Column) else F.array(*[F.lit(a) for a in anchors])
 
 
-def anchored_words(text: Column, field: str, anchors: list[str]) -> Column:
+def anchored_words(text: Column, field: str | Column, anchors: list[str] | Column) -> Column:
     """Up to five words after the first anchor that yields any, without label words."""
+    field = field if isinstance(field, Column) else F.lit(field)
     value = lambda a: F.array_join(F.filter(F.slice(words(strip(after_anchor(text, a))), 1, 5), lambda w: ~F.lower(w).isin(SKIP_WORDS)), " ")
-    names = field in ("name", "father_name")
-    return _first_of(anchors, value, lambda v: (F.coalesce(v, F.lit("")) != "") & ~blacklisted(v) if names else F.coalesce(v, F.lit("")) != "")
+    keep = lambda v: (F.coalesce(v, F.lit("")) != "") & ~(field.isin("name", "father_name") & blacklisted(v))
+    return F.get(F.filter(F.transform(_list(anchors), value), keep), F.lit(0))
 
 
-def anchored_match(text: Column, pattern: str, anchors: list[str]) -> Column:
-    return _first_of(anchors, lambda a: first_match(after_anchor(text, a), pattern), lambda v: v.isNotNull())
+def anchored_match(text: Column, pattern: str | Column, anchors: list[str] | Column) -> Column:
+    """First match of the pattern after the first anchor that has one behind it."""
+    pattern = pattern if isinstance(pattern, Column) else F.lit("(?i)" + pattern)
+    found = F.transform(_list(anchors), lambda a: F.regexp_substr(after_anchor(text, a), pattern))
+    return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 
 
 QR_FIELDS = {"aadhaar_number": "uid", "name": "name", "dob": "dob", "gender": "gender", "phone": "phone"}
@@ -95,46 +99,47 @@ def qr_address(xml: Column) -> Column:
     return F.concat_ws(", ", *[F.nullif(F.xpath_string(xml, F.lit(f"/*/@{a}")), F.lit("")) for a in ("house", "street", "lm", "loc", "vtc", "dist", "state", "pc")])
 
 
-def _rule_struct(i: int, text: Column, mrz: Column, qr: Column | None) -> Column:
-    kind, field, weight, method, pattern, threshold, anchors, always, _ = FIELDS[i]
-    none = F.lit(None).cast("string")
-    if qr is not None and "qr_primary" in method:
-        scanned = F.nullif(qr_address(qr) if field == "address" else F.xpath_string(qr, F.lit(f"/*/@{QR_FIELDS[field]}")), F.lit(""))
-    else:
-        scanned = none
-    read = F.nullif(mrz[field], F.lit("")) if "mrz_primary" in method else none
-    exact = first_match(text, pattern) if pattern else none
-    near = anchored_match(text, pattern, anchors) if pattern else none
-    ner = anchored_words(text, field, anchors) if "ner" in method else none
-    seen = F.lit("SIGNATURE_REGION") if field == "signature" else none
-    return F.struct(
-        F.lit(i).alias("rule_pos"), F.lit(field).alias("field_name"), F.lit(weight).alias("weight"), F.lit(always).alias("always_redact"), F.lit(TEMPLATES.get(pattern) if pattern else None).cast("string").alias("template"), F.lit(float(threshold)).alias("threshold"),
-        scanned.alias("qr"), read.alias("mrz"), exact.alias("exact"), near.alias("near"), ner.alias("ner"), seen.alias("image"),
-    )
+RULE = "rule_pos:int,field_name:string,weight:int,always_redact:boolean,steps:string,pattern:string,template:string,threshold:double,anchors:array<string>"
+MRZ_FIELDS = ("passport_number", "name", "dob", "date_of_expiry")
+
+
+def _rules_by_type() -> Column:
+    """The field rules of each type, as one literal."""
+    by_type: dict[str, list[dict]] = {k: [] for k in TYPES}
+    for i, (kind, field, weight, steps, pattern, threshold, anchors, always, _) in enumerate(FIELDS):
+        by_type[kind].append({
+            "rule_pos": i, "field_name": field, "weight": weight, "always_redact": always, "steps": steps, "pattern": "(?i)" + pattern if pattern else None,
+            "template": TEMPLATES.get(pattern) if pattern else None, "threshold": float(threshold), "anchors": anchors,
+        })
+    return F.from_json(F.lit(json.dumps(by_type)), f"map<string,array<struct<{RULE}>>>")
 
 
 def extract_fields(docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True) -> DataFrame:
     """Detected fields of classified documents, one row each: the columns of ``docs`` without the text, and
     rule_pos, field_name, weight, always_redact, value, confidence, method, needs_review.
 
-    Rules are unrolled by type into literal expressions, so a text is scanned in one projection and never joined; only
-    rows without an exact match carry their text to the fuzzy step."""
+    A document meets the rules of its type, a literal of thirty rows, without a join or shuffle; the steps of the cascade are columns,
+    and the first that has a value wins. Only texts of rows that no earlier step has settled go to the approximate step."""
     others = [c for c in docs.columns if c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("_mrz", parse_mrz(text))
-    per_type = {k: F.array(*[_rule_struct(i, text, F.col("_mrz"), F.col(qr_col) if qr_col and k == "aadhaar" else None) for i, r in enumerate(FIELDS) if r[0] == k]) for k in TYPES}
-    cascade = None
-    for k, rules in per_type.items():
-        cascade = F.when(F.col("document_type") == k, rules) if cascade is None else cascade.when(F.col("document_type") == k, rules)
-    typed = base.where(F.col("document_type").isin(TYPES)).select(*others, text.alias("_text"), cascade.alias("_r"))
-    rows = typed.select(*others, "_text", F.explode_outer("_r").alias("r")).select(*others, "_text", "r.*")
-    open_row = F.coalesce("qr", "mrz", "exact").isNull() & F.col("template").isNotNull()
-    none = F.lit(None).cast("struct<value:string,confidence:double>")
-    if fuzzy:
-        rest = rows.where(open_row).withColumn("fuzzy", fuzzy_match("_text", "template", "threshold"))
-        rows = rows.where(~open_row).withColumn("fuzzy", none).unionByName(rest)
-    else:
-        rows = rows.withColumn("fuzzy", none)
+    text, kind = F.coalesce(F.col(text_col), F.lit("")), F.col("document_type")
+    typed = docs.select(*others, text.alias("_text"), parse_mrz(text).alias("_mrz"), F.explode(F.element_at(_rules_by_type(), kind)).alias("r")).select(*others, "_text", "_mrz", "r.*")
+    none = F.lit(None).cast("string")
+    qr = mrz = none
+    for n in MRZ_FIELDS:
+        mrz = F.when(F.col("field_name") == n, F.nullif(F.col("_mrz")[n], F.lit(""))).otherwise(mrz)
+    if qr_col:
+        for n, a in QR_FIELDS.items():
+            qr = F.when(F.col("field_name") == n, F.nullif(F.xpath_string(qr_col, F.lit(f"/*/@{a}")), F.lit(""))).otherwise(qr)
+        qr = F.when(F.col("field_name") == "address", F.nullif(qr_address(F.col(qr_col)), F.lit(""))).otherwise(qr)
+    steps = F.col("steps")
+    rows = typed.select(
+        *others, "_text", "rule_pos", "field_name", "weight", "always_redact", "template", "threshold",
+        F.when(steps.contains("qr_primary") & (kind == "aadhaar"), qr).alias("qr"), F.when(steps.contains("mrz_primary"), mrz).alias("mrz"), F.regexp_substr("_text", "pattern").alias("exact"),
+        F.when(F.col("pattern").isNotNull(), anchored_match(F.col("_text"), F.col("pattern"), F.col("anchors"))).alias("near"),
+        F.when(steps.contains("ner"), anchored_words(F.col("_text"), F.col("field_name"), F.col("anchors"))).alias("ner"), F.when(F.col("field_name") == "signature", "SIGNATURE_REGION").alias("image"),
+    )
+    unsettled = F.coalesce("qr", "mrz", "exact").isNull() & F.col("template").isNotNull()
+    rows = rows.withColumn("fuzzy", fuzzy_match(F.when(unsettled, F.col("_text")), F.col("template"), F.col("threshold")) if fuzzy else F.lit(None).cast("struct<value:string,confidence:double>"))
     step = lambda v, c, m: F.when(v.isNotNull(), F.struct(v.alias("value"), c.cast("double").alias("confidence"), F.lit(m).alias("method")))
     won = F.coalesce(
         step(F.col("qr"), F.lit(0.98), "qr"), step(F.col("mrz"), F.lit(0.95), "mrz"), step(F.col("exact"), F.lit(0.95), "regex_fuzzy"), step(F.col("fuzzy.value"), F.col("fuzzy.confidence"), "regex_fuzzy"),
@@ -142,5 +147,5 @@ def extract_fields(docs: DataFrame, text_col: str = "text", qr_col: str | None =
     )
     kept = [*others, "rule_pos", "field_name", "weight", "always_redact"]
     found = rows.select(*kept, won.alias("_w")).where("_w is not null").select(*kept, "_w.*")
-    unknown = universal_scan(docs.where(~F.col("document_type").isin(TYPES)), text_col).select(*others, F.explode_outer("fields").alias("f")).where("f is not null").select(*others, "f.*")
+    unknown = universal_scan(docs.where(~F.coalesce(kind.isin(TYPES), F.lit(False))), text_col).select(*others, F.explode("fields").alias("f")).select(*others, "f.*")
     return found.unionByName(unknown).withColumn("needs_review", F.col("confidence") < 0.7)

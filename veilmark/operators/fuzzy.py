@@ -46,7 +46,7 @@ def best_window(text: str | None, template: str, threshold: float) -> tuple[str,
 
 @F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType())]))
 def fuzzy_match(text: pd.Series, template: pd.Series, threshold: pd.Series) -> pd.DataFrame:
-    found = [best_window(t, p, s) or (None, None) for t, p, s in zip(text, template, threshold, strict=True)]
+    found = [(best_window(t, p, s) if t and p else None) or (None, None) for t, p, s in zip(text, template, threshold, strict=True)]
     return pd.DataFrame(found, columns=["value", "confidence"])
 
 

@@ -32,8 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, true_type, context, text."""
-    return spark.sql(ID_CARDS.format(s="STRING", div="DIV", customer="{customer}"), customer=table(spark, sf_dir, "customer"))
+    """doc_id, true_type, context, text.
+
+    The rows pass a generator, so that filters and projections above it do not repeat the expression of the text."""
+    rows = spark.sql(ID_CARDS.format(s="STRING", div="DIV", customer="{customer}"), customer=table(spark, sf_dir, "customer"))
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
