@@ -29,15 +29,31 @@ TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 ROUNDS, MIN_SEEDS, CONFIDENCE = 3, 3, 0.8
 #: Characters before a token in which its context word is sought.
 CONTEXT = 64
+#: Matches whose places are summed up together.
+BLOCK = 256
 MAX_BROADCAST_ROWS = 200_000
 
 
-def _located(found: Column, between: Column) -> Column:
-    """Matches with their places, from the matches and what lies between them."""
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("value"), F.length(b).alias("gap"), F.length(m).alias("n"), b.alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"), F.right(x["b"], F.lit(CONTEXT)).alias("before"))).alias("out"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+def _located(found: str, between: str) -> Column:
+    """Matches with their places, from the columns of the matches and of what lies between them.
+
+    Lengths are summed up block by block and the blocks are then moved to their places, as an array that grows by one element at
+    a time would be copied once for each match. Both columns are read more than once, so that Spark keeps them as columns."""
+    n = F.least(F.size(found), F.size(between))
+    place = "array<struct<start:int,end:int,value:string,before:string>>"
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"))).alias("out"))
+
+    def block(i: Column) -> Column:
+        part = lambda c: F.slice(F.col(c), i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK))
+        pairs = F.zip_with(part(found), part(between), lambda m, b: F.struct(m.alias("value"), F.length(b).alias("gap"), F.length(m).alias("n"), F.right(b, F.lit(CONTEXT)).alias("before")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out")), step)
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("out")), join, lambda acc: F.flatten(acc["out"]))
 
 
 def _fits(kind: str, value: Column) -> Column:
@@ -74,7 +90,7 @@ def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     none = F.array().cast("array<string>")
     rows = rows.select("id", "key", "t", *[F.when(guard[k], F.regexp_extract_all("t", F.lit(p), F.lit(0))).otherwise(none).alias(f"m_{k}") for k, p in rules.items()])
     rows = rows.select("id", "key", *[f"m_{k}" for k in rules], *[F.when(F.size(f"m_{k}") > 0, F.split("t", p, -1)).otherwise(none).alias(f"b_{k}") for k, p in rules.items()])
-    rows = rows.select("id", "key", *[F.when(F.size(f"m_{k}") > 0, _located(F.col(f"m_{k}"), F.col(f"b_{k}"))).alias(f"l_{k}") for k in rules])
+    rows = rows.select("id", "key", *[F.when(F.size(f"m_{k}") > 0, _located(f"m_{k}", f"b_{k}")).alias(f"l_{k}") for k in rules])
     empty = F.array().cast("array<struct<kind_at:int,start:int,end:int>>")
     spans = [F.coalesce(F.transform(F.filter(f"l_{k}", _fit_of(k)), _span_of(i)), empty) for i, k in enumerate(KINDS)]
     return rows.select("id", "key", F.concat(*spans).alias("base"), F.coalesce("l_token", F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")).alias("tokens"))
