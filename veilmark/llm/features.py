@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters handled at once; bounds the memory of a task whatever the rows are.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 PAD = "\x00\x00\x00\x00"
 _MULT = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 SHINGLE = 5
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 #: Sizes of a band lie within this ratio; up to SMALL, parts are cut in three.
 RATIO, SMALL, SLACK = 1.5, 48, 1.2
 #: Histograms have a cell for every ELEMENTS_PER_CELL elements, LEAST_CELLS at least, a power of two: unrelated sets then lie
