@@ -5,6 +5,10 @@ where its token pair stands. Merges are applied in the order of their ranks, eac
 neighbours of a place change and enter the index anew. The result is that of merging each piece by itself, lowest
 rank and leftmost place first.
 
+Pieces of up to ``SHORT`` bytes are replayed together in arrays: the index has an entry (rank, place) for each pair, and
+a round takes the first entry of every piece and looks up the pairs of the touched neighbours anew. Longer pieces, for
+which that would take as many rounds as they have merges, go through an index of lists and a queue of ranks.
+
 Encoding adds ``token_ids`` (ids as little-endian unsigned 32-bit integers), decoding adds ``decoded`` (bytes). Null
 texts are empty and have no tokens. Repeated rows each get their row; all other columns are kept.
 """
@@ -24,6 +28,10 @@ from .features import blocks
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
 MAX_MEMORY = 300_000
+#: Bytes of a piece up to which it is replayed in arrays.
+SHORT = 64
+#: Rank of a pair that no merge makes.
+NONE = 1 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -44,6 +52,57 @@ class MergeReplay:
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
         self.memory: dict[str, bytes] = {}
+        made = sorted((a << 20 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None)
+        self.pair_keys = np.array([k for k, _ in made] + [1 << 40], dtype=np.int64)
+        self.pair_ranks = np.array([i for _, i in made] + [NONE], dtype=np.int64)
+        byte_ids = np.array(self.byte_ids, dtype=np.int64)
+        self.byte_table, self.byte_pairs = byte_ids, self.look_up(np.repeat(byte_ids, 256), np.tile(byte_ids, 256))
+
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of token pairs, NONE where there is none."""
+        keys = a << 20 | b
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+
+    def replay_short(self, pieces: list[str], raw: list[bytes]) -> None:
+        """Put the ids of short pieces into the memory."""
+        lengths = np.array([len(r) for r in raw], dtype=np.int64)
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        ids, of = self.byte_table[data], np.repeat(np.arange(len(raw)), lengths)
+        rank = np.full(len(ids), NONE, dtype=np.int64)
+        same = of[1:] == of[:-1]
+        rank[:-1][same] = self.byte_pairs[data[:-1].astype(np.int64) << 8 | data[1:]][same]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            first = np.minimum.reduceat(rank << 40 | np.arange(len(ids)), begins)
+            going = first >> 40 < NONE
+            if not going.all():
+                live = np.repeat(going, np.diff(np.append(begins, len(ids))))
+                done.append((of[~live], ids[~live]))
+                gone = np.cumsum(~live)
+                ids, of, rank, first = ids[live], of[live], rank[live], first[going]
+                at = (first & (1 << 40) - 1) - gone[first & (1 << 40) - 1]
+            else:
+                at = first & (1 << 40) - 1
+            if not len(at):
+                break
+            ids[at] = first >> 40
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            ids, of, rank = ids[kept], of[kept], rank[kept]
+            at = at - np.arange(len(at))  # one place went in each piece before
+            for left in (at[at > 0] - 1, at):
+                left = left[left + 1 < len(ids)]
+                rank[left] = np.where(of[left] == of[left + 1], self.look_up(ids[left], ids[left + 1]), NONE)
+            rank[-1] = NONE
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(of, kind="stable")
+        ends = (np.cumsum(np.bincount(of, minlength=len(raw))) * 4).tolist()
+        coded, begin = ids[order].astype("<u4").tobytes(), 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.memory[piece] = coded[begin:end]
+            begin = end
 
     def pair_rank(self, a: int, b: int) -> int:
         key = a << 20 | b
@@ -120,8 +179,12 @@ class MergeReplay:
         if len(self.pairs) > 4 * MAX_MEMORY:
             self.pairs.clear()
         split = [self.find(t) for t in texts]
-        new = set().union(*split) - self.memory.keys()
-        self.replay(sorted(new))
+        new = list(set().union(*split) - self.memory.keys())
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        short = [i for i, r in enumerate(raw) if len(r) <= SHORT and r not in self.ranks]
+        if short:
+            self.replay_short([new[i] for i in short], [raw[i] for i in short])
+        self.replay([p for p, r in zip(new, raw, strict=True) if len(r) > SHORT or r in self.ranks])
         return [b"".join(map(self.memory.__getitem__, s)) for s in split]
 
 
@@ -156,11 +219,19 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     shared, at, names = _tokens(rows.sparkSession, path), rows.columns.index(ids_col), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.__getitem__
+        tokens = shared.value
+        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+        def text(coded: bytes | None) -> bytes:
+            ids = np.frombuffer(coded or b"", "<u4")
+            n = lengths[ids]
+            return data[np.arange(int(n.sum())) + np.repeat(starts[ids] - (np.cumsum(n) - n), n)].tobytes()
+
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                found = [b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(at).to_pylist()]
+                found = [text(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(b"")).schema)
