@@ -269,3 +269,19 @@ def test_pipeline_stages(spark, sf_dir):
             linked = components([(r["doc_id"], r["text"]) for r in before.collect()])
             assert sorted(ids) == sorted(i for i, (_, c) in linked.items() if c == i)
     assert docs.where(~F.col("round_trip")).count() == 0
+
+
+def test_replay_of_short_and_long_pieces():
+    """Both ways of replaying agree with the public library, around the length where one hands over to the other."""
+    import public_tokenizers
+    import tiktoken
+
+    tokens = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    replay = byte_bpe.MergeReplay(tokens, public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=replay.ranks, special_tokens={})
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcé日\U0001f600 \n1A'") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
+    texts += ["", "é" * 32, "x" * byte_bpe.SHORT, "x" * (byte_bpe.SHORT + 1), "a" * 3000, " " * 200]
+    want = [b"".join(i.to_bytes(4, "little") for i in whole.encode_ordinary(t)) for t in texts]
+    assert replay.encode(texts) == want
+    assert replay.encode(texts) == want  # from memory
