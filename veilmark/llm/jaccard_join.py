@@ -13,7 +13,8 @@ it cannot fail; two sets meet at the coarser of their last partitions. A set emi
 So linked sets always share a signature; no bucket is capped.
 
 Work in a bucket. Equal sets are one class and meet once. Each class is first verified against the smallest class of a
-bucket, and components are formed. Then only buckets that still hold several components are gone through for pairs across components;
+bucket, and components are formed. Then only buckets that still hold several components are gone through for pairs across components,
+those of many classes in blocks that meet two by two in tasks of their own;
 a histogram of each set's elements, with more cells for larger sets, whose L1 distance cannot exceed the number of differing
 elements, rules out pairs before they are emitted. The nearest pair of a set and another component is verified first; where it
 links them, the rest need not be looked at. Every pair that is emitted is verified on the whole texts.
@@ -25,6 +26,7 @@ takes part, but cannot name a component.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ LEAST_CELLS, ELEMENTS_PER_CELL = 128, 8
 MAX_BROADCAST_IDS = 1_000_000
 #: Members that one task verifies against a leader before the leader is copied to another.
 MEMBERS = 500
+#: Classes of a bucket in one block; larger buckets are cut into blocks that meet two by two.
+BUCKET = 1000
 
 _u = np.uint64
 
@@ -296,60 +300,102 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _group_starts(table: pa.Table) -> np.ndarray:
+    """Where the rows of the next two blocks begin, in a table sorted by sig, lo and hi."""
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = False
+    for name in ("sig", "lo", "hi"):
+        c = table[name].to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def bucket_blocks(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (sig, class, parts and more) with lo, hi and block: which two blocks of its bucket a row meets in a task.
+
+    A bucket of one part is one block. In a bucket of several, classes are dealt to blocks by a hash, and every two blocks meet, so
+    that every two classes still do; a task never gets more than two blocks of one bucket at once."""
+    block = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    rows = buckets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "parts")
+
+
 def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of representatives in one bucket that lie in different components and that their histograms allow.
 
-    ``buckets`` has sig, rep, comp, n, cells. With ``nearest``, of the pairs of a representative and a component in a bucket
-    only the one with the nearest histograms."""
+    ``buckets`` has sig, class, parts, rep, comp, n, cells. With ``nearest``, of the pairs of a representative and a component in two
+    blocks of a bucket only the one with the nearest histograms. Rows come sorted, so a task holds the two blocks at hand only."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        table = pa.Table.from_batches(got).combine_chunks() if got else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by([("sig", "ascending"), ("n", "ascending")])
-        sig, rep, comp, n = (table[c].to_numpy() for c in ("sig", "rep", "comp", "n"))
+    def meet(table: pa.Table, done: set[tuple[int, int]], out: list[tuple[int, int]]) -> None:
+        def add(i: int, j: int) -> None:
+            pair = (min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j])))
+            if pair not in done:
+                done.add(pair)
+                out.append(pair)
+
+        rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("rep", "comp", "n", "block", "lo", "hi"))
         cells = [np.frombuffer(x, np.uint8) for x in table["cells"].to_pylist()]
-        begin = np.append(np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))), len(sig))
-        done: set[tuple[int, int]] = set()
-        for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        begin = _group_starts(table)
+        for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(rep)], strict=True):
+            if (comp[x:y] == comp[x]).all():
+                continue
+            across = lo[x] != hi[x]  # two blocks: those of one block meet elsewhere
             # sorted by size, so runs of one number of cells follow each other
             sizes = np.array([len(c) for c in cells[x:y]])
             own = {int(c): np.stack(cells[x + int(np.argmax(sizes == c)) : x + int(np.searchsorted(sizes, c, side="right"))]).astype(np.int16) for c in np.unique(sizes)}
             for i in range(x, y - 1):
                 end = x + int(np.searchsorted(n[x:y], n[i] * 5 // 4, side="right"))  # no larger partner links
                 near: dict[int, tuple[int, int]] = {}
-                for c, block in own.items():
+                for c, rows in own.items():
                     first = x + int(np.searchsorted(sizes, c, side="left"))
-                    lo, hi = max(i + 1, first), min(end, first + len(block))
-                    if c < len(cells[i]) or lo >= hi:
+                    a, b = max(i + 1, first), min(end, first + len(rows))
+                    if c < len(cells[i]) or a >= b:
                         continue
                     mine = cells[i].astype(np.int16)
-                    for k in range(lo, hi, 20_000):
-                        js = np.arange(k, min(k + 20_000, hi))
-                        js = js[comp[js] != comp[i]]
-                        if not len(js):
-                            continue
-                        theirs = block[js - first]
-                        if c > len(mine):  # fold the finer histogram; cells that are full only make the distance smaller
-                            full = (theirs == 255).reshape(len(js), len(mine), -1).any(axis=2)
-                            theirs = theirs.reshape(len(js), len(mine), -1).sum(axis=2, dtype=np.int16)
-                            gap = np.where(full, np.maximum(theirs - mine, 0), np.abs(np.minimum(theirs, 255) - mine))
-                        else:
-                            gap = np.abs(theirs - mine)
-                        apart = gap.sum(axis=1, dtype=np.int64)
-                        fits = apart <= (n[js] + n[i]) // 9
-                        for j, d in zip(js[fits].tolist(), apart[fits].tolist(), strict=True):
-                            if not nearest:
-                                done.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
-                            elif d < near.get(int(comp[j]), (1 << 60, 0))[0]:
-                                near[int(comp[j])] = (d, j)
+                    fit = comp[a:b] != comp[i]
+                    if across:
+                        fit &= block[a:b] != block[i]
+                    js = a + np.flatnonzero(fit)
+                    if not len(js):
+                        continue
+                    theirs = rows[js - first]
+                    if c > len(mine):  # fold the finer histogram; cells that are full only make the distance smaller
+                        full = (theirs == 255).reshape(len(js), len(mine), -1).any(axis=2)
+                        theirs = theirs.reshape(len(js), len(mine), -1).sum(axis=2, dtype=np.int16)
+                        gap = np.where(full, np.maximum(theirs - mine, 0), np.abs(np.minimum(theirs, 255) - mine))
+                    else:
+                        gap = np.abs(theirs - mine)
+                    apart = gap.sum(axis=1, dtype=np.int64)
+                    fits = apart <= (n[js] + n[i]) // 9
+                    for j, d in zip(js[fits].tolist(), apart[fits].tolist(), strict=True):
+                        if not nearest:
+                            add(i, j)
+                        elif d < near.get(int(comp[j]), (1 << 60, 0))[0]:
+                            near[int(comp[j])] = (d, j)
                 for _, j in near.values():
-                    done.add((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
-        pairs = list(done)
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+                    add(i, j)
 
-    return buckets.select("sig", "rep", "comp", "n", "cells").repartition("sig").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        held = None  # rows of the two blocks that have not ended
+        for batch in chain(batches, [None]):
+            if batch is None:
+                table, held = held, None
+            else:
+                table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                table = table.combine_chunks()
+                last = int(_group_starts(table)[-1]) if table.num_rows else 0
+                held, table = table.slice(last), table.slice(0, last)
+            if table is None or not table.num_rows:
+                continue
+            out: list[tuple[int, int]] = []
+            meet(table, done, out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            if len(done) > 1_000_000:
+                done.clear()
+
+    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,8 +415,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for nearest in (True, False):
         labelled = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("class", "rep", "comp", "n", "cells")
         members = buckets.select("sig", "class").join(labelled.select("class", "comp"), "class")
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        buckets = materialize(buckets.select("sig", "class").join(mixed, "sig", "left_semi"))
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BUCKET).cast("int").alias("parts")).where("lo <> hi").select("sig", "parts")
+        buckets = materialize(buckets.select("sig", "class").join(mixed, "sig"))
         crossing = materialize(crossing_pairs(buckets.join(labelled, "class"), nearest))
         if crossing.isEmpty():
             break
