@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import jaccard_join
+from veilmark.llm import jaccard_join, pii
 
 
 def test_hot_bucket_is_cut_into_blocks(spark):
@@ -27,3 +27,15 @@ def test_unlinked_templated_documents(spark, monkeypatch):
     rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(rows).collect()}
     assert got == {i: i for i in range(60)} | {60: 7, 61: 31, 62: 44}
+
+
+def test_bootstrap_finds_what_no_base_rule_matches(spark):
+    """'call' is learnt from base phones, what it finds teaches 'dial' in the next round; 'room' stays unknown."""
+    local = [f"555-01{i}-9999" for i in range(10)]
+    texts = [f"call +1-555-{100 + i}-9999" for i in range(100)] + [f"call {v}" for v in local] + [f"dial {v}" for v in local]
+    texts += ["dial 0170-12345", "room 0170-12345-1"]
+    texts += [f"10.0.0.{i} responded" for i in range(9)] + ["10.0.0.999 responded"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.op3_pii(rows).collect()}
+    assert {got[i] for i in range(100, 121)} == {"phone:5:17", "phone:5:15"} and got[120] == "phone:5:15"
+    assert got[121] == "" and got[len(texts) - 1] == "ip:0:10"

@@ -1,10 +1,10 @@
 """Personal data: base rules and bootstrapped contextual extraction.
 
 Base rules find emails, IP addresses, cards and phones. They seed the bootstrap: every token with a digit or an ``@`` is
-an instance, and the word before it together with the token's shape is a lexical pattern. Spark scores the
-pattern-instance graph in rounds: a pattern's confidence for a kind is the mean score of its distinct instances, and an
-instance that no base rule has found takes the best confidence of its patterns. In the end, tokens that no base rule covers
-get the kind of a pattern with enough distinct seeds and confidence.
+an instance, and the word before it or after it together with the token's coarse shape is a lexical pattern. Spark scores
+the pattern-instance graph in rounds until no pattern is added: a pattern's confidence for a kind is the mean score of its
+distinct instances, and an instance that no base rule has found takes the best confidence of its other patterns and counts as
+a seed for them. In the end, tokens that no base rule covers get the kind of their most confident pattern.
 
 Only DataFrame functions are used. Null and empty texts have no spans; spans are in code points, end exclusive; ties between
 kinds go to the first as listed; repeated rows each get their row.
@@ -26,8 +26,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Tokens that may be identifiers.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-ROUNDS, MIN_SEEDS, CONFIDENCE = 3, 3, 0.8
-#: Characters before a token in which its context word is sought.
+MIN_SEEDS, CONFIDENCE = 3, 0.8
+#: Characters before and after a token in which its context words are sought.
 CONTEXT = 64
 #: Matches whose places are summed up together.
 BLOCK = 256
@@ -40,16 +40,17 @@ def _located(found: str, between: str) -> Column:
     Lengths are summed up block by block and the blocks are then moved to their places, as an array that grows by one element at
     a time would be copied once for each match. Both columns are read more than once, so that Spark keeps them as columns."""
     n = F.least(F.size(found), F.size(between))
-    place = "array<struct<start:int,end:int,value:string,before:string>>"
-    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"))).alias("out"))
+    place = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))).alias("out"))
 
     def block(i: Column) -> Column:
-        part = lambda c: F.slice(F.col(c), i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK))
-        pairs = F.zip_with(part(found), part(between), lambda m, b: F.struct(m.alias("value"), F.length(b).alias("gap"), F.length(m).alias("n"), F.right(b, F.lit(CONTEXT)).alias("before")))
+        part = lambda c, first: F.slice(F.col(c), i * BLOCK + first, F.least(F.lit(BLOCK), n - i * BLOCK))
+        words = F.zip_with(part(between, 1), part(between, 2), lambda b, a: F.struct(F.length(b).alias("gap"), F.right(b, F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(a, F.lit("")), F.lit(CONTEXT)).alias("after")))
+        pairs = F.zip_with(part(found, 1), words, lambda m, w: F.struct(m.alias("value"), w["gap"].alias("gap"), F.length(m).alias("n"), w["before"].alias("before"), w["after"].alias("after")))
         return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(place).alias("out")), step)
 
     def join(acc: Column, part: Column) -> Column:
-        moved = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"].alias("value"), x["before"].alias("before")))
+        moved = F.transform(part["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after")))
         return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
@@ -81,7 +82,7 @@ def _is_kind(i: int):
 
 
 def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key, base (array of kind_at, start, end) and tokens (array of start, end, before, value), one row per row."""
+    """id, key, base (array of kind_at, start, end) and tokens (array of start, end, value, before, after), one row per row."""
     rules = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "token": TOKEN}
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     at, digit = F.contains("t", F.lit("@")), F.col("t").rlike("[0-9]")
@@ -93,36 +94,53 @@ def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.select("id", "key", *[F.when(F.size(f"m_{k}") > 0, _located(f"m_{k}", f"b_{k}")).alias(f"l_{k}") for k in rules])
     empty = F.array().cast("array<struct<kind_at:int,start:int,end:int>>")
     spans = [F.coalesce(F.transform(F.filter(f"l_{k}", _fit_of(k)), _span_of(i)), empty) for i, k in enumerate(KINDS)]
-    return rows.select("id", "key", F.concat(*spans).alias("base"), F.coalesce("l_token", F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")).alias("tokens"))
+    return rows.select("id", "key", F.concat(*spans).alias("base"), F.coalesce("l_token", F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")).alias("tokens"))
+
+
+def _shape(value: Column) -> Column:
+    """Coarse shape: runs of digits are one 9, runs with a letter one a, and of a chain of parts the first and last remain."""
+    for pattern, new in ((r"^\+", ""), ("[0-9]++", "9"), (r"\p{L}++", "a"), ("9(?=a)|(?<=a)9", ""), ("a++", "a"), ("(?<=[9a])[-./:()_]++[9a](?=[-./:()_]++[9a])", "")):
+        value = F.regexp_replace(value, pattern, new)
+    return value
 
 
 def _instances(scanned: DataFrame) -> DataFrame:
-    """One row per token: id, key, start, end, pattern, value, seed (kind of the base rule that covers it, or null)."""
+    """One row per token and pattern: id, key, start, end, pattern, value, seed (kind of the base rule that covers it, or null)."""
     tokens = scanned.select("id", "key", "base", F.explode_outer("tokens").alias("x")).where("x is not null")
     lead = F.length(F.regexp_extract("x.value", r"^[^\w@+]*", 0))
     tail = F.length(F.regexp_extract(F.right("x.value", F.lit(CONTEXT)), r"[^\w@+]*$", 0))
     covers = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start"))), lambda b: b["kind_at"]))
-    rows = tokens.select("id", "key", (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), F.lower(F.regexp_extract("x.before", r"(\S*)\s*$", 1)).alias("word"), F.substring("x.value", lead + 1, F.greatest(F.length("x.value") - lead - tail, F.lit(0))).alias("value"), covers.alias("seed"))
-    shape = F.regexp_replace(F.regexp_replace(F.col("value"), "[0-9]", "9"), r"\p{L}+", "a")
-    return rows.where("end > start").select("id", "key", "start", "end", F.concat("word", F.lit("\x00"), shape).alias("pattern"), "value", "seed")
+    words = [F.lower(F.regexp_extract("x.before", r"(\S*)\s*$", 1)).alias("word"), F.lower(F.regexp_extract("x.after", r"^\s*(\S*)", 1)).alias("next")]
+    rows = tokens.select("id", "key", (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), *words, F.substring("x.value", lead + 1, F.greatest(F.length("x.value") - lead - tail, F.lit(0))).alias("value"), covers.alias("seed"))
+    rows = rows.where("end > start").withColumn("shape", _shape(F.col("value")))
+    before, after = F.concat("word", F.lit("\x00"), "shape"), F.concat("shape", F.lit("\x00"), "next")
+    patterns = F.when(F.col("next") == "", F.array(before)).otherwise(F.array(before, after))
+    return rows.select("id", "key", "start", "end", F.explode(patterns).alias("pattern"), "value", "seed")
 
 
 def score_patterns(instances: DataFrame) -> DataFrame:
     """pattern, kind_at, confidence of the patterns with enough seeds and confidence."""
     edges = materialize(instances.groupBy("pattern", "value").agg(F.min("seed").alias("seed")))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    scores = edges.where("seed is not null").select("value", F.col("seed").alias("kind_at"), F.lit(1.0).alias("score")).distinct()
-    known = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    trusted = None
-    for _ in range(ROUNDS):
-        hits = edges.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind_at").agg(F.sum("score").alias("s"), F.count(F.when(F.col("score") >= 1, 1)).alias("seeds"))
-        rated = hits.join(size, "pattern").withColumn("confidence", F.col("s") / F.col("n"))
-        trusted = materialize(rated.where((F.col("seeds") >= MIN_SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind_at", "confidence"))
-        # instances that are no seeds take the best confidence of their patterns
-        found = edges.select("pattern", "value").join(trusted, "pattern").groupBy("value", "kind_at").agg(F.max("confidence").alias("score"))
-        found = found.join(known.where("seed is null").select("value"), "value", "left_semi")
-        seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind_at"), F.lit(1.0).alias("score")).distinct()
-        scores = seeds.unionByName(found)
+    size = materialize(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    seeds = materialize(edges.where("seed is not null").select("value", F.col("seed").alias("kind_at")).distinct())
+    hits = edges.select("pattern", "value").join(seeds, "value").select("pattern", "kind_at", F.lit(1.0).alias("score"))
+    base = materialize(hits.groupBy("pattern", "kind_at").agg(F.sum("score").alias("s"), F.count("*").alias("seeds")))
+    open_edges = materialize(edges.select("pattern", "value").join(seeds.select("value").distinct(), "value", "left_anti"))
+    scores, trusted = base, None
+    while True:
+        rated = scores.groupBy("pattern", "kind_at").agg(F.sum("s").alias("s"), F.sum("seeds").alias("seeds")).join(size, "pattern").withColumn("confidence", F.col("s") / F.col("n"))
+        added = rated.where((F.col("seeds") >= MIN_SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind_at", "confidence")
+        added = materialize(added if trusted is None else added.join(trusted, ["pattern", "kind_at"], "left_anti"))
+        if trusted is not None and added.isEmpty():
+            break
+        trusted = added if trusted is None else materialize(trusted.unionByName(added))
+        # an instance that is no seed takes the best confidence of its patterns, but no pattern is rated by itself
+        found = materialize(open_edges.join(trusted, "pattern"))
+        best = found.groupBy("value", "kind_at").agg(F.max(F.struct("confidence", "pattern")).alias("b"))
+        second = found.join(best, ["value", "kind_at"]).where(F.col("pattern") != F.col("b.pattern")).groupBy("value", "kind_at").agg(F.max("confidence").alias("c"))
+        best = best.join(second, ["value", "kind_at"], "left")
+        given = open_edges.join(best, "value").withColumn("score", F.when(F.col("pattern") == F.col("b.pattern"), F.col("c")).otherwise(F.col("b.confidence"))).where("score is not null")
+        scores = base.unionByName(given.groupBy("pattern", "kind_at").agg(F.sum("score").alias("s"), F.count("*").alias("seeds")))
     best = trusted.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind_at")).alias("k"))).alias("b"))
     return best.select("pattern", (-F.col("b.k")).alias("kind_at"), F.col("b.confidence").alias("confidence"))
 
@@ -132,7 +150,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scanned = materialize(scan_rows(docs, id_col, text_col))
     instances = materialize(_instances(scanned))
     patterns = score_patterns(instances)
-    found = instances.where("seed is null").join(patterns.select("pattern", "kind_at"), "pattern")
+    found = instances.where("seed is null").join(patterns, "pattern").groupBy("id", "key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind_at")).alias("k"))).alias("b"))
+    found = found.select("id", "key", (-F.col("b.k")).alias("kind_at"), "start", "end")
     found = found.groupBy("id", "key").agg(F.collect_set(F.struct("kind_at", "start", "end")).alias("more"))
     found = materialize(found.withColumnRenamed("id", "id2").withColumnRenamed("key", "key2"))
     small = found.count() <= MAX_BROADCAST_ROWS
