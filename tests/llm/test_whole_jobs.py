@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from veilmark.llm import jaccard_join, pii
+from veilmark.llm import jaccard_join, licenses, pii
 
 
 def test_hot_bucket_is_cut_into_blocks(spark):
@@ -39,3 +39,17 @@ def test_bootstrap_finds_what_no_base_rule_matches(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.op3_pii(rows).collect()}
     assert {got[i] for i in range(100, 121)} == {"phone:5:17", "phone:5:15"} and got[120] == "phone:5:15"
     assert got[121] == "" and got[len(texts) - 1] == "ip:0:10"
+
+
+def labels(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.op1_license_scan(rows).collect()}
+
+
+def test_stray_diagonal_does_not_part_a_notice(spark):
+    """The notice repeats 'the license you may', which votes for far diagonals between its two halves."""
+    text = dict(licenses.NOTICES)["apache-2"].replace("in compliance", "in full compliance")
+    found, score = labels(spark, [text])[0]
+    assert "apache-2" in found.split(",") and score >= licenses.COVERAGE
+    twice = licenses.scan_licenses(spark.createDataFrame([(1, f"{text} x {text}")], "doc_id long, text string")).first()["spans"]
+    assert [(s["start"], s["end"]) for s in twice if not s["base"]] == [(0, 32), (33, 65)]

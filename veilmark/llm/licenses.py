@@ -79,13 +79,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     times = F.count(F.when(F.col("t") == -1, 1)).alias("times")
     diagonals = hits.groupBy(*own, (F.col("pos") - F.col("tpos")).alias("diag"), "tpos").agg(F.max("n_words").alias("n_words"), times)
     diagonals = diagonals.groupBy(*own, "diag").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.count("*").alias("votes"), F.min("tpos").alias("first"), F.max("tpos").alias("last"))
-    # a phrase is complete on its own diagonal; the diagonals of a notice are merged along the document
-    along = Window.partitionBy("id", "key", "t").orderBy("start", "diag")
+    # a phrase is complete on its own diagonal; the diagonals of a notice are merged in bands of near ones, then along the document,
+    # so that a far diagonal (a window that the template repeats) between two near ones does not part them
+    own_run = F.col("base") | (F.col("t") == -1)
     spans = diagonals.withColumns({"start": F.col("diag") + F.col("first"), "end": F.col("diag") + F.col("last") + K})
-    near = (F.col("start") - F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) <= GAP) & (F.abs(F.col("diag") - F.lag("diag").over(along)) <= DRIFT)
-    apart = F.when(F.col("base") | (F.col("t") == -1), F.lit(1)).otherwise(F.when(near, 0).otherwise(1))
-    spans = spans.withColumn("apart", F.coalesce(apart, F.lit(1))).withColumn("run", F.sum("apart").over(along))
-    merged = spans.groupBy(*own, "run").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.least(F.lit(1.0), F.sum("votes") / F.greatest(F.max("n_grams"), F.lit(1))).alias("coverage"), F.min("start").alias("start"), F.max("end").alias("end"))
+    across = Window.partitionBy("id", "key", "t").orderBy("diag")
+    far = own_run | (F.col("diag") - F.lag("diag").over(across) > DRIFT)
+    spans = spans.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("band", F.sum("far").over(across))
+    along = Window.partitionBy("id", "key", "t", "band").orderBy("start", "diag")
+    apart = F.col("start") - F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP
+    spans = spans.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(along))
+    merged = spans.groupBy(*own, "band", "run").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.least(F.lit(1.0), F.sum("votes") / F.greatest(F.max("n_grams"), F.lit(1))).alias("coverage"), F.min("start").alias("start"), F.max("end").alias("end"))
     wanted = F.when(F.col("base"), F.col("coverage") >= 1).otherwise(F.col("coverage") >= COVERAGE) & (F.col("t") >= 0)
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "base", "coverage")
     found = merged.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.array_sort(F.collect_list(F.when(wanted, span))).alias("spans"))
