@@ -53,3 +53,18 @@ def test_stray_diagonal_does_not_part_a_notice(spark):
     assert "apache-2" in found.split(",") and score >= licenses.COVERAGE
     twice = licenses.scan_licenses(spark.createDataFrame([(1, f"{text} x {text}")], "doc_id long, text string")).first()["spans"]
     assert [(s["start"], s["end"]) for s in twice if not s["base"]] == [(0, 32), (33, 65)]
+
+
+def test_notices_are_verified(spark):
+    """Every notice has its own label only: as it is, with an inserted and with a dropped word; a sibling has none of theirs."""
+    texts, want = [], []
+    for label, text in licenses.NOTICES:
+        words = text.split()
+        half = len(words) // 2
+        for changed in (words, [*words[:half], "quite", *words[half:]], [*words[:half], *words[half + 1 :]]):
+            texts.append(" ".join(changed))
+            want.append(label)
+    texts += ["this work is licensed under a creative commons attribution noncommercial 4 0 international license", "a b c licensed under the x"]
+    want += ["", ""]
+    got = labels(spark, texts)
+    assert [(texts[i], got[i][0]) for i in range(len(texts))] == list(zip(texts, want, strict=True))

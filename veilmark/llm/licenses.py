@@ -2,8 +2,9 @@
 
 Every window of three words of a document is looked up among the windows of the templates; each meeting votes for
 the diagonal ``place in document - place in template``. A phrase stands where its diagonal has all its votes. For
-longer notices, diagonals that lie near each other (words were inserted or dropped) are merged into one span, and a
-span counts when it covers enough of the template's windows.
+longer notices, diagonals that lie near each other (words were inserted or dropped) are merged into one span. A span is
+then verified: it counts when its windows cover enough of the template's words, each counted once, and when it has the
+words that tell its family's licenses apart just as the template has them. Of notices in one place the best covered remains.
 
 Only DataFrame functions are used. Nulls and empty texts have no words and no hits; repeated rows each get their row;
 more columns in the input are ignored.
@@ -38,7 +39,13 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
-#: A notice counts from this share of its windows on.
+#: Words that tell the licenses of a family apart, by the start of their labels; words of one meaning have one name.
+MARKS = {
+    "cc-": {"sharealike": "sa", "alike": "sa", "sa": "sa", "noncommercial": "nc", "commercial": "nc", "nc": "nc", "noderivatives": "nd", "noderivs": "nd", "derivatives": "nd", "nd": "nd"},
+    "gpl": {"lesser": "lesser", "affero": "affero"},
+    "lgpl": {"lesser": "lesser", "affero": "affero"},
+}
+#: A notice counts from this share of its words on.
 COVERAGE = 0.7
 #: Diagonals of one template at most this far apart are one span, and so are votes at most so many words apart.
 DRIFT, GAP = 4, 40
@@ -65,7 +72,38 @@ def votes(docs: DataFrame, id_col: str, text_col: str, windows: DataFrame) -> Da
     hashed = words.select("id", "key", "words", F.size("words").cast("long").alias("n_words"), F.concat(F.array(F.xxhash64(F.lit(_SELF))), gram_hashes(F.col("words"), K)).alias("g"))
     places = hashed.select("id", "key", "words", "n_words", F.posexplode_outer("g").alias("at", "h"))
     same: Column = F.when(F.col("at") == 0, F.size("gram") == 0).otherwise(F.slice("words", F.greatest(F.col("at"), F.lit(1)), F.lit(K)) == F.col("gram"))
-    return places.join(F.broadcast(windows), (places.h == windows.h) & same).select("id", "key", "n_words", "label", "base", "t", "n_grams", "tpos", (F.col("at") - 1).alias("pos"))
+    known = sorted({w for family in MARKS.values() for w in family})
+    first = F.greatest(F.col("at") - GAP, F.lit(1))
+    around = F.transform(F.slice("words", first, F.lit(2 * GAP + K)), lambda w, i: F.struct((first - 1 + i).alias("at"), w.alias("word")))
+    marks = F.when(F.col("t") >= 0, F.filter(around, lambda x: x["word"].isin(known))).otherwise(F.array().cast("array<struct<at:int,word:string>>"))
+    return places.join(F.broadcast(windows), (places.h == windows.h) & same).select("id", "key", "n_words", "label", "base", "t", "n_grams", "tpos", (F.col("at") - 1).alias("pos"), marks.alias("marks"))
+
+
+def _name_in(family: dict[str, str]):
+    names = F.create_map(*[F.lit(x) for pair in family.items() for x in pair])
+    return lambda w: names[w]
+
+
+def _told_apart() -> Column:
+    """Whether the words that tell the family's licenses apart are the template's, no more and no less.
+
+    Reads t and found, the words of ``MARKS`` in the place that the template would take."""
+    fits = F.lit(True)
+    for t, (label, text) in enumerate(NOTICES, len(PHRASES)):
+        family = next((words for start, words in MARKS.items() if label.startswith(start)), None)
+        if family:
+            own = sorted({family[w] for w in text.split() if w in family})
+            found = F.array_distinct(F.filter(F.transform("found", _name_in(family)), lambda w: w.isNotNull()))
+            fits = F.when(F.col("t") == t, F.array_sort(found) == F.array(*map(F.lit, own)).cast("array<string>")).otherwise(fits)
+    return fits
+
+
+def _best_of_place(spans: Column) -> Column:
+    """Spans, best covered first, without those that lie by more than half in, or around, a better one of another template."""
+    both = lambda s, k: F.least(s["end"], k["end"]) - F.greatest(s["start"], k["start"])
+    hides = lambda s, k: (k["t"] != s["t"]) & (2 * both(s, k) > F.least(s["end"] - s["start"], k["end"] - k["start"]))
+    kept = lambda acc, s: F.when(F.exists(acc, lambda k: hides(s, k)), acc).otherwise(F.array_append(acc, s))
+    return F.aggregate(spans, F.slice(spans, 1, 0), kept)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,8 +115,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # repeated rows vote alike: a diagonal's votes are counted once for each place
     own = ["id", "key", "label", "base", "t", "n_grams"]
     times = F.count(F.when(F.col("t") == -1, 1)).alias("times")
-    diagonals = hits.groupBy(*own, (F.col("pos") - F.col("tpos")).alias("diag"), "tpos").agg(F.max("n_words").alias("n_words"), times)
-    diagonals = diagonals.groupBy(*own, "diag").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.count("*").alias("votes"), F.min("tpos").alias("first"), F.max("tpos").alias("last"))
+    diagonals = hits.groupBy(*own, (F.col("pos") - F.col("tpos")).alias("diag"), "tpos").agg(F.max("n_words").alias("n_words"), times, F.first("marks").alias("marks"))
+    diagonals = diagonals.groupBy(*own, "diag").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.collect_list("tpos").alias("places"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"), F.min("tpos").alias("first"), F.max("tpos").alias("last"))
     # a phrase is complete on its own diagonal; the diagonals of a notice are merged in bands of near ones, then along the document,
     # so that a far diagonal (a window that the template repeats) between two near ones does not part them
     own_run = F.col("base") | (F.col("t") == -1)
@@ -89,10 +127,26 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     along = Window.partitionBy("id", "key", "t", "band").orderBy("start", "diag")
     apart = F.col("start") - F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)) > GAP
     spans = spans.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(along))
-    merged = spans.groupBy(*own, "band", "run").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.least(F.lit(1.0), F.sum("votes") / F.greatest(F.max("n_grams"), F.lit(1))).alias("coverage"), F.min("start").alias("start"), F.max("end").alias("end"))
-    wanted = F.when(F.col("base"), F.col("coverage") >= 1).otherwise(F.col("coverage") >= COVERAGE) & (F.col("t") >= 0)
-    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "base", "coverage")
-    found = merged.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.array_sort(F.collect_list(F.when(wanted, span))).alias("spans"))
+    merged = spans.groupBy(*own, "band", "run").agg(
+        F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"),
+        F.min("diag").alias("least"), F.max("diag").alias("most"), F.min("start").alias("start"), F.max("end").alias("end"),
+    )
+    # verify: distinct words of the template, and the words that tell it from its family
+    words = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (K - 1)))))
+    merged = merged.withColumn("covered", F.size(words)).withColumn("found", F.transform(F.filter("marks", lambda m: (m["at"] >= F.least("start", "least")) & (m["at"] < F.greatest(F.col("end"), F.col("most") + F.col("n_grams") + (K - 1)))), lambda m: m["word"]))
+    merged = merged.withColumn("coverage", F.least(F.lit(1.0), F.when(F.col("base"), F.size("places") / F.greatest("n_grams", F.lit(1))).otherwise(F.col("covered") / (F.col("n_grams") + (K - 1)))))
+    wanted = F.when(F.col("base"), F.col("coverage") >= 1).otherwise((F.col("coverage") >= COVERAGE) & _told_apart()) & (F.col("t") >= 0)
+    merged = merged.withColumn("wanted", wanted)
+    # notices that overlap are one place
+    notice = F.col("wanted") & ~F.col("base")
+    along = Window.partitionBy("id", "key", notice).orderBy("start", "end", "t")
+    merged = merged.withColumn("new", F.when(F.col("start") < F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    merged = merged.withColumn("place", F.when(notice, F.sum("new").over(along)).otherwise(0))
+    span = F.struct((-F.col("coverage")).alias("worse"), (-F.col("covered")).alias("fewer"), "t", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "label", "base", "coverage")
+    places = merged.groupBy("id", "key", "place").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.array_sort(F.collect_list(F.when(F.col("wanted"), span))).alias("here"))
+    places = places.withColumn("here", F.when((F.col("place") > 0) & (F.size("here") > 1), _best_of_place(F.col("here"))).otherwise(F.col("here")))
+    plain = F.transform(F.flatten(F.collect_list("here")), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "label", "base", "coverage")]))
+    found = places.groupBy("id", "key").agg(F.max("n_words").alias("n_words"), F.max("times").alias("times"), F.array_sort(plain).alias("spans"))
     return found.select(F.col("id").alias(id_col), "n_words", "spans", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy")).drop("_copy")
 
 
