@@ -15,10 +15,18 @@ from veilmark.llm.common import materialize, table
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the documents named by ``ids``; a null identifier is never named."""
-    ids = materialize(ids.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, one number for each doc_id (null too) and text, in the order of doc_id with null last."""
+    keys = docs.select("doc_id", F.xxhash64("text").alias("_key")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_key")
+    keys = materialize(keys.select(F.col("doc_id").alias("_id"), "_key", F.monotonically_increasing_id().alias("_row")))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
+    return docs.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_IDS else keys, same).select(*docs.columns, "_row")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, without those that ``rows`` names."""
+    rows = materialize(rows.select("_row").distinct())
+    return docs.join(F.broadcast(rows) if rows.count() <= MAX_BROADCAST_IDS else rows, "_row", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +37,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of linked documents."""
-    found = jaccard_join.link_documents(docs)
-    return _without(docs, found.where("component_id <> doc_id"))
+    """Keep the document with the smallest doc_id of each group of linked documents, and one row of repeated ones."""
+    rows = _numbered(docs)
+    found = jaccard_join.link_documents(rows, "_row")
+    kept = _without(rows, found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row")))
+    # only rows that repeat are shuffled
+    times = materialize(found.groupBy(F.col("doc_id").alias("_row")).count().where("count > 1").select("_row"))
+    few = F.broadcast(times) if times.count() <= MAX_BROADCAST_IDS else times
+    once = kept.join(few, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(few, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = _numbered(docs)
+    found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(rows, found.select(F.col("doc_id").alias("_row"))).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

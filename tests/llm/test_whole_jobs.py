@@ -68,3 +68,17 @@ def test_notices_are_verified(spark):
     want += ["", ""]
     got = labels(spark, texts)
     assert [(texts[i], got[i][0]) for i in range(len(texts))] == list(zip(texts, want, strict=True))
+
+
+def test_pipeline_drops_rows_by_doc_id_and_text(spark, sf_dir):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    schema = "doc_id long, text string"
+    rows = spark.createDataFrame([(1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c)], schema)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, rows, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (2, b), (None, c)], key=repr)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("text <> ''").first()["text"]
+    rows = spark.createDataFrame([(5, item), (5, a), (None, item), (None, b)], schema)
+    got = [tuple(r) for r in corpus_pipeline.decontaminate(spark, rows, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(5, a), (None, b)], key=repr)
