@@ -65,15 +65,16 @@ def full_gram_hashes(words: Column, k: int) -> Column:
     return F.slice(gram_hashes(words, k), F.lit(1), F.greatest(F.size(words) - (k - 1), F.least(F.size(words), F.lit(1))))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph with long node columns ``a`` and ``b``.
 
     Returns ``node, component`` (the smallest node reachable) for every node that has an edge. Alternates
     large-star and small-star steps; a node's neighbours are only ever reduced to their minimum, never collected.
-    Each round is written to the shared folder, so that lineage stays short."""
+    Each round is written to the shared folder, so that lineage stays short. The rounds end when the edges no longer change, which
+    they do as every edge only ever moves to smaller nodes."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = materialize(pairs)
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: every larger neighbour of u moves to u's minimum
@@ -87,8 +88,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs = new
         if old_sum == new_sum:
             break
-    else:
-        raise RuntimeError("components did not settle")
     leaves = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -14,10 +14,11 @@ So linked sets always share a signature; no bucket is capped.
 
 Work in a bucket. Equal sets are one class and meet once. Each class is first verified against the smallest class of a
 bucket, and components are formed. Then only buckets that still hold several components are gone through for pairs across components,
-those of many classes in blocks that meet two by two in tasks of their own;
-a histogram of each set's elements, with more cells for larger sets, whose L1 distance cannot exceed the number of differing
-elements, rules out pairs before they are emitted. The nearest pair of a set and another component is verified first; where it
-links them, the rest need not be looked at. Every pair that is emitted is verified on the whole texts.
+those of many classes in blocks that meet two by two in tasks of their own. A set's bitmap has a bit for the parity of the elements in
+each of its cells; the number of bits in which two bitmaps differ cannot exceed the number of differing elements and is close to it, so
+that pairs which do not link are ruled out before they are emitted. A pair that shares several buckets is emitted in the first only,
+as far as the few smallest signatures that each class brings along tell. The nearest pair of a set and another component is verified first;
+where it links them, the rest need not be looked at. Every pair that is emitted is verified on the whole texts, once.
 
 Hashes have 64 bits. Null and empty texts have empty sets and link with nothing; repeated rows get a row each; a null identifier
 takes part, but cannot name a component.
@@ -39,15 +40,17 @@ SHINGLE = 5
 BLOCK_BYTES = 500_000
 #: Sizes of a band lie within this ratio; up to SMALL, parts are cut in three.
 RATIO, SMALL, SLACK = 1.5, 48, 1.2
-#: Histograms have a cell for every ELEMENTS_PER_CELL elements, LEAST_CELLS at least, a power of two: unrelated sets then lie
-#: farther apart than linked ones at every size.
-LEAST_CELLS, ELEMENTS_PER_CELL = 128, 8
-#: Identifiers are broadcast up to this number (16 MB); more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Bitmaps have four bits or more for each element up to MANY_BITS bits, one or more beyond, LEAST_BITS at least, a power of two. Unrelated
+#: sets then lie farther apart than linked ones at every size.
+LEAST_BITS, MANY_BITS, BITS_PER_ELEMENT = 512, 8192, 4
+#: Signatures that a class brings along, the smallest first, to tell whether a pair has met in an earlier bucket.
+FIRST_SIGNATURES = 64
+#: Rows of four numbers are broadcast up to this number (8 MB); more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 250_000
 #: Members that one task verifies against a leader before the leader is copied to another.
 MEMBERS = 500
-#: Classes of a bucket in one block; larger buckets are cut into blocks that meet two by two.
-BUCKET = 1000
+#: Classes, and bytes of their bitmaps, of a bucket in one block; larger buckets are cut into blocks that meet two by two.
+BUCKET, BUCKET_BYTES = 1000, 1 << 20
 
 _u = np.uint64
 
@@ -112,18 +115,28 @@ def set_classes(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.n
     return n, _mix(total, 5).view(np.int64)
 
 
-def histograms(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[bytes | None]:
-    """Elements in each cell, up to 255, for each set; null for empty sets. A cell of a smaller histogram is two of a larger."""
+def bitmaps(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Parity of the elements in each cell for each set; null for empty sets. A smaller bitmap is a larger one folded by exclusive or."""
     bounds = np.concatenate(([0], np.cumsum(n)))
     place = _mix(gram, 11)
     out: list[bytes | None] = []
     for i, size in enumerate(n.tolist()):
-        bits = max(LEAST_CELLS, size // ELEMENTS_PER_CELL).bit_length() - 1
-        cell = (place[bounds[i] : bounds[i + 1]] >> _u(64 - bits)).astype(np.int64)
-        out.append(np.minimum(np.bincount(cell, minlength=1 << bits), 255).astype(np.uint8).tobytes() if size else None)
+        if not size:
+            out.append(None)
+            continue
+        bits = 1 << (max(LEAST_BITS, min(BITS_PER_ELEMENT * size, MANY_BITS), size) - 1).bit_length()
+        cell = (place[bounds[i] : bounds[i + 1]] & _u(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(cell, minlength=bits) & 1).astype(np.uint8)).tobytes())
     return out
 
 
+def bits_apart(many: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Differing bits between each row of ``many`` and ``one``, which may be shorter."""
+    if many.shape[1] > len(one):
+        many = np.bitwise_xor.reduce(many.reshape(len(many), -1, len(one)), axis=1)
+    return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
+
+
 def bands() -> np.ndarray:
     """Largest size of each band."""
     edges = [1]
@@ -199,7 +212,7 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def classify_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set) and cells (a histogram of the set's elements)."""
+    """doc_id, n_shingles, class (null for an empty set) and cells (the bitmap of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +220,7 @@ def classify_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a, b in _blocks(texts):
                 owner, gram = shingle_sets(texts[a:b])
                 n, cls = set_classes(owner, gram, b - a)
-                cells = histograms(owner, gram, n)
+                cells = bitmaps(owner, gram, n)
                 empty = n == 0
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array(cells, pa.binary())],
@@ -242,29 +255,35 @@ def signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """sig, class, leader: the buckets with more than one class, and the smallest class of each."""
+    """sig, class, leader: the buckets with more than one class, and the smallest class of each.
+
+    Rows come sorted, so a task keeps the last row only, however large a bucket is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a bucket lies in one partition; sixteen bytes are kept for each of the partition's rows
-        got = [(np.array(b.column(0)), np.array(b.column(1))) for b in batches]
-        if not got:
-            return
-        sig, cls = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.lexsort((cls, sig))
-        sig, cls = sig[order], cls[order]
-        new_sig = np.concatenate(([True], sig[1:] != sig[:-1]))
-        new = new_sig | np.concatenate(([True], cls[1:] != cls[:-1]))
-        sig, cls, new_sig = sig[new], cls[new], new_sig[new]
-        begin = np.flatnonzero(new_sig)
-        count = np.diff(np.append(begin, len(sig)))
-        many = np.repeat(count > 1, count)
-        leader = np.repeat(cls[begin], count)
-        for a in range(0, len(sig), 500_000):
-            m = many[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 500_000][m], pa.int64()) for x in (sig, cls, leader)], names=["sig", "class", "leader"])
-
-    return rows.repartition("sig").mapInArrow(run, "sig long, class long, leader long")
+        last_sig, last_cls, leader, rank = None, 0, 0, 0
+        for batch in batches:
+            sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            new_sig = np.concatenate(([last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]))
+            fresh = new_sig | np.concatenate(([cls[0] != last_cls], cls[1:] != cls[:-1]))
+            last_sig, last_cls = sig[-1], cls[-1]
+            sig, cls, new_sig = sig[fresh], cls[fresh], new_sig[fresh]
+            if not len(sig):
+                continue
+            # place in the bucket, and the bucket's first class; the bucket that goes on from the last batch has its own so far
+            group = np.cumsum(new_sig)
+            begin = np.flatnonzero(new_sig)
+            place = np.arange(len(sig)) - np.concatenate(([-rank - 1], begin))[group]
+            lead = np.concatenate(([leader], cls[begin]))[group]
+            leader, rank = lead[-1], int(place[-1])
+            member, second = place > 0, place == 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x), pa.int64()) for x in ((sig[member], sig[second]), (cls[member], lead[second]), (lead[member], lead[second]))],
+                names=["sig", "class", "leader"],
+            )
+
+    return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(run, "sig long, class long, leader long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -273,7 +292,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
     members = pairs.join(leaders, "a").select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
     own = leaders.select(F.col("a").alias("doc"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
     links = materialize(members.unionByName(own))
-    small = links.count() <= MAX_BROADCAST_IDS
+    small = links.count() <= MAX_BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(links) if small else links, "doc").select("lead", "salt", "member", "doc", "text")
     rows = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
@@ -320,52 +339,66 @@ def bucket_blocks(buckets: DataFrame) -> DataFrame:
     return rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "parts")
 
 
+def _matrix(cells: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps of ``rows``, all of ``width`` bytes, as rows of 64-bit words."""
+    starts = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset + rows].astype(np.int64)
+    data = np.frombuffer(cells.buffers()[2], np.uint8)
+    return data[starts[:, None] + np.arange(width)].view(np.uint64)
+
+
 def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of representatives in one bucket that lie in different components and that their histograms allow.
+    """Pairs of representatives in one bucket that lie in different components and that their bitmaps allow.
+
+    ``buckets`` has sig, class, parts, rep, comp, n, cells, firsts. With ``nearest``, of the pairs of a representative and a component in
+    two blocks of a bucket only the one with the nearest bitmaps. Rows come sorted, so a task holds the two blocks at hand only."""
 
-    ``buckets`` has sig, class, parts, rep, comp, n, cells. With ``nearest``, of the pairs of a representative and a component in two
-    blocks of a bucket only the one with the nearest histograms. Rows come sorted, so a task holds the two blocks at hand only."""
+    def meet(table: pa.Table) -> list[tuple[int, int]]:
+        sig, rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("sig", "rep", "comp", "n", "block", "lo", "hi"))
+        cells, firsts = table["cells"].combine_chunks(), table["firsts"].combine_chunks()
+        width = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
+        out: list[tuple[int, int]] = []
+        known: dict[int, set[int]] = {}
 
-    def meet(table: pa.Table, done: set[tuple[int, int]], out: list[tuple[int, int]]) -> None:
         def add(i: int, j: int) -> None:
-            pair = (min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j])))
-            if pair not in done:
-                done.add(pair)
-                out.append(pair)
+            for k in (i, j):
+                if k not in known:
+                    known[k] = set(firsts[k].as_py())
+            if min(known[i] & known[j], default=sig[i]) >= sig[i]:  # else they have met in an earlier bucket
+                out.append((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
 
-        rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("rep", "comp", "n", "block", "lo", "hi"))
-        cells = [np.frombuffer(x, np.uint8) for x in table["cells"].to_pylist()]
         begin = _group_starts(table)
-        for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(rep)], strict=True):
-            if (comp[x:y] == comp[x]).all():
+        size = np.diff(np.append(begin, len(rep)))
+        # buckets of two, which are the most, all at once
+        pairs = begin[size == 2]
+        pairs = pairs[(comp[pairs] != comp[pairs + 1]) & (width[pairs] == width[pairs + 1]) & (n[pairs + 1] <= n[pairs] * 5 // 4)]
+        for w in np.unique(width[pairs]).tolist():
+            at = pairs[width[pairs] == w]
+            apart = np.bitwise_count(_matrix(cells, at, w) ^ _matrix(cells, at + 1, w)).sum(axis=1, dtype=np.int64)
+            for i in at[apart <= (n[at] + n[at + 1]) // 9].tolist():
+                add(i, i + 1)
+        for x, y in zip(begin.tolist(), (begin + size).tolist(), strict=True):
+            if (y - x == 2 and width[x] == width[x + 1]) or (comp[x:y] == comp[x]).all():
                 continue
             across = lo[x] != hi[x]  # two blocks: those of one block meet elsewhere
-            # sorted by size, so runs of one number of cells follow each other
-            sizes = np.array([len(c) for c in cells[x:y]])
-            own = {int(c): np.stack(cells[x + int(np.argmax(sizes == c)) : x + int(np.searchsorted(sizes, c, side="right"))]).astype(np.int16) for c in np.unique(sizes)}
+            # sorted by size, so bitmaps of one width follow each other
+            widths = width[x:y]
+            own = {w: (x + int(np.searchsorted(widths, w)), _matrix(cells, x + np.flatnonzero(widths == w), w)) for w in np.unique(widths).tolist()}
             for i in range(x, y - 1):
                 end = x + int(np.searchsorted(n[x:y], n[i] * 5 // 4, side="right"))  # no larger partner links
+                first, rows = own[int(width[i])]
+                mine = rows[i - first]
                 near: dict[int, tuple[int, int]] = {}
-                for c, rows in own.items():
-                    first = x + int(np.searchsorted(sizes, c, side="left"))
+                for w, (first, rows) in own.items():
                     a, b = max(i + 1, first), min(end, first + len(rows))
-                    if c < len(cells[i]) or a >= b:
+                    if w < width[i] or a >= b:
                         continue
-                    mine = cells[i].astype(np.int16)
                     fit = comp[a:b] != comp[i]
                     if across:
                         fit &= block[a:b] != block[i]
                     js = a + np.flatnonzero(fit)
                     if not len(js):
                         continue
-                    theirs = rows[js - first]
-                    if c > len(mine):  # fold the finer histogram; cells that are full only make the distance smaller
-                        full = (theirs == 255).reshape(len(js), len(mine), -1).any(axis=2)
-                        theirs = theirs.reshape(len(js), len(mine), -1).sum(axis=2, dtype=np.int16)
-                        gap = np.where(full, np.maximum(theirs - mine, 0), np.abs(np.minimum(theirs, 255) - mine))
-                    else:
-                        gap = np.abs(theirs - mine)
-                    apart = gap.sum(axis=1, dtype=np.int64)
+                    apart = bits_apart(rows[js - first], mine)
                     fits = apart <= (n[js] + n[i]) // 9
                     for j, d in zip(js[fits].tolist(), apart[fits].tolist(), strict=True):
                         if not nearest:
@@ -374,9 +407,9 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
                             near[int(comp[j])] = (d, j)
                 for _, j in near.values():
                     add(i, j)
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
         held = None  # rows of the two blocks that have not ended
         for batch in chain(batches, [None]):
             if batch is None:
@@ -388,13 +421,10 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
                 held, table = table.slice(last), table.slice(0, last)
             if table is None or not table.num_rows:
                 continue
-            out: list[tuple[int, int]] = []
-            meet(table, done, out)
+            out = meet(table)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-            if len(done) > 1_000_000:
-                done.clear()
 
-    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
+    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells", "firsts").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -409,17 +439,22 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     star = star.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     of = reps.select("class", "rep")
     pairs = star.join(of.select("class", F.col("rep").alias("b")), "class").join(of.select(F.col("class").alias("leader"), F.col("rep").alias("a")), "leader").select("a", "b")
-    links = materialize(verify(materialize(pairs), docs, id_col, text_col).distinct())
+    pairs = materialize(pairs)
+    links = materialize(verify(pairs, docs, id_col, text_col).distinct())
     comps = connected_components(links)
-    # what the leaders have not joined: first the nearest pairs, then all that still cross
+    # what the leaders have not joined: first the nearest pairs, then all that still cross and have not been verified
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for nearest in (True, False):
         labelled = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("class", "rep", "comp", "n", "cells")
-        members = buckets.select("sig", "class").join(labelled.select("class", "comp"), "class")
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BUCKET).cast("int").alias("parts")).where("lo <> hi").select("sig", "parts")
+        members = buckets.select("sig", "class").join(labelled.select("class", "comp", F.length("cells").alias("bytes")), "class")
+        parts = F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("bytes") / BUCKET_BYTES)).cast("int")
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts.alias("parts")).where("lo <> hi").select("sig", "parts")
         buckets = materialize(buckets.select("sig", "class").join(mixed, "sig"))
-        crossing = materialize(crossing_pairs(buckets.join(labelled, "class"), nearest))
+        firsts = buckets.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGNATURES).alias("firsts"))
+        crossing = materialize(crossing_pairs(buckets.join(labelled.join(firsts, "class"), "class"), nearest).join(tried, ["a", "b"], "left_anti"))
         if crossing.isEmpty():
-            break
+            continue
+        tried = tried.unionByName(crossing)
         more = materialize(verify(crossing, docs, id_col, text_col).distinct())
         if not more.isEmpty():
             links = materialize(links.unionByName(more))
