@@ -32,6 +32,15 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), starts
 
 
+def inside(texts: list[str], starts: np.ndarray, size: int) -> np.ndarray:
+    """Which places of ``codes`` lie in a text and not in the padding after it."""
+    out = np.ones(size, dtype=bool)
+    ends = starts + np.array([len(t) for t in texts], dtype=np.int64)
+    for k in range(len(PAD)):
+        out[ends + k] = False
+    return out
+
+
 def char_ngrams(c: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Hash of ``bits`` bits of the n-gram that begins at each place; the last places wrap into padding."""
     h = (c + np.uint32(n)) * _MULT[0]

@@ -1,11 +1,12 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Tasks count hashed n-grams of one to three characters by language; the counts are summed by Spark over the whole
-training part. The log-probability matrix (languages x hash buckets, bounded by both) is broadcast, and tasks score
-their texts by gathering and summing its columns.
+training part. The log-probability matrix is broadcast, 96 KB for each language of the training rows, and tasks score
+their texts by gathering and summing its columns. N-grams begin within their text, so a score depends on the text alone.
 
 Null and empty texts and texts without a letter are ``und`` with score 0; ties go to the first language in order;
-without training rows everything is ``und``. Repeated rows each get their row.
+without training rows everything is ``und``, texts with letters too. Repeated rows each get their row. Input columns named
+``lang_pred`` or ``score`` are replaced.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from pyspark.sql import functions as F
 from . import features
 
 BITS, ORDERS = 13, (1, 2, 3)
-#: Languages a model may have; more are an error, as the matrix is broadcast.
-MAX_LANGUAGES = 512
 ALPHA = 0.5
 UNKNOWN = "und"
 
 
-def _buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    c, starts = features.codes([t.lower() for t in texts])
-    return [features.char_ngrams(c, n, BITS) + np.uint32(i << BITS) for i, n in enumerate(ORDERS)], starts
+def _buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of each order at each place, the places that count, and where each text starts."""
+    texts = [t.lower() for t in texts]
+    c, starts = features.codes(texts)
+    return [features.char_ngrams(c, n, BITS) + np.uint32(i << BITS) for i, n in enumerate(ORDERS)], features.inside(texts, starts, len(c)), starts
 
 
 def count_ngrams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -43,8 +44,9 @@ def count_ngrams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             for lang, texts in by_lang.items():
                 total = found.setdefault(lang, np.zeros(len(ORDERS) << BITS, dtype=np.int64))
                 for a, b in features.blocks(texts):
-                    for h in _buckets(texts[a:b])[0]:
-                        total += np.bincount(h, minlength=len(total))
+                    hashes, own, _ = _buckets(texts[a:b])
+                    for h in hashes:
+                        total += np.bincount(h[own], minlength=len(total))
         for lang, total in found.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
@@ -55,9 +57,7 @@ def count_ngrams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities, one row for each bucket."""
-    langs = sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r[0] for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col).distinct().collect())
     counts = np.zeros((max(len(langs), 1), len(ORDERS) << BITS))
     if langs:
         t = count_ngrams(docs, lang_col, text_col).toArrow()
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score (posterior of the predicted language)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = shared.value
@@ -77,8 +77,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             texts = [t or "" for t in batch.column(len(others)).to_pylist()]
             preds, scores = [], []
             for a, b in features.blocks(texts):
-                hashes, starts = _buckets(texts[a:b])
-                total = np.array([sum(np.add.reduceat(row[h], starts, dtype=np.float64) for h in hashes) for row in logp])
+                hashes, own, starts = _buckets(texts[a:b])
+                total = np.array([sum(np.add.reduceat(np.where(own, row[h], np.float32(0)), starts, dtype=np.float64) for h in hashes) for row in logp])
                 best = total.argmax(axis=0)
                 post = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
                 for text, k, p in zip(texts[a:b], best, post, strict=True):

@@ -94,7 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray | None, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1."""
+    """``docs`` with ``score``, the probability of label 1; a column of that name is replaced."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
@@ -107,10 +108,8 @@ def predict(docs: DataFrame, model: tuple[np.ndarray | None, float], text_col: s
             if weights is not None:
                 for a, b in features.blocks(texts):
                     grams, (starts, words, first, c) = _features(texts[a:b])
-                    inside = np.ones(len(c), dtype=np.float32)
+                    inside = features.inside(texts[a:b], starts, len(c)).astype(np.float32)
                     lengths = np.array([len(t) for t in texts[a:b]])
-                    for k in range(len(features.PAD)):
-                        inside[starts + lengths + k] = 0
                     total = sum(np.add.reduceat(weights[g] * inside, starts, dtype=np.float64) for g in grams)
                     n = lengths * float(len(ORDERS))
                     sums = np.concatenate(([0.0], np.cumsum(weights[words], dtype=np.float64)))
