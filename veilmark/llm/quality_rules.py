@@ -1,11 +1,12 @@
 """Quality rules with adaptive thresholds.
 
 Text statistics are computed row by row. Per language and source, mergeable KLL quantile sketches of them give an upper fence
-(third quartile plus a multiple of the interquartile range) instead of a fixed cutoff; small groups fall back to the
-sketch of their language, merged from its groups, and at last to that of all. The fences are joined back and filter.
+(third quartile plus a multiple of the interquartile range) instead of a fixed cutoff. A group's quartiles are drawn towards those of
+its language, merged from its groups, and these towards those of all: with ``n`` rows the group counts ``n / (n + PRIOR)``, at every
+size. The fences are joined back and filter.
 
-Only DataFrame functions are used. Null texts have no words; null languages and sources are groups of their own;
-repeated rows each get their row.
+Only DataFrame functions are used. Null texts have no words; null languages and sources, or missing columns, are groups of their own;
+repeated rows each get their row; columns of the input with names of the statistics are replaced.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_GAP, materialize, split_words
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Groups with fewer documents take the fences of their language, and languages those of the whole corpus.
-MIN_GROUP = 200
+#: Rows that the quartiles of the language count for in those of a group, and those of all in those of a language.
+PRIOR = 200
 #: Width of the fence in interquartile ranges, and the least width: a fence never lies nearer to the third quartile.
 FENCE = 6.0
 LEAST_WIDTH = {"symbol_ratio": 0.15, "dup_line_ratio": 0.25, "repeat_ratio": 0.15, "upper_ratio": 0.3, "bang_ratio": 0.15}
@@ -60,34 +61,30 @@ def _ratios(stats: DataFrame) -> DataFrame:
     })
 
 
-def _fences(n: Column, sketches: dict[str, Column]) -> list[Column]:
-    out = []
-    for m, s in sketches.items():
-        low, high = F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.kll_sketch_get_quantile_double(s, F.lit(0.75))
-        width = F.greatest(FENCE * (high - low), F.lit(LEAST_WIDTH[m]))
-        out.append(F.when(n >= MIN_GROUP, high + width).alias(f"fence_{m}"))
-    return out
+def _quartiles(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """keys, n and the quartiles of each metric from its sketch."""
+    q = lambda m, at: F.kll_sketch_get_quantile_double(F.col(m), F.lit(at))
+    return rows.select(*keys, F.col("n").alias(f"{tag}_n"), *[q(m, at).alias(f"{tag}_{m}_{k}") for m in METRICS for k, at in (("low", 0.25), ("high", 0.75))])
 
 
 def adaptive_verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``stats`` with the fences of each row's group and ``within`` (no metric above its fence)."""
     rows = _ratios(stats)
-    lang, source = F.coalesce(F.col(lang_col), F.lit("\x00")), F.coalesce(F.col(source_col), F.lit("\x00"))
-    rows = rows.withColumns({"_lang": lang, "_source": source})
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in stats.columns else F.lit("\x00")
+    rows = rows.withColumns({"_lang": key(lang_col), "_source": key(source_col)})
     per_source = materialize(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]))
-    merged = [F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]
-    own = lambda df, keys, tag: df.select(*keys, *[c.alias(f"{tag}_{m}") for m, c in zip(METRICS, _fences(F.col("n"), {m: F.col(m) for m in METRICS}), strict=True)])
-    by_source = own(per_source, ["_lang", "_source"], "s")
-    by_lang = own(per_source.groupBy("_lang").agg(F.sum("n").alias("n"), *merged), ["_lang"], "l")
-    whole = own(per_source.agg(F.sum("n").alias("n"), *merged), [], "w")
-    # the groups' fences are one small row for each language and source; they are put together before they meet the rows
-    fences = by_source.join(by_lang, "_lang").join(F.broadcast(whole))
-    fences = fences.select("_lang", "_source", *[F.coalesce(f"s_{m}", f"l_{m}", f"w_{m}").alias(f"fence_{m}") for m in METRICS])
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]]
+    by_source, by_lang, whole = _quartiles(per_source, ["_lang", "_source"], "s"), _quartiles(per_source.groupBy("_lang").agg(*merged), ["_lang"], "l"), _quartiles(per_source.agg(*merged), [], "w")
+    # the groups' quartiles are one small row for each language and source; they are put together before they meet the rows
+    groups = by_source.join(by_lang, "_lang").join(F.broadcast(whole))
+    share = lambda tag: F.col(f"{tag}_n") / (F.col(f"{tag}_n") + PRIOR)
+    drawn = lambda tag, own, other: share(tag) * F.col(own) + (1 - share(tag)) * other
+    quartile = lambda m, k: drawn("s", f"s_{m}_{k}", drawn("l", f"l_{m}_{k}", F.col(f"w_{m}_{k}")))
+    fences = groups.select("_lang", "_source", *[(quartile(m, "high") + F.greatest(FENCE * (quartile(m, "high") - quartile(m, "low")), F.lit(LEAST_WIDTH[m]))).alias(f"fence_{m}") for m in METRICS])
     joined = rows.join(fences, ["_lang", "_source"])
-    fits = [F.coalesce(F.col(m) <= F.col(f"fence_{m}"), F.lit(True)) for m in METRICS]
-    verdict = fits[0]
-    for f in fits[1:]:
-        verdict = verdict & f
+    verdict = F.lit(True)
+    for m in METRICS:
+        verdict = verdict & (F.col(m) <= F.col(f"fence_{m}"))
     return joined.withColumn("within", verdict).drop("_lang", "_source")
 
 
