@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from veilmark.llm import byte_bpe, decontamination, jaccard_join, pii, quality_classifier
 from veilmark.llm.common import materialize, table
 
-#: Identifiers to drop are broadcast up to this number (16 MB); more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Identifiers to drop, eight bytes each, are broadcast up to this number (4 MB with the hash table); more are joined by a shuffle.
+MAX_BROADCAST_IDS = 250_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, one number for each doc_id (null too) and text, in the order of doc_id with null last."""
-    keys = docs.select("doc_id", F.xxhash64("text").alias("_key")).distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_key")
-    keys = materialize(keys.select(F.col("doc_id").alias("_id"), "_key", F.monotonically_increasing_id().alias("_row")))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return docs.join(F.broadcast(keys) if keys.count() <= MAX_BROADCAST_IDS else keys, same).select(*docs.columns, "_row")
+    """``docs`` with ``_row``, a hash of doc_id (null too) and text: equal rows have one, other rows differ."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -37,12 +34,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of linked documents, and one row of repeated ones."""
+    """Keep the document with the smallest doc_id (null last) of each group of linked documents, and one row of repeated ones."""
     rows = _numbered(docs)
-    found = jaccard_join.link_documents(rows, "_row")
-    kept = _without(rows, found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row")))
-    # only rows that repeat are shuffled
-    times = materialize(found.groupBy(F.col("doc_id").alias("_row")).count().where("count > 1").select("_row"))
+    found = materialize(jaccard_join.link_documents(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id"))
+    # only rows of groups of several are looked at again, without their texts
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("n > 1")
+    linked = materialize(found.join(groups.where("lo <> hi").select("component_id"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    members = linked.distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
+    first = members.groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = _without(rows, members.join(first, "component_id").where("_row <> first._row").select("_row"))
+    times = materialize(found.groupBy("_row").count().where("count > 1").select("_row"))
     few = F.broadcast(times) if times.count() <= MAX_BROADCAST_IDS else times
     once = kept.join(few, "_row", "left_semi").dropDuplicates(["_row"])
     return kept.join(few, "_row", "left_anti").unionByName(once).select(*docs.columns)
