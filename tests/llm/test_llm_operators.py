@@ -271,8 +271,8 @@ def test_pipeline_stages(spark, sf_dir):
     assert docs.where(~F.col("round_trip")).count() == 0
 
 
-def test_replay_of_short_and_long_pieces():
-    """Both ways of replaying agree with the public library, around the length where one hands over to the other."""
+def test_merge_replay():
+    """Random texts and random strings of tokens, of which many have merges that make room for earlier ones."""
     import public_tokenizers
     import tiktoken
 
@@ -281,7 +281,9 @@ def test_replay_of_short_and_long_pieces():
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=replay.ranks, special_tokens={})
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abcé日\U0001f600 \n1A'") for _ in range(rnd.randint(0, 200))) for _ in range(300)]
-    texts += ["", "é" * 32, "x" * byte_bpe.SHORT, "x" * (byte_bpe.SHORT + 1), "a" * 3000, " " * 200]
+    texts += ["", "é" * 32, "x" * 65, "a" * 3000, " " * 200, "aaaa bbbb" * 50]
+    long = [t for t in tokens if len(t) > 2]
+    texts += [b"".join(rnd.choice(long)[: rnd.randint(1, 9)] for _ in range(rnd.randint(1, 6))).decode("utf-8", "ignore") for _ in range(2000)]
     want = [b"".join(i.to_bytes(4, "little") for i in whole.encode_ordinary(t)) for t in texts]
     assert replay.encode(texts) == want
     assert replay.encode(texts) == want  # from memory

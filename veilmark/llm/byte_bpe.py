@@ -1,16 +1,14 @@
 """Byte-level BPE encoding and decoding by merge replay over a vocabulary.
 
-A task gathers the distinct pieces of its texts and keeps, for each possible merge, an inverted index of the places
-where its token pair stands. Merges are applied in the order of their ranks, each at all its places; only the
-neighbours of a place change and enter the index anew. The result is that of merging each piece by itself, lowest
-rank and leftmost place first.
-
-Pieces of up to ``SHORT`` bytes are replayed together in arrays: the index has an entry (rank, place) for each pair, and
-a round takes the first entry of every piece and looks up the pairs of the touched neighbours anew. Longer pieces, for
-which that would take as many rounds as they have merges, go through an index of lists and a queue of ranks.
+A task gathers the distinct pieces of many texts, lays their bytes out as tokens in one row, and keeps an inverted index from
+each token pair, named by the rank of its merge, to the places where it stands. Merges are applied in the order of their ranks, each at
+all its places at once; only the neighbours of a place change, and only their pairs are looked up anew and enter the index. Where a
+merge makes room for one of a lower rank (which few vocabularies allow), the later places of that piece wait until the lower one is
+done. So the result is that of merging each piece by itself, lowest rank and leftmost place first.
 
 Encoding adds ``token_ids`` (ids as little-endian unsigned 32-bit integers), decoding adds ``decoded`` (bytes). Null
-texts are empty and have no tokens. Repeated rows each get their row; all other columns are kept.
+texts are empty and have no tokens. Repeated rows each get their row; all other columns are kept, but for input columns
+named like those that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,20 +16,21 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .features import blocks
+from .common import bound_batches
 
+#: New pieces, and characters of texts, after which a replay begins; they bound what a task holds.
+MAX_NEW, MAX_CHARS = 200_000, 4_000_000
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
 MAX_MEMORY = 300_000
-#: Bytes of a piece up to which it is replayed in arrays.
-SHORT = 64
-#: Rank of a pair that no merge makes.
-NONE = 1 << 20
+#: Rank of a pair that no merge makes, and the token beyond either end of a piece.
+NONE = (1 << 31) - 1
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -41,151 +40,126 @@ def load_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+class Pieces(dict):
+    """Numbers for pieces, in the order in which they come."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class MergeReplay:
     """Encodes pieces of text; remembers what it has seen."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
 
-        self.tokens, self.find = tokens, regex.compile(pattern).findall
+        self.find = regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-        self.memory: dict[str, bytes] = {}
-        made = sorted((a << 20 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None)
-        self.pair_keys = np.array([k for k, _ in made] + [1 << 40], dtype=np.int64)
+        self.byte_table = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        made = sorted((a << 32 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None)
+        self.pair_keys = np.array([k for k, _ in made] + [(1 << 63) - 1], dtype=np.int64)
         self.pair_ranks = np.array([i for _, i in made] + [NONE], dtype=np.int64)
-        byte_ids = np.array(self.byte_ids, dtype=np.int64)
-        self.byte_table, self.byte_pairs = byte_ids, self.look_up(np.repeat(byte_ids, 256), np.tile(byte_ids, 256))
+        #: tokens of which some pair has a lower rank than the token itself
+        self.uneven = {x for k, i in made for x in (k >> 32, k & NONE) if x > i}
+        self.numbers, self.coded = Pieces(), []
 
-    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def look_up(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         """Ranks of the merges of token pairs, NONE where there is none."""
-        keys = a << 20 | b
+        keys = a << 32 | b
         at = np.searchsorted(self.pair_keys, keys)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
 
-    def replay_short(self, pieces: list[str], raw: list[bytes]) -> None:
-        """Put the ids of short pieces into the memory."""
+    def replay(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces (of one byte or more) in a row, and how many each has."""
         lengths = np.array([len(r) for r in raw], dtype=np.int64)
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        ids, of = self.byte_table[data], np.repeat(np.arange(len(raw)), lengths)
-        rank = np.full(len(ids), NONE, dtype=np.int64)
-        same = of[1:] == of[:-1]
-        rank[:-1][same] = self.byte_pairs[data[:-1].astype(np.int64) << 8 | data[1:]][same]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(ids):
-            begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            first = np.minimum.reduceat(rank << 40 | np.arange(len(ids)), begins)
-            going = first >> 40 < NONE
-            if not going.all():
-                live = np.repeat(going, np.diff(np.append(begins, len(ids))))
-                done.append((of[~live], ids[~live]))
-                gone = np.cumsum(~live)
-                ids, of, rank, first = ids[live], of[live], rank[live], first[going]
-                at = (first & (1 << 40) - 1) - gone[first & (1 << 40) - 1]
-            else:
-                at = first & (1 << 40) - 1
-            if not len(at):
-                break
-            ids[at] = first >> 40
-            kept = np.ones(len(ids), dtype=bool)
-            kept[at + 1] = False
-            ids, of, rank = ids[kept], of[kept], rank[kept]
-            at = at - np.arange(len(at))  # one place went in each piece before
-            for left in (at[at > 0] - 1, at):
-                left = left[left + 1 < len(ids)]
-                rank[left] = np.where(of[left] == of[left + 1], self.look_up(ids[left], ids[left + 1]), NONE)
-            rank[-1] = NONE
-        of, ids = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(of, kind="stable")
-        ends = (np.cumsum(np.bincount(of, minlength=len(raw))) * 4).tolist()
-        coded, begin = ids[order].astype("<u4").tobytes(), 0
-        for piece, end in zip(pieces, ends, strict=True):
-            self.memory[piece] = coded[begin:end]
-            begin = end
-
-    def pair_rank(self, a: int, b: int) -> int:
-        key = a << 20 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return rank
-
-    def replay(self, pieces: list[str]) -> None:
-        """Put the ids of the pieces into the memory."""
-        ids: list[int] = []
-        after: list[int] = []  # place of the next token in the piece, or -1
-        before: list[int] = []
-        begins: list[tuple[str, int]] = []
-        places: dict[int, list[int]] = {}
-        for piece in pieces:
-            raw = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.memory[piece] = whole.to_bytes(4, "little")
-                continue
-            at = len(ids)
-            begins.append((piece, at))
-            ids.extend(map(self.byte_ids.__getitem__, raw))
-            after.extend(range(at + 1, at + len(raw) + 1))
-            before.extend(range(at - 1, at + len(raw) - 1))
-            after[-1] = before[at] = -1
-            for i in range(at, len(ids) - 1):
-                rank = self.pair_rank(ids[i], ids[i + 1])
-                if rank >= 0:
-                    places.setdefault(rank, []).append(i)
-        queue = list(places)
-        heapq.heapify(queue)
+        end = int(lengths.sum())
+        of = np.repeat(np.arange(len(raw)), lengths)
+        last = np.cumsum(lengths) - 1
+        # place ``end`` stands for what lies beyond a piece
+        ids = np.append(self.byte_table[np.frombuffer(b"".join(raw), dtype=np.uint8)], NONE)
+        after, before = np.arange(1, end + 2), np.arange(-1, end)
+        after[last], before[last - lengths + 1], after[end] = end, end, end
+        rank = self.look_up(ids, ids[after])
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(places: np.ndarray) -> None:
+            own = rank[places]
+            places, own = places[own < NONE], own[own < NONE]
+            if len(own) > 1:
+                order = np.argsort(own, kind="stable")
+                places, own = places[order], own[order]
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+            for x, y, r in zip(cuts, cuts[1:], own[cuts[:-1]].tolist(), strict=False):
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(queue, r)
+                index[r].append(places[x:y])
+
+        enter(np.arange(end))
         while queue:
-            rank = heapq.heappop(queue)
-            todo = places.pop(rank, None)
-            if todo is None:
+            r = heapq.heappop(queue)
+            found = index.pop(r)
+            places = found[0] if len(found) == 1 else np.sort(np.concatenate(found))
+            places = places[rank[places] == r]  # else a neighbour has changed since
+            if not len(places):
                 continue
-            todo.sort()
-            for k, i in enumerate(todo):
-                j = after[i]
-                if j < 0 or ids[i] < 0 or self.pair_rank(ids[i], ids[j]) != rank:
-                    continue  # a neighbour has changed since
-                ids[i], ids[j] = rank, -1
-                n = after[i] = after[j]
-                p, lower = before[i], False
-                if n >= 0:
-                    before[n] = i
-                    new = self.pair_rank(rank, ids[n])
-                    if new >= 0:
-                        if new not in places:
-                            heapq.heappush(queue, new)
-                        places.setdefault(new, []).append(i)
-                        lower |= new <= rank
-                if p >= 0:
-                    new = self.pair_rank(ids[p], rank)
-                    if new >= 0:
-                        if new not in places:
-                            heapq.heappush(queue, new)
-                        places.setdefault(new, []).append(p)
-                        lower |= new <= rank
-                if lower:  # the merge has made room for an earlier one; the rest of this one waits
-                    if rank not in places:
-                        heapq.heappush(queue, rank)
-                    places.setdefault(rank, []).extend(todo[k + 1 :])
-                    break
-        for n, (piece, at) in enumerate(begins):
-            end = begins[n + 1][1] if n + 1 < len(begins) else len(ids)
-            self.memory[piece] = np.array([x for x in ids[at:end] if x >= 0], dtype="<u4").tobytes()
+            p = places
+            touch = after[p[:-1]] == p[1:]
+            if touch.any():  # of places that overlap every other one is merged, from the left
+                at = np.arange(len(p))
+                begin = np.maximum.accumulate(np.where(np.concatenate(([True], ~touch)), at, 0))
+                p = p[(at - begin) % 2 == 0]
+            waits = r in self.uneven
+            if waits:
+                q = after[p]
+                left = ids[before[p]]
+                left[1:][before[p[1:]] == q[:-1]] = r
+                lower = np.minimum(self.look_up(r, ids[after[q]]), self.look_up(left, r)) < r
+                earlier = np.cumsum(lower) - lower
+                p = p[earlier == earlier[np.searchsorted(of[p], of[p])]]
+            q = after[p]
+            ids[p] = r
+            ids[q] = -1
+            rank[q] = NONE
+            then = after[q]
+            after[p] = then
+            before[then] = p
+            first = before[p]
+            rank[p] = self.look_up(r, ids[then])
+            rank[first] = self.look_up(ids[first], r)
+            rank[end] = NONE
+            enter(np.unique(np.concatenate((first, p))))
+            if waits and len(places := places[rank[places] == r]):
+                index[r] = [*index.get(r, []), places]
+                heapq.heappush(queue, r)
+        kept = ids[:end] >= 0
+        return ids[:end][kept], np.bincount(of[kept], minlength=len(raw))
+
+    def learn(self) -> None:
+        """Put the ids of new pieces into the memory."""
+        if len(self.numbers) == len(self.coded):
+            return
+        new = list(self.numbers)[len(self.coded) :]
+        ids, n = self.replay([piece.encode("utf-8", "surrogatepass") for piece in new])
+        coded, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        self.coded.extend(coded[x:y] for x, y in zip([0, *ends], ends, strict=False))
+
+    def split(self, text: str) -> np.ndarray:
+        """Numbers of the pieces of a text."""
+        pieces = self.find(text)
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
+
+    def forget(self) -> None:
+        if len(self.numbers) > MAX_MEMORY:
+            self.numbers, self.coded = Pieces(), []
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > MAX_MEMORY:
-            self.memory.clear()
-        if len(self.pairs) > 4 * MAX_MEMORY:
-            self.pairs.clear()
-        split = [self.find(t) for t in texts]
-        new = list(set().union(*split) - self.memory.keys())
-        raw = [p.encode("utf-8", "surrogatepass") for p in new]
-        short = [i for i, r in enumerate(raw) if len(r) <= SHORT and r not in self.ranks]
-        if short:
-            self.replay_short([new[i] for i in short], [raw[i] for i in short])
-        self.replay([p for p, r in zip(new, raw, strict=True) if len(r) > SHORT or r in self.ranks])
-        return [b"".join(map(self.memory.__getitem__, s)) for s in split]
+        """Ids of texts as little-endian unsigned 32-bit integers."""
+        split = [self.split(t) for t in texts]
+        self.learn()
+        return [b"".join(map(self.coded.__getitem__, s.tolist())) for s in split]
 
 
 _REPLAY: dict[tuple[str, str], MergeReplay] = {}
@@ -197,6 +171,8 @@ def _tokens(spark: SparkSession, path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids``. The vocabulary file is read once by the driver; its size is fixed."""
+    docs = docs.drop("token_ids")
+    bound_batches(docs.sparkSession)
     shared, at, names = _tokens(docs.sparkSession, path), docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +181,35 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             _REPLAY.clear()
             _REPLAY[key] = MergeReplay(shared.value, pattern)
         replay = _REPLAY[key]
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in blocks(texts):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(replay.encode(texts[a:b]), pa.binary())], names=[*names, "token_ids"])
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []  # rows that wait for the replay, and their pieces
+        size = 0
+        for batch in chain(batches, [None]):
+            split, begin = [], 0
+            for i in range(batch.num_rows if batch else 0):
+                text = batch.column(at)[i].as_py() or ""
+                split.append(replay.split(text))
+                size += len(text)
+                if size >= MAX_CHARS or len(replay.numbers) - len(replay.coded) >= MAX_NEW:
+                    held.append((batch.slice(begin, i + 1 - begin), split))
+                    yield from coded(replay, held)
+                    held, split, begin, size = [], [], i + 1, 0
+            if split:
+                held.append((batch.slice(begin), split))
+        yield from coded(replay, held)
+
+    def coded(replay: MergeReplay, held: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        replay.learn()
+        for rows, split in held:
+            ids = [b"".join(map(replay.coded.__getitem__, s.tolist())) for s in split]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=[*names, "token_ids"])
+        replay.forget()
 
     return docs.mapInArrow(run, docs.withColumn("token_ids", F.lit(b"")).schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """``rows`` with ``decoded``, the bytes that the ids stand for."""
+    rows = rows.drop("decoded")
     shared, at, names = _tokens(rows.sparkSession, path), rows.columns.index(ids_col), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import bound_batches, connected_components, materialize
 
 SHINGLE = 5
 BLOCK_BYTES = 500_000
@@ -430,6 +430,7 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    bound_batches(docs.sparkSession)
     sets = materialize(classify_sets(docs, id_col, text_col))
     classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("cells").alias("cells"))
     buckets = materialize(shared_buckets(signature_rows(docs.where(F.col(id_col).isNotNull()), text_col)))

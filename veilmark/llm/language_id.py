@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
+from .common import bound_batches
 
 BITS, ORDERS = 13, (1, 2, 3)
 ALPHA = 0.5
@@ -51,6 +52,7 @@ def count_ngrams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -68,6 +70,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tupl
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with lang_pred and score (posterior of the predicted language)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
 

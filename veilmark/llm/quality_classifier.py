@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
+from .common import bound_batches
 
 BITS, ORDERS = 14, (2, 3, 4)
 SIZE = (len(ORDERS) + 1) << BITS
@@ -96,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def predict(docs: DataFrame, model: tuple[np.ndarray | None, float], text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1; a column of that name is replaced."""
     docs = docs.drop("score")
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text_col)
