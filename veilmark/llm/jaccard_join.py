@@ -44,7 +44,7 @@ RATIO, SMALL, SLACK = 1.5, 48, 1.2
 #: sets then lie farther apart than linked ones at every size.
 LEAST_BITS, MANY_BITS, BITS_PER_ELEMENT = 512, 8192, 4
 #: Signatures that a class brings along, the smallest first, to tell whether a pair has met in an earlier bucket.
-FIRST_SIGNATURES = 64
+FIRST_SIGNATURES = 16
 #: Rows of four numbers are broadcast up to this number (8 MB); more are joined by a shuffle.
 MAX_BROADCAST_ROWS = 250_000
 #: Members that one task verifies against a leader before the leader is copied to another.
@@ -347,12 +347,13 @@ def _matrix(cells: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of representatives in one bucket that lie in different components and that their bitmaps allow.
+    """Pairs ``a, b`` of representatives in one bucket that lie in different components and that their bitmaps allow.
 
     ``buckets`` has sig, class, parts, rep, comp, n, cells, firsts. With ``nearest``, of the pairs of a representative and a component in
-    two blocks of a bucket only the one with the nearest bitmaps. Rows come sorted, so a task holds the two blocks at hand only."""
+    two blocks of a bucket only the one with the nearest bitmaps; ``sig`` of further rows, without a pair, names the buckets that have more.
+    Rows come sorted, so a task holds the two blocks at hand only."""
 
-    def meet(table: pa.Table) -> list[tuple[int, int]]:
+    def meet(table: pa.Table, more: set[int]) -> list[tuple[int, int]]:
         sig, rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("sig", "rep", "comp", "n", "block", "lo", "hi"))
         cells, firsts = table["cells"].combine_chunks(), table["firsts"].combine_chunks()
         width = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
@@ -403,7 +404,10 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
                     for j, d in zip(js[fits].tolist(), apart[fits].tolist(), strict=True):
                         if not nearest:
                             add(i, j)
-                        elif d < near.get(int(comp[j]), (1 << 60, 0))[0]:
+                            continue
+                        if int(comp[j]) in near:
+                            more.add(int(sig[i]))
+                        if d < near.get(int(comp[j]), (1 << 60, 0))[0]:
                             near[int(comp[j])] = (d, j)
                 for _, j in near.values():
                     add(i, j)
@@ -421,11 +425,13 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
                 held, table = table.slice(last), table.slice(0, last)
             if table is None or not table.num_rows:
                 continue
-            out = meet(table)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            more: set[int] = set()
+            out = meet(table, more)
+            columns = [[*(p[0] for p in out), *[None] * len(more)], [*(p[1] for p in out), *[None] * len(more)], [*[None] * len(out), *more]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "sig"])
 
-    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells", "firsts").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells", F.filter("firsts", lambda x: x < F.col("sig")).alias("firsts")).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
+    return rows.mapInArrow(run, "a long, b long, sig long").distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -452,7 +458,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts.alias("parts")).where("lo <> hi").select("sig", "parts")
         buckets = materialize(buckets.select("sig", "class").join(mixed, "sig"))
         firsts = buckets.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGNATURES).alias("firsts"))
-        crossing = materialize(crossing_pairs(buckets.join(labelled.join(firsts, "class"), "class"), nearest).join(tried, ["a", "b"], "left_anti"))
+        found = materialize(crossing_pairs(buckets.join(labelled.join(firsts, "class"), "class"), nearest))
+        # only buckets in which the nearest pairs hide others are gone through again
+        again = found.where("sig is not null").select("sig")
+        buckets = buckets.join(F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again, "sig", "left_semi")
+        crossing = materialize(found.where("sig is null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if crossing.isEmpty():
             continue
         tried = tried.unionByName(crossing)
