@@ -1,13 +1,16 @@
 """Personal data: base rules and bootstrapped contextual extraction.
 
-Base rules find emails, IP addresses, cards and phones. They seed the bootstrap: every token with a digit or an ``@`` is
-an instance, and the word before it or after it together with the token's coarse shape is a lexical pattern. Spark scores
-the pattern-instance graph in rounds until no pattern is added: a pattern's confidence for a kind is the mean score of its
-distinct instances, and an instance that no base rule has found takes the best confidence of its other patterns and counts as
-a seed for them. In the end, tokens that no base rule covers get the kind of their most confident pattern.
+Base rules find emails, IP addresses, cards and phones; a fifth kind, secrets, is seeded by long values that are assigned to a key, a token or
+a password. These seeds start the bootstrap: every token with a digit or an ``@`` is an instance (a name assigned in the same token
+is its context, as in ``id=4f``), and its lexical patterns are its shape together with the word before it, the two words before it, or the
+word after it. Shapes keep how long numbers and hexadecimal strings are by classes. Spark scores the pattern-instance graph in rounds
+until no pattern is added: a pattern's confidence for a kind is the mean score of its distinct instances, and an instance that no seed
+covers takes the best confidence of its other patterns and counts as a seed for them. In the end, tokens that no base rule covers get
+the kind of their most confident pattern.
 
 Only DataFrame functions are used. Null and empty texts have no spans; spans are in code points, end exclusive; ties between
-kinds go to the first as listed; repeated rows each get their row.
+kinds go to the first as listed; repeated rows each get their row; extra columns are left alone. Work on a text is in proportion to its
+length and, but for one part in BLOCK, to its identifiers.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
+#: Kind that no base rule finds.
+SECRET = "secret"
 #: The base rules. Anchors at the start of a run and possessive counts keep them linear on long runs without
 #: changing what they match.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -26,12 +31,19 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Tokens that may be identifiers.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: What stands before a seed of a secret, and the seed itself.
+ASSIGNED = r"(?i)(?:key|token|secret|passw(?:or)?d|pwd|credential)s?[\"']?\s*[:=]+\s*[\"']?$"
+SEED_SECRET = r"^(?=[^0-9]*[0-9])(?=.*\p{L})[\p{L}0-9+/_=-]{16,}$"
+#: A name that a token assigns its value to.
+NAME = r"^[^\w@+]*(?:[A-Za-z_.-]*[A-Za-z_-][\"']?[=:]+[^\w@+]*)?"
+HEX = r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{16,}$"
 MIN_SEEDS, CONFIDENCE = 3, 0.8
 #: Characters before and after a token in which its context words are sought.
 CONTEXT = 64
 #: Matches whose places are summed up together.
 BLOCK = 256
-MAX_BROADCAST_ROWS = 200_000
+#: Patterns and identifiers are broadcast up to so many rows and bytes.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def _located(found: str, between: str) -> Column:
@@ -98,24 +110,52 @@ def scan_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _shape(value: Column) -> Column:
-    """Coarse shape: runs of digits are one 9, runs with a letter one a, and of a chain of parts the first and last remain."""
-    for pattern, new in ((r"^\+", ""), ("[0-9]++", "9"), (r"\p{L}++", "a"), ("9(?=a)|(?<=a)9", ""), ("a++", "a"), ("(?<=[9a])[-./:()_]++[9a](?=[-./:()_]++[9a])", "")):
-        value = F.regexp_replace(value, pattern, new)
-    return value
+    """Coarse shape: runs of digits are one 9, runs with a letter one a, and of a chain of hyphens the first and last part remain.
+
+    Numbers and hexadecimal strings in one run have a shape by their length, in classes."""
+    n = F.length(value)
+    coarse = value
+    for pattern, new in ((r"^\+", ""), ("[0-9]++", "9"), (r"\p{L}++", "a"), ("9(?=a)|(?<=a)9", ""), ("a++", "a"), ("(?<=[9a])[-/()_]++[9a](?=[-/()_]++[9a])", "")):
+        coarse = F.regexp_replace(coarse, pattern, new)
+    digits = F.when(n < 4, "9{1}").when(n < 9, "9{4}").when(n < 13, "9{9}").when(n < 20, "9{13}").otherwise("9{20}")
+    letters = F.concat(F.lit("x{"), F.floor(F.log2(n.cast("double"))).cast("string"), F.lit("}"))
+    return F.when(value.rlike("^[0-9]+$"), digits).when(value.rlike(HEX), letters).otherwise(coarse)
+
+
+def _with_cover(tokens: Column, base: Column) -> Column:
+    """``tokens`` with ``seed``, the first kind of the base spans that overlap each. Only spans near a block of tokens are compared with it."""
+    n = F.size(tokens)
+
+    def block(i: Column) -> Column:
+        part = F.slice(tokens, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK))
+        begin, end = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
+        near = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > begin))
+        kind = lambda x, spans: F.array_min(F.transform(F.filter(spans, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), lambda b: b["kind_at"]))
+        # an array of one, so that the spans near the block are found once
+        return F.get(F.transform(F.array(near), lambda spans: F.transform(part, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "before", "after")], kind(x, spans).alias("seed")))), F.lit(0))
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)))
 
 
 def _instances(scanned: DataFrame) -> DataFrame:
-    """One row per token and pattern: id, key, start, end, pattern, value, seed (kind of the base rule that covers it, or null)."""
-    tokens = scanned.select("id", "key", "base", F.explode_outer("tokens").alias("x")).where("x is not null")
-    lead = F.length(F.regexp_extract("x.value", r"^[^\w@+]*", 0))
+    """One row per token and pattern: id, key, start, end, pattern, value, seed (kind of the rule that covers it, or null), base (whether
+    a base rule does)."""
+    tokens = scanned.select("id", "key", F.explode_outer(_with_cover(F.col("tokens"), F.col("base"))).alias("x")).where("x is not null")
+    lead = F.length(F.regexp_extract("x.value", NAME, 0))
     tail = F.length(F.regexp_extract(F.right("x.value", F.lit(CONTEXT)), r"[^\w@+]*$", 0))
-    covers = F.array_min(F.transform(F.filter("base", lambda b: (b["start"] < F.col("x.end")) & (b["end"] > F.col("x.start"))), lambda b: b["kind_at"]))
-    words = [F.lower(F.regexp_extract("x.before", r"(\S*)\s*$", 1)).alias("word"), F.lower(F.regexp_extract("x.after", r"^\s*(\S*)", 1)).alias("next")]
-    rows = tokens.select("id", "key", (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), *words, F.substring("x.value", lead + 1, F.greatest(F.length("x.value") - lead - tail, F.lit(0))).alias("value"), covers.alias("seed"))
-    rows = rows.where("end > start").withColumn("shape", _shape(F.col("value")))
-    before, after = F.concat("word", F.lit("\x00"), "shape"), F.concat("shape", F.lit("\x00"), "next")
-    patterns = F.when(F.col("next") == "", F.array(before)).otherwise(F.array(before, after))
-    return rows.select("id", "key", "start", "end", F.explode(patterns).alias("pattern"), "value", "seed")
+    value = F.substring("x.value", lead + 1, F.greatest(F.length("x.value") - lead - tail, F.lit(0)))
+    context = F.right(F.concat("x.before", F.left("x.value", lead)), F.lit(CONTEXT))
+    rows = tokens.select("id", "key", (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), context.alias("context"), F.col("x.after").alias("after"), value.alias("value"), F.col("x.seed").alias("cover"))
+    secret = F.col("context").rlike(ASSIGNED) & F.col("value").rlike(SEED_SECRET)
+    rows = rows.where("end > start").withColumns({"seed": F.coalesce("cover", F.when(secret, F.lit(len(KINDS)))), "shape": _shape(F.col("value"))})
+    # words of the context without quotes, the sign of an assignment being a word
+    words = F.filter(F.split(F.regexp_replace(F.lower("context"), r"([=:]+)", " $1 "), r"[\s\"']+"), lambda w: w != "")
+    rows = rows.withColumns({"words": words, "next": F.lower(F.regexp_extract("after", r"^\s*(\S*)", 1))})
+    one, two = F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit("")), F.try_element_at("words", F.lit(-2))
+    part = lambda tag, *c: F.concat_ws("\x00", F.lit(tag), *c, F.col("shape"))
+    patterns = F.array(part("1", one), F.when(two.isNotNull(), part("2", two, one)), F.when(F.col("next") != "", part("+", F.col("next"))))
+    rows = rows.select("id", "key", "start", "end", F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), "value", "seed", F.col("cover").isNotNull().alias("base"))
+    return rows.select("id", "key", "start", "end", F.explode("patterns").alias("pattern"), "value", "seed", "base")
 
 
 def score_patterns(instances: DataFrame) -> DataFrame:
@@ -145,40 +185,85 @@ def score_patterns(instances: DataFrame) -> DataFrame:
     return best.select("pattern", (-F.col("b.k")).alias("kind_at"), F.col("b.confidence").alias("confidence"))
 
 
+def _small(rows: DataFrame, size: Column) -> bool:
+    """Whether the rows, of ``size`` bytes each, are few enough for a broadcast."""
+    got = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return got["n"] <= MAX_BROADCAST_ROWS and got["bytes"] <= MAX_BROADCAST_BYTES
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, key (hash of the text), base and spans, arrays of (kind_at, start, end) in order."""
     scanned = materialize(scan_rows(docs, id_col, text_col))
     instances = materialize(_instances(scanned))
-    patterns = score_patterns(instances)
-    found = instances.where("seed is null").join(patterns, "pattern").groupBy("id", "key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind_at")).alias("k"))).alias("b"))
+    patterns = materialize(score_patterns(instances))
+    few = F.broadcast(patterns) if _small(patterns, F.length("pattern") + 16) else patterns
+    found = instances.where("not base").select("id", "key", "start", "end", "pattern").join(few, "pattern").groupBy("id", "key", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind_at")).alias("k"))).alias("b"))
+    # seeds of secrets are spans by themselves
+    own = instances.where((F.col("seed") == len(KINDS)) & ~F.col("base")).select("id", "key", F.col("seed").alias("kind_at"), "start", "end")
     found = found.select("id", "key", (-F.col("b.k")).alias("kind_at"), "start", "end")
+    found = found.join(own.drop("kind_at").distinct().withColumnsRenamed({"id": "_i", "key": "_k", "start": "_s", "end": "_e"}), F.col("id").eqNullSafe(F.col("_i")) & (F.col("key") == F.col("_k")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left_anti").unionByName(own)
     found = found.groupBy("id", "key").agg(F.collect_set(F.struct("kind_at", "start", "end")).alias("more"))
     found = materialize(found.withColumnRenamed("id", "id2").withColumnRenamed("key", "key2"))
-    small = found.count() <= MAX_BROADCAST_ROWS
-    joined = scanned.join(F.broadcast(found) if small else found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
+    joined = scanned.join(F.broadcast(found) if _small(found, 24 + 16 * F.size("more")) else found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left")
     return joined.select("id", "key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind_at:int,start:int,end:int>>")))).alias("spans"))
 
 
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those that begin within an earlier one, whose end then is the later of both; block by block."""
+    kind = "array<struct<start:int,end:int,kind_at:int>>"
+    n = F.size(spans)
+
+    def add(acc: Column, s: Column) -> Column:
+        joined = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end"), acc["last"]["kind_at"].alias("kind_at"))
+        inside = acc["last"].isNotNull() & (s["start"] < acc["last"]["end"])
+        return F.struct(F.when(inside, joined).otherwise(s).alias("last"), F.when(inside | acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"])).alias("out"))
+
+    def block(acc: Column, i: Column) -> Column:
+        start = F.struct(acc["last"].alias("last"), F.array().cast(kind).alias("out"))
+        part = F.aggregate(F.slice(spans, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK)), start, add)
+        return F.get(F.transform(F.array(part), lambda p: F.struct(p["last"].alias("last"), F.array_append(acc["out"], p["out"]).alias("out"))), F.lit(0))
+
+    start = F.struct(F.lit(None).cast("struct<start:int,end:int,kind_at:int>").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), start, block, lambda acc: F.concat(F.flatten(acc["out"]), F.array(acc["last"])))
+
+
+def _replaced(text: Column, spans: Column, names: Column) -> Column:
+    """``text`` with the spans, sorted and apart, replaced by names. The text is cut at every BLOCK spans first, as a cut goes through all before it."""
+    n = F.size(spans)
+
+    def block(i: Column) -> Column:
+        part = F.slice(spans, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK))
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i * BLOCK - 1)["end"])
+        own = F.struct(part.alias("part"), begin.alias("begin"), F.substring(text, begin + 1, F.element_at(part, -1)["end"] - begin).alias("text"))
+
+        def write(b: Column) -> Column:
+            at = lambda j: F.when(j == 0, b["begin"]).otherwise(F.get(b["part"], j - 1)["end"])
+            return F.array_join(F.transform(b["part"], lambda s, j: F.concat(F.substring(b["text"], at(j) - b["begin"] + 1, s["start"] - at(j)), F.get(names, s["kind_at"]))), "")
+
+        return F.get(F.transform(F.array(own), write), F.lit(0))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)
+    return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in brackets; spans that overlap become one."""
+    """``docs`` with every span of personal data replaced by its kind in brackets; spans that overlap become one, of the kind of the first."""
     found = find_personal_data(docs, id_col, text_col).where(F.size("spans") > 0)
-    spans = materialize(found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_at"].alias("kind_at")))).alias("_spans")).dropDuplicates(["_id", "_key"]))
-    small = spans.count() <= MAX_BROADCAST_ROWS
-    joined = docs.join(F.broadcast(spans) if small else spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_at"].alias("kind_at"))))
+    spans = found.select(F.col("id").alias("_id"), F.col("key").alias("_key"), ordered.alias("_all")).dropDuplicates(["_id", "_key"])
+    spans = materialize(spans.select("_id", "_key", _apart(F.col("_all")).alias("_spans")))
+    joined = docs.join(F.broadcast(spans) if _small(spans, 24 + 16 * F.size("_spans")) else spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, SECRET]])
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind_at"])).alias("out")))
-    replaced = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), replaced).otherwise(text)).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), _replaced(text, F.col("_spans"), names)).otherwise(text)).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in [*KINDS, SECRET]])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind_at"]), s["start"], s["end"])), ",")
 
 
 def op3_pii(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs)
     counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
