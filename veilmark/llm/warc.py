@@ -6,8 +6,12 @@ for each record, its bundle, the frame's offset and size, and the record's place
 record is read by one seek and one frame.
 
 Of records with equal payloads of at least ``min_bytes``, the one with the smallest page_id is a response; the others are
-revisits that refer to it and carry no payload. Null payloads are empty. Rows that repeat a page_id and its payload are all
-written as that page's record; a null page_id is never referred to while its payload has another page.
+revisits that refer to it and carry no payload. Null payloads are empty. Rows that repeat a page_id and its payload are
+each a record of that page; a null page_id is never referred to while its payload has another page. Every record has an identifier of
+its own; the page stands in the target URI, and a revisit names the page and digest that it refers to, which reading resolves to
+the response's record. More columns of the input are left out.
+
+Only digests are shuffled to find equal payloads; payloads stay in place while the repeated ones are few enough for a broadcast.
 
 Files are written by pyarrow's file systems, so the shared folder may be local, HDFS or an object store. A task that runs
 twice writes two bundles, and the index knows only the one whose task succeeded.
@@ -29,43 +33,54 @@ from .common import materialize, scratch_dir
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 25
 LEVEL = 3
-SALTS = 16
+#: Repeated payloads, 40 bytes of digest and three numbers each, are broadcast up to this number (15 MB).
+MAX_BROADCAST_ROWS = 200_000
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Date of the records of pages that have none.
+NO_DATE = "1970-01-01T00:00:00Z"
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, bundle string, frame_at long, frame_size long, record_at long, record_size long"
+INDEX = "page_id long, record_type string, bundle string, frame_at long, frame_size long, record_at long, record_size long"
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, payload, digest (hex), first (the response's page_id, or null for a response)."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), payload.alias("payload"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("salt"))
-    rows = rows.select("page_id", "payload", "salt", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
-    firsts = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first"))
-    # a payload of very many pages is spread by the salt
-    firsts = firsts.select("digest", "n", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    joined = rows.join(firsts, ["digest", "n", "salt"], "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), payload.alias("payload"))
+    rows = rows.select("page_id", "payload", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
+    repeated = rows.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    repeated = materialize(repeated)
+    joined = rows.join(F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST_ROWS else repeated, ["digest", "n"], "left")
     other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.select("page_id", F.when(~other, F.col("payload")).alias("payload"), "n", "digest", F.when(other, F.col("first")).alias("first"))
+    return joined.select("page_id", F.when(~other, F.col("payload")).alias("payload"), "digest", F.when(other, F.col("first")).alias("first"))
 
 
-def _record(page_id: int | None, payload: bytes | None, n: int, digest: str, first: int | None) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", f"X-Payload-Length: {n}"]
-    if first is not None:
-        head.append(f"WARC-Refers-To: <urn:page:{first}>")
+def _target(page_id: int | None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}"
+
+
+def _record(page_id: int | None, payload: bytes | None, digest: str, first: int | None) -> bytes:
     body = payload or b""
+    head = [
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {NO_DATE}", f"WARC-Target-URI: {_target(page_id)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: text/html; charset=utf-8",
+    ]
+    if first is not None:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {_target(first)}", f"WARC-Refers-To-Date: {NO_DATE}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def _parse(record: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """page_id, bytes of the payload (0 for a revisit), digest, type and page that it refers to."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    number = lambda x: int(x[len("<urn:page:") : -1]) if len(x) > len("<urn:page:>") else None
+    number = lambda x: int(x.removeprefix("urn:page:")) if x != "urn:page:" else None
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
     n = int(fields["Content-Length"])
     if kind == "response" and base64.b32encode(hashlib.sha1(rest[:n]).digest()).decode() != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} does not have its digest")
-    return number(fields["WARC-Record-ID"]), n if kind == "response" else int(fields["X-Payload-Length"]), digest, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None
+    return number(fields["WARC-Target-URI"]), n, digest, kind, number(fields["WARC-Refers-To-Target-URI"]) if kind == "revisit" else None
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -105,8 +120,8 @@ def write_bundles(marked: DataFrame, folder: str) -> DataFrame:
             raw = b"".join(pending)
             packed = packer.compress(raw)
             begin, place = sum(f[0] for f in frames), 0
-            for page_id, record in zip(ids, pending, strict=True):
-                index.append((page_id, name, begin, len(packed), place, len(record)))
+            for (page_id, kind), record in zip(ids, pending, strict=True):
+                index.append((page_id, kind, name, begin, len(packed), place, len(record)))
                 place += len(record)
             out.write(packed)
             frames.append((len(packed), len(raw)))
@@ -119,14 +134,15 @@ def write_bundles(marked: DataFrame, folder: str) -> DataFrame:
                 out.close()
             out, frames, index = None, [], []
 
-        schema = pa.schema([("page_id", pa.int64()), ("bundle", pa.string()), *[(c, pa.int64()) for c in ("frame_at", "frame_size", "record_at", "record_size")]])
+        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("bundle", pa.string()), *[(c, pa.int64()) for c in ("frame_at", "frame_size", "record_at", "record_size")]])
         rows_of = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), schema.types, strict=True)], schema=schema)
         size = total = 0
         for batch in batches:
             for k in range(batch.num_rows):
-                record = _record(*(batch.column(c)[k].as_py() for c in range(5)))
+                page_id, payload, digest, first = (batch.column(c)[k].as_py() for c in range(4))
+                record = _record(page_id, payload, digest, first)
                 pending.append(record)
-                ids.append(batch.column(0)[k].as_py())
+                ids.append((page_id, "response" if first is None else "revisit"))
                 size += len(record)
                 if size >= FRAME_BYTES:
                     total += size
@@ -143,11 +159,13 @@ def write_bundles(marked: DataFrame, folder: str) -> DataFrame:
             close()
             yield done
 
-    return materialize(marked.select("page_id", "payload", "n", "digest", "first").mapInArrow(run, INDEX))
+    return materialize(marked.select("page_id", "payload", "digest", "first").mapInArrow(run, INDEX))
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that ``index`` names: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """The records that ``index`` names: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A revisit has the length of the response that it refers to; where ``index`` has no such response, reading fails."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -160,7 +178,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         raw = b""
         for batch in batches:
             found = []
-            for bundle, frame_at, frame_size, at, size in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            for bundle, frame_at, frame_size, at, size in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
                 if bundle != name:
                     if source:
                         source.close()
@@ -184,7 +202,14 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     # bundles are small, so a bundle is read by one task, frame after frame
     rows = index.repartition("bundle").sortWithinPartitions("bundle", "frame_at", "record_at")
-    return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = materialize(rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"))
+    revisits = found.where("record_type = 'revisit'").drop("payload_bytes")
+    # one row for each response that is referred to
+    named = found.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").dropDuplicates(["refers_to", "payload_digest"])
+    wanted = named.join(revisits.select("refers_to", "payload_digest").distinct(), ["refers_to", "payload_digest"], "left_semi")
+    known = F.coalesce("payload_bytes", F.raise_error(F.concat(F.lit("no response of page "), F.col("refers_to"))).cast("long"))
+    resolved = revisits.join(wanted, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", known)
+    return found.where("record_type = 'response'").unionByName(resolved)
 
 
 def op7_warc(pages: DataFrame) -> DataFrame:
