@@ -6,6 +6,9 @@ longer notices, diagonals that lie near each other (words were inserted or dropp
 then verified: it counts when its windows cover enough of the template's words, each counted once, and when it has the
 words that tell its family's licenses apart just as the template has them. Of notices in one place the best covered remains.
 
+A template has three words or more; a shorter one has no window and is never found. Notices of one text that overlap are one place, where
+ties go to the first in the list.
+
 Only DataFrame functions are used. Nulls and empty texts have no words and no hits; repeated rows each get their row;
 more columns in the input are ignored.
 """
