@@ -1,10 +1,12 @@
 """Rule tables: fields by document type, universal patterns, classifier keywords, necessity by context.
 
-The values are fixed: results depend on them. Every table can be replaced by a DataFrame with the same columns.
+The values are fixed: results depend on them. ``extract_fields`` and ``with_necessity`` also take rules of a user, as rows of the same
+columns or as a DataFrame of them (see ``rule_rows``).
 """
 
 from __future__ import annotations
 
+import re
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,17 +97,70 @@ NAME_BLACKLIST = (
 ).split()
 SKIP_WORDS = "name dob date of birth gender sex address government india uid male female".split()
 
+#: Fields that the entity groups of a model may fill (fixed values).
+ENTITY_FIELDS = {
+    "PER": ["name", "father_name", "father_husband_name", "father_spouse_name"],
+    "PERSON": ["name", "father_name", "father_husband_name", "father_spouse_name"],
+    "LOC": ["address", "place_of_birth", "place_of_issue"],
+    "LOCATION": ["address", "place_of_birth"],
+    "GPE": ["address", "place_of_birth"],
+    "ORG": ["employer_name"],
+    "DATE": ["dob", "date_of_expiry"],
+}
+
+#: Labels of contexts and methods (fixed values).
+CONTEXT_LABELS = {"age_verification": "Age Verification", "identity_verification": "Identity Verification", "address_proof": "Address Proof", "kyc_onboarding": "KYC Onboarding", "general_upload": "General Upload"}
+METHOD_LABELS = {"regex": "Regex", "ner": "NER", "keyword_anchor": "Keyword", "image": "Image"}
+
 TYPE_LABELS = {"aadhaar": "Aadhaar Card", "pan": "PAN Card", "passport": "Passport", "driving_license": "Driving License", "voter_id": "Voter ID", "unknown": "Unknown"}
 
 
+_SAMPLES = re.compile(
+    r"\[A-Z\]\{(?P<capitals>\d+)\}|(?P<capital>\[A-Z\]|\[A-Za-z\])|(?P<space>\\s[?+])|\\d\{(?:\d+,)?(?P<digits>\d+)\}|(?P<digit>\\d)|(?P<mark>\\[/.-])|(?P<none>\\b|[()\[\]{}?*+|])"
+)
+
+
+def literal_form(pattern: str) -> str:
+    """A sample of what a pattern matches, as approximate matching compares with it: zeros for digits, As for capitals."""
+
+    def sample(m: re.Match) -> str:
+        kind = m.lastgroup
+        if kind in ("digits", "capitals"):
+            return ("0" if kind == "digits" else "A") * int(m[kind])
+        return {"none": "", "digit": "0", "capital": "A", "space": " ", "mark": "/"}[kind]
+
+    return re.sub(_SAMPLES, sample, pattern).strip()
+
+
+RULE_COLUMNS = "document_type string, field_name string, weight int, method string, pattern string, threshold int, anchors array<string>, always_redact boolean, required_in array<string>"
+
+
+def rule_rows(rules: DataFrame | list[tuple]) -> list[tuple]:
+    """Rules of a user as rows of ``RULE_COLUMNS``: a list, or a DataFrame in the order of its ``rule_pos``.
+
+    A rule table is configuration, of as many rows as someone has written; it is read to the driver to become part of the plan."""
+    if isinstance(rules, list):
+        return rules
+    ordered = rules.orderBy("rule_pos") if "rule_pos" in rules.columns else rules
+    return [tuple(r) for r in ordered.select(*[c.split()[0] for c in RULE_COLUMNS.split(", ")]).collect()]
+
+
+#: Labels of all types that a scan may have been given (fixed values).
+DOCUMENT_LABELS = {**TYPE_LABELS, "ration_card": "Ration Card", "esic": "ESIC Card", "unknown": "Unknown Document"}
+
+
+def default_rules() -> list[tuple]:
+    return [(*r[:8], PROFILES[r[8]]) for r in FIELDS]
+
+
 def field_rules(spark: SparkSession) -> DataFrame:
-    rows = [(i, *r[:8]) for i, r in enumerate(FIELDS)]
-    return spark.createDataFrame(rows, "rule_pos int, document_type string, field_name string, weight int, method string, pattern string, threshold int, anchors array<string>, always_redact boolean")
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(default_rules())], "rule_pos int, " + RULE_COLUMNS)
 
 
-def necessity_rows() -> list[tuple[str, str, str, bool]]:
-    return [(r[0], r[1], c, c in PROFILES[r[8]]) for r, c in product(FIELDS, CONTEXTS)]
+def necessity_rows(rules: DataFrame | list[tuple] | None = None) -> list[tuple[str, str, str, bool]]:
+    rows = default_rules() if rules is None else rule_rows(rules)
+    return [(r[0], r[1], c, c in r[8]) for r, c in product(rows, CONTEXTS)]
 
 
-def necessity(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(necessity_rows(), "document_type string, field_name string, context string, required boolean")
+def necessity(spark: SparkSession, rules: DataFrame | list[tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(necessity_rows(rules), "document_type string, field_name string, context string, required boolean")

@@ -56,3 +56,12 @@ def lookup(key: Column, table: dict[str, str]) -> Column:
 
 def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
+
+
+def email_local_part(email: Column) -> Column:
+    return F.split_part(email, F.lit("@"), F.lit(1))
+
+
+def scan_key(*parts: Column) -> Column:
+    """A stable identifier of a scan, from what makes it one: the same input gets the same key in every run."""
+    return F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("\x01")) for p in parts]), 256)

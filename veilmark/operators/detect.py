@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import FIELDS, NAME_BLACKLIST, SKIP_WORDS, TEMPLATES, TYPES, UNIVERSAL
+from ..functions.rules import NAME_BLACKLIST, SKIP_WORDS, UNIVERSAL, default_rules, literal_form, rule_rows
 from ..functions.scalars import after_anchor, first_match, strip, words
 from .fuzzy import fuzzy_match
 
 FIELD = "struct<rule_pos:int,field_name:string,weight:int,always_redact:boolean,value:string,confidence:double,method:string>"
+#: A rule's outcome on a text: what an early step has settled, what a later one offers, and what an approximate match needs.
+OUTCOME = "struct<rule_pos:int,field_name:string,weight:int,always_redact:boolean,early:struct<value:string,confidence:double,method:string>,later:struct<value:string,confidence:double,method:string>,template:string,threshold:double>"
 
 
 def universal_fields(text: Column) -> Column:
@@ -76,11 +76,11 @@ def _list(anchors: list[str] | Column) -> Column:
     return anchors if isinstance(anchors, Column) else F.array(*[F.lit(a) for a in anchors])
 
 
-def anchored_words(text: Column, field: str | Column, anchors: list[str] | Column) -> Column:
+def anchored_words(text: Column, field: str, anchors: list[str]) -> Column:
     """Up to five words after the first anchor that yields any, without label words."""
-    field = field if isinstance(field, Column) else F.lit(field)
     value = lambda a: F.array_join(F.filter(F.slice(words(strip(after_anchor(text, a))), 1, 5), lambda w: ~F.lower(w).isin(SKIP_WORDS)), " ")
-    keep = lambda v: (F.coalesce(v, F.lit("")) != "") & ~(field.isin("name", "father_name") & blacklisted(v))
+    personal = field in ("name", "father_name")
+    keep = lambda v: (F.coalesce(v, F.lit("")) != "") & (~blacklisted(v) if personal else F.lit(True))
     return F.get(F.filter(F.transform(_list(anchors), value), keep), F.lit(0))
 
 
@@ -99,53 +99,84 @@ def qr_address(xml: Column) -> Column:
     return F.concat_ws(", ", *[F.nullif(F.xpath_string(xml, F.lit(f"/*/@{a}")), F.lit("")) for a in ("house", "street", "lm", "loc", "vtc", "dist", "state", "pc")])
 
 
-RULE = "rule_pos:int,field_name:string,weight:int,always_redact:boolean,steps:string,pattern:string,template:string,threshold:double,anchors:array<string>"
-MRZ_FIELDS = ("passport_number", "name", "dob", "date_of_expiry")
-
-
-def _rules_by_type() -> Column:
-    """The field rules of each type, as one literal."""
-    by_type: dict[str, list[dict]] = {k: [] for k in TYPES}
-    for i, (kind, field, weight, steps, pattern, threshold, anchors, always, _) in enumerate(FIELDS):
-        by_type[kind].append({
-            "rule_pos": i, "field_name": field, "weight": weight, "always_redact": always, "steps": steps, "pattern": "(?i)" + pattern if pattern else None,
-            "template": TEMPLATES.get(pattern) if pattern else None, "threshold": float(threshold), "anchors": anchors,
-        })
-    return F.from_json(F.lit(json.dumps(by_type)), f"map<string,array<struct<{RULE}>>>")
-
-
-def extract_fields(docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True) -> DataFrame:
+MRZ_FIELDS = ("passport_number", "name", "dob", "date_of_expiry", "mrz_lines")
+
+
+def _step(value: Column, confidence: Column | float, method: str) -> Column:
+    """What a step offers, or null if it has no value. The value's expression stands in it once only."""
+    confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
+    offered = F.transform(F.array(value), lambda v: F.when(v != "", F.struct(v.alias("value"), confidence.cast("double").alias("confidence"), F.lit(method).alias("method"))))
+    return F.get(offered, F.lit(0))
+
+
+def _outcome(i: int, rule: tuple, text: Column, mrz: Column, qr: Column | None, entities: Column | None) -> Column:
+    """What the steps of one rule find in a text. Patterns are literals, so each is compiled once."""
+    from .entities import best_entity
+
+    kind, field, weight, method, pattern, threshold, anchors, always, _ = rule
+    nothing = F.lit(None).cast("struct<value:string,confidence:double,method:string>")
+    early, later = [nothing], [nothing]
+    if qr is not None and "qr_primary" in method and (field in QR_FIELDS or field == "address"):
+        early.append(_step(qr_address(qr) if field == "address" else F.xpath_string(qr, F.lit(f"/*/@{QR_FIELDS[field]}")), 0.98, "qr"))
+    if "mrz_primary" in method and field in MRZ_FIELDS:
+        early.append(_step(mrz[field], 0.95, "mrz"))
+    if pattern:
+        early.append(_step(first_match(text, pattern), 0.95, "regex_fuzzy"))
+        later.append(_step(anchored_match(text, pattern, anchors), 0.82, "regex_fuzzy"))
+    if "ner" in method:
+        if entities is not None:
+            best = best_entity(entities, text, field, anchors)
+            later.append(_step(best["value"], best["confidence"], "ner"))
+        later.append(_step(anchored_words(text, field, anchors), 0.55, "ner"))
+    if method == "image" and field == "signature":
+        later.append(_step(F.lit("SIGNATURE_REGION"), 0.6, "image"))
+    return F.struct(
+        F.lit(i).alias("rule_pos"), F.lit(field).alias("field_name"), F.lit(weight).alias("weight"), F.lit(always).alias("always_redact"), F.coalesce(*early).alias("early"), F.coalesce(*later).alias("later"),
+        F.lit(literal_form(pattern) if pattern else None).cast("string").alias("template"), F.lit(float(threshold)).alias("threshold"),
+    ).cast(OUTCOME)
+
+
+#: Outcomes of rule tables already written as columns, by application and rules: writing them takes longer than planning them.
+_OUTCOMES: dict[tuple[str, str, bool, bool], Column] = {}
+
+
+def _outcomes(application: str, rows: list[tuple], qr: bool, entities: bool) -> Column:
+    """Array of the outcomes of the rules of a document's type; null for other types. Reads document_type, _text, _mrz, _qr and _entities."""
+    key = (application, repr(rows), qr, entities)
+    if key not in _OUTCOMES:
+        out = F.lit(None).cast(f"array<{OUTCOME}>")
+        for k in dict.fromkeys(r[0] for r in reversed(rows)):
+            code = F.col("_qr") if qr and k == "aadhaar" else None
+            found = F.array(*[_outcome(i, r, F.col("_text"), F.col("_mrz"), code, F.col("_entities") if entities else None) for i, r in enumerate(rows) if r[0] == k])
+            out = F.when(F.col("document_type") == k, found).otherwise(out)
+        if len(_OUTCOMES) > 8:
+            _OUTCOMES.clear()
+        _OUTCOMES[key] = out
+    return _OUTCOMES[key]
+
+
+def extract_fields(docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True, rules: DataFrame | list[tuple] | None = None, entities_col: str | None = None) -> DataFrame:
     """Detected fields of classified documents, one row each: the columns of ``docs`` without the text, and
-    rule_pos, field_name, weight, always_redact, value, confidence, method, needs_review.
-
-    A document meets the rules of its type, a literal of thirty rows, without a join or shuffle; the steps of the cascade are columns,
-    and the first that has a value wins. Only texts of rows that no earlier step has settled go to the approximate step."""
-    others = [c for c in docs.columns if c != text_col]
-    text, kind = F.coalesce(F.col(text_col), F.lit("")), F.col("document_type")
-    typed = docs.select(*others, text.alias("_text"), parse_mrz(text).alias("_mrz"), F.explode(F.element_at(_rules_by_type(), kind)).alias("r")).select(*others, "_text", "_mrz", "r.*")
-    none = F.lit(None).cast("string")
-    qr = mrz = none
-    for n in MRZ_FIELDS:
-        mrz = F.when(F.col("field_name") == n, F.nullif(F.col("_mrz")[n], F.lit(""))).otherwise(mrz)
-    if qr_col:
-        for n, a in QR_FIELDS.items():
-            qr = F.when(F.col("field_name") == n, F.nullif(F.xpath_string(qr_col, F.lit(f"/*/@{a}")), F.lit(""))).otherwise(qr)
-        qr = F.when(F.col("field_name") == "address", F.nullif(qr_address(F.col(qr_col)), F.lit(""))).otherwise(qr)
-    steps = F.col("steps")
-    rows = typed.select(
-        *others, "_text", "rule_pos", "field_name", "weight", "always_redact", "template", "threshold",
-        F.when(steps.contains("qr_primary") & (kind == "aadhaar"), qr).alias("qr"), F.when(steps.contains("mrz_primary"), mrz).alias("mrz"), F.regexp_substr("_text", "pattern").alias("exact"),
-        F.when(F.col("pattern").isNotNull(), anchored_match(F.col("_text"), F.col("pattern"), F.col("anchors"))).alias("near"),
-        F.when(steps.contains("ner"), anchored_words(F.col("_text"), F.col("field_name"), F.col("anchors"))).alias("ner"), F.when(F.col("field_name") == "signature", "SIGNATURE_REGION").alias("image"),
-    )
-    unsettled = F.coalesce("qr", "mrz", "exact").isNull() & F.col("template").isNotNull()
-    rows = rows.withColumn("fuzzy", fuzzy_match(F.when(unsettled, F.col("_text")), F.col("template"), F.col("threshold")) if fuzzy else F.lit(None).cast("struct<value:string,confidence:double>"))
-    step = lambda v, c, m: F.when(v.isNotNull(), F.struct(v.alias("value"), c.cast("double").alias("confidence"), F.lit(m).alias("method")))
-    won = F.coalesce(
-        step(F.col("qr"), F.lit(0.98), "qr"), step(F.col("mrz"), F.lit(0.95), "mrz"), step(F.col("exact"), F.lit(0.95), "regex_fuzzy"), step(F.col("fuzzy.value"), F.col("fuzzy.confidence"), "regex_fuzzy"),
-        step(F.col("near"), F.lit(0.82), "regex_fuzzy"), step(F.col("ner"), F.lit(0.55), "ner"), step(F.col("image"), F.lit(0.6), "image"),
-    )
+    rule_pos, field_name, weight, always_redact, value, confidence, method, word_start and word_count (of approximate matches), needs_review.
+
+    A document meets the rules of its type, which are part of the plan, without a join or shuffle; the first step of the cascade that
+    has a value wins. Only texts of rows that no earlier step has settled go to the approximate step. ``rules`` are those of a user
+    (see ``functions.rules.rule_rows``); ``qr_col`` has the XML of a document's code, ``entities_col`` what a model has found in its text."""
+    others = [c for c in docs.columns if c not in (text_col, qr_col, entities_col)]
+    rows = default_rules() if rules is None else rule_rows(rules)
+    kinds = list(dict.fromkeys(r[0] for r in rows))
+    text, kind = F.col("_text"), F.col("document_type")
+    extra = {"_qr": qr_col, "_entities": entities_col}
+    base = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(n) for n, c in extra.items() if c])
+    base = base.withColumn("_mrz", F.when(kind == "passport", parse_mrz(text)))
+    outcomes = _outcomes(docs.sparkSession.sparkContext.applicationId, rows, qr_col is not None, entities_col is not None)
     kept = [*others, "rule_pos", "field_name", "weight", "always_redact"]
-    found = rows.select(*kept, won.alias("_w")).where("_w is not null").select(*kept, "_w.*")
-    unknown = universal_scan(docs.where(~F.coalesce(kind.isin(TYPES), F.lit(False))), text_col).select(*others, F.explode("fields").alias("f")).select(*others, "f.*")
+    typed = base.select(*others, "_text", F.inline(outcomes))
+    none = F.lit(None).cast("struct<value:string,confidence:double,word_start:int,word_count:int>")
+    unsettled = F.col("early").isNull() & F.col("template").isNotNull()
+    typed = typed.withColumn("_near", fuzzy_match(F.when(unsettled, text), F.col("template"), F.col("threshold")) if fuzzy else none)
+    won = F.coalesce("early", _step(F.col("_near.value"), F.col("_near.confidence"), "regex_fuzzy"), "later")
+    place = lambda c: F.when(F.col("early").isNull(), F.col(f"_near.{c}")).cast("int").alias(c)
+    found = typed.select(*kept, won.alias("_w"), place("word_start"), place("word_count")).where("_w is not null").select(*kept, "_w.*", "word_start", "word_count")
+    unknown = universal_scan(docs.where(~F.coalesce(kind.isin(kinds), F.lit(False))), text_col).select(*others, F.explode("fields").alias("f")).select(*others, "f.*", F.lit(None).cast("int").alias("word_start"), F.lit(None).cast("int").alias("word_count"))
     return found.unionByName(unknown).withColumn("needs_review", F.col("confidence") < 0.7)

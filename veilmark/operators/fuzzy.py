@@ -30,8 +30,8 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def best_window(text: str | None, template: str, threshold: float) -> tuple[str, float] | None:
-    """First best window with a ratio strictly above ``threshold``, by number of words, then place."""
+def best_window(text: str | None, template: str, threshold: float) -> tuple[str, float, int, int] | None:
+    """First best window with a ratio strictly above ``threshold``, by number of words, then place: value, confidence, first word, words."""
     tokens, best, top = (text or "").split(), None, threshold
     for n in range(1, MAX_WORDS + 1):
         for i in range(len(tokens) - n + 1):
@@ -40,14 +40,21 @@ def best_window(text: str | None, template: str, threshold: float) -> tuple[str,
                 continue  # the lengths alone rule it out
             score = indel_ratio(joined, template)
             if score > top:
-                best, top = (" ".join(tokens[i : i + n]), score / 100), score
+                best, top = (" ".join(tokens[i : i + n]), score / 100, i, n), score
     return best
 
 
-@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType())]))
-def fuzzy_match(text: pd.Series, template: pd.Series, threshold: pd.Series) -> pd.DataFrame:
-    found = [(best_window(t, p, s) if t and p else None) or (None, None) for t, p, s in zip(text, template, threshold, strict=True)]
-    return pd.DataFrame(found, columns=["value", "confidence"])
+_MATCH = T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("word_start", T.IntegerType()), T.StructField("word_count", T.IntegerType())])
+
+
+@F.pandas_udf(_MATCH)
+def _fuzzy(text: pd.Series, template: pd.Series, threshold: pd.Series) -> pd.DataFrame:
+    found = [(best_window(t, p, s) if t and p else None) or (None, None, None, None) for t, p, s in zip(text, template, threshold, strict=True)]
+    return pd.DataFrame(found, columns=["value", "confidence", "word_start", "word_count"]).astype({"word_start": "Int32", "word_count": "Int32"})
+
+
+#: Marked as not deterministic, so that Spark does not run it once for each of its parts that is read.
+fuzzy_match = _fuzzy.asNondeterministic()
 
 
 def window_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,18 +24,40 @@ def layout_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumns({"confidence": F.lit(1.0), "bbox": box((F.col("pos") % 10) * 80, F.floor(F.col("pos") / 10) * 20, F.length("text") * 8, F.lit(16))})
 
 
-def value_boxes(words: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """``values`` (keys, field_name, value) with the union of the boxes of words that are tokens of the value.
-
-    An equi-join on the cleaned token; a value whose tokens stand nowhere gets the unit box."""
-    clean = lambda c: F.regexp_replace(F.lower(c), r"^\W+|\W+$", "")
-    tokens = values.select(*keys, "field_name", F.explode_outer(F.array_distinct(F.transform(F.split("value", r"\s+"), clean))).alias("token"))
-    placed = words.select(*keys, clean(F.col("text")).alias("token"), "bbox").where("token <> ''")
-    union = placed.join(tokens, [*keys, "token"]).groupBy(*keys, "field_name").agg(
+#: Characters of words, as the matches between values and recognised words see them.
+_WORD = r"[\p{L}\p{N}_]+"
+_GAP = r"[^\p{L}\p{N}_]+"
+#: Methods whose values are matched with words by parts; others by equal words.
+BY_PARTS = ("regex_fuzzy", "ner")
+
+
+def value_parts(value: Column) -> Column:
+    """Words of two characters or more of a value, or the stripped value if it has none."""
+    parts = F.filter(F.regexp_extract_all(F.lower(value), F.lit(_WORD), F.lit(0)), lambda p: F.length(p) >= 2)
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.lower(value))))
+
+
+def value_boxes(words: DataFrame, values: DataFrame, keys: list[str], width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """``values`` (keys, field_name, value, method, by_parts and, for approximate matches, word_start and word_count) with ``bbox``.
+
+    The box is the union of the boxes of a document's words that belong to the value: with ``by_parts`` those that contain a part of
+    it or are contained in one, else those that equal one of its words; an approximate match has the words of its window. A value whose
+    words stand nowhere gets the unit box, a signature its region of the page. The words of a document meet its own values only, in
+    an equi-join on its keys."""
+    clean = F.regexp_replace(F.lower("text"), _GAP, "")
+    placed = words.select(*keys, "pos", clean.alias("_word"), "bbox").where("_word <> ''")
+    wanted = values.where("method <> 'image'").select(
+        *keys, "field_name", "by_parts", "word_start", "word_count", value_parts(F.col("value")).alias("_parts"), F.regexp_extract_all(F.lower("value"), F.lit(_WORD), F.lit(0)).alias("_words"),
+    )
+    near = F.exists("_parts", lambda p: F.contains(p, F.col("_word")) | F.contains(F.col("_word"), p))
+    belongs = F.when(F.col("word_start").isNotNull(), (F.col("pos") >= F.col("word_start")) & (F.col("pos") < F.col("word_start") + F.col("word_count"))).when(F.col("by_parts"), near).otherwise(F.array_contains("_words", F.col("_word")))
+    union = placed.join(wanted, keys).where(belongs).groupBy(*keys, "field_name").agg(
         F.min("bbox.x").alias("x0"), F.min("bbox.y").alias("y0"), F.max(F.col("bbox.x") + F.col("bbox.width")).alias("x1"), F.max(F.col("bbox.y") + F.col("bbox.height")).alias("y1")
     )
     joined = values.join(union, [*keys, "field_name"], "left")
     found = F.when(F.col("x0").isNotNull(), box(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).otherwise(default_box())
+    if width is not None and height is not None:
+        found = F.when((F.col("method") == "image") & (F.col("field_name") == "signature"), signature_box(width, height)).otherwise(found)
     return joined.withColumn("bbox", found).drop("x0", "y0", "x1", "y1")
 
 
@@ -46,10 +68,11 @@ def normalise(b: Column, width: Column, height: Column) -> Column:
 
 
 def pad_clamp(b: Column, width: Column, height: Column, pad: int = 4) -> Column:
-    """Corners (x0, y0, x1, y1) of the padded box within the page."""
+    """Corners (x0, y0, x1, y1) of the padded box within the page; the box is cut to whole pixels first."""
+    whole = lambda c: b[c].cast("int")
     return F.struct(
-        F.greatest(b["x"] - pad, F.lit(0.0)).alias("x0"), F.greatest(b["y"] - pad, F.lit(0.0)).alias("y0"),
-        F.least(b["x"] + b["width"] + pad, width.cast("double")).alias("x1"), F.least(b["y"] + b["height"] + pad, height.cast("double")).alias("y1"),
+        F.greatest(whole("x") - pad, F.lit(0)).cast("double").alias("x0"), F.greatest(whole("y") - pad, F.lit(0)).cast("double").alias("y0"),
+        F.least(whole("x") + whole("width") + pad, width).cast("double").alias("x1"), F.least(whole("y") + whole("height") + pad, height).cast("double").alias("y1"),
     )
 
 
@@ -60,7 +83,8 @@ def painted(corners: Column, decision: Column, keep: int = 40) -> Column:
 
 
 def signature_box(width: Column, height: Column) -> Column:
-    return box(width * 0.05, height * 0.75, width * 0.4, height * 0.2)
+    """Where a page has its signature, in whole pixels."""
+    return box(*[F.floor(x) for x in (width * 0.05, height * 0.75, width * 0.4, height * 0.2)])
 
 
 def drawable(b: Column) -> Column:

@@ -44,20 +44,43 @@ def top_exposed(fields: DataFrame, n: int = 8) -> DataFrame:
     return fields.where(~F.col("required")).groupBy("field_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field_name").limit(n)
 
 
+def with_audit(scans: DataFrame, report_col: str = "report_json") -> DataFrame:
+    """Scans that have a report; an empty one counts as none."""
+    return scans.where(F.coalesce(F.col(report_col), F.lit("")) != "")
+
+
 def audit_rows(fields: DataFrame) -> DataFrame:
     """Audited fields: value masked, confidence to two digits."""
     return fields.withColumns({"masked_value": mask(F.col("value")), "confidence": F.round("confidence", 2)})
 
 
-def audit_report(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One nested report per key, its fields in rule order, also as JSON."""
-    field = F.struct("rule_pos", "field_name", "masked_value", "confidence", "method", "required", "decision")
-    notes = F.create_map(F.lit("purpose_limitation"), F.lit("Only fields needed for the declared purpose stay visible."), F.lit("storage"), F.lit("Values are stored masked."))
-    got = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("fields_detected"), F.round(F.avg("confidence"), 3).alias("document_confidence")).withColumn("compliance_notes", notes)
-    return got.withColumn("report_json", F.to_json(F.struct(*got.columns)))
-
-
-def timeline(scans: DataFrame) -> DataFrame:
-    """Five events of each scan, in order."""
-    steps = ["uploaded", "classified", "fields_detected", "necessity_checked", "redacted"]
-    return scans.select("scan_id", "timestamp", F.posexplode(F.array(*[F.lit(s) for s in steps])).alias("step", "event"))
+#: Texts of the compliance notes, by the report's keys; callers replace them by their own wording.
+NOTES = {
+    "dpdp_act": "Digital Personal Data Protection Act 2023, Section 6: personal data may be processed for a lawful purpose with consent only. Fields beyond the declared purpose are marked.",
+    "gdpr_article_5": "GDPR Article 5(1)(c): personal data must be adequate, relevant and limited to what is necessary. Fields marked as excess go beyond the declared purpose.",
+}
+
+
+def audit_report(scans: DataFrame, rows: DataFrame, keys: list[str], notes: dict[str, str] = NOTES) -> DataFrame:
+    """One nested report per scan, also as JSON.
+
+    ``scans`` has the keys, scan_id, timestamp, filename, document_type, document_type_confidence, declared_context, pei_before,
+    pei_after and redacted_file_path, one row each; ``rows`` are audited fields, listed in rule order. Scans without a field have an empty list."""
+    field = F.struct(
+        "rule_pos", "field_name", F.col("masked_value").alias("detected_value_masked"), F.col("weight").alias("sensitivity_weight"), F.col("method").alias("detection_method"), "confidence", "needs_review", "required",
+        F.col("decision").alias("redaction_decision"), "always_redact", "explanation",
+    )
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("_fields"))
+    names = ["field_name", "detected_value_masked", "sensitivity_weight", "detection_method", "confidence", "needs_review", "required", "redaction_decision", "always_redact", "explanation"]
+    plain = F.transform(F.coalesce("_fields", F.array()), lambda f: F.struct(*[f[n].alias(n) for n in names]))
+    got = scans.join(listed, keys, "left").select(
+        *keys, "scan_id", "timestamp", "filename", "document_type", F.round("document_type_confidence", 3).alias("document_type_confidence"), "declared_context", F.round("pei_before", 1).alias("pei_before"), F.round("pei_after", 1).alias("pei_after"),
+        plain.alias("fields_detected"), F.struct(*[F.lit(v).alias(k) for k, v in notes.items()]).alias("compliance_notes"), F.coalesce("redacted_file_path", F.lit("")).alias("redacted_file_path"),
+    )
+    return got.withColumn("report_json", F.to_json(F.struct(*[c for c in got.columns if c not in keys]), {"ignoreNullFields": "false"}))
+
+
+def timeline(scans: DataFrame, type_label: Column, n_fields: Column) -> DataFrame:
+    """Five events of each scan, in order (fixed texts)."""
+    steps = [F.lit("document uploaded"), F.lit("ocr extraction completed"), F.concat(F.lit("classified as "), type_label), F.concat(n_fields.cast("string"), F.lit(" fields detected")), F.lit("redaction applied")]
+    return scans.select("scan_id", "timestamp", F.posexplode(F.array(*steps)).alias("step", "event"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import necessity
+from ..functions.rules import CONTEXTS, necessity
 from ..functions.scalars import percent
 
 
-def with_necessity(fields: DataFrame) -> DataFrame:
-    """``fields`` with ``required``; the rule table has 150 rows and is broadcast. Unknown fields are not required."""
-    table = F.broadcast(necessity(fields.sparkSession))
+def with_necessity(fields: DataFrame, rules: DataFrame | list[tuple] | None = None) -> DataFrame:
+    """``fields`` with ``required``; the rule table (150 rows, or five for each rule of a user) is broadcast. Unknown fields are not required."""
+    table = F.broadcast(necessity(fields.sparkSession, rules))
     return fields.join(table, ["document_type", "field_name", "context"], "left").withColumn("required", F.coalesce("required", F.lit(False)))
 
 
@@ -55,7 +55,7 @@ def merge_decisions(old: Column, new: Column) -> Column:
 
 
 def explanation() -> Column:
-    """A sentence on how the row's field was found."""
+    """A sentence on how the row's field was found (the wording is a fixed value)."""
     name, value, conf = F.col("field_name"), F.col("value"), F.col("confidence")
     entity = F.when(name.isin("name", "father_name", "father_husband_name", "father_spouse_name"), "personal name (PER entity)").when(name.isin("address", "place_of_birth"), "location entity (LOC)").otherwise("named entity")
     text = F.lit
@@ -67,3 +67,15 @@ def explanation() -> Column:
         .when(F.col("method") == "image", F.concat(name, text(" detected as a visual element (QR code / signature / photo region) in the document image. Always flagged regardless of context.")))
         .otherwise(F.concat(name, text(" detected in document.")))
     )
+
+
+def split_contexts(requests: DataFrame, context_col: str = "context") -> tuple[DataFrame, DataFrame]:
+    """Requests with a supported context, and the others (a null context is none)."""
+    known = F.coalesce(F.col(context_col).isin(CONTEXTS), F.lit(False))
+    return requests.where(known), requests.where(~known)
+
+
+def field_response(fields: DataFrame, box_col: str = "bbox") -> DataFrame:
+    """``fields`` as they are returned: confidence to three digits, the unit box where there is none, no metadata."""
+    unit = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("width"), F.lit(1.0).alias("height"))
+    return fields.withColumns({"confidence": F.round("confidence", 3), box_col: F.coalesce(box_col, unit)}).drop("metadata")

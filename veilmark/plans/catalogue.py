@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.scalars import confidence_label, first_match, lookup, mask, mask_display, risk_label
-from ..operators import classify, detect, fuzzy, geometry, history, policy
+from ..functions.scalars import confidence_label, email_local_part, first_match, lookup, mask, mask_display, risk_label, scan_key
+from ..operators import classify, detect, entities, fuzzy, geometry, history, policy
 from ..sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAGE = (800, 1200)
 
 
-def _detect(field: str, pattern: str, cards_only: bool) -> Query:
+def _detect(field: str, pattern: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = T.texts(spark, sf_dir)
-        rows = rows.where("src = 'card'") if cards_only else rows
         found = F.filter(F.array(F.struct(first_match(F.col("text"), pattern).alias("value"))), lambda x: x["value"].isNotNull())
         return rows.select("src", "doc_id", F.inline(found))
 
@@ -94,9 +93,9 @@ def keyword_anchor_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of the identity cards' words."""
-    rows = fuzzy.window_candidates(T.id_cards(spark, sf_dir))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), "candidate")
+    """Windows of the words of all documents and cards."""
+    rows = fuzzy.window_candidates(T.texts(spark, sf_dir).withColumn("key", F.struct("src", "doc_id")), "key")
+    return rows.select("key.src", "key.doc_id", F.col("n").cast("long").alias("n"), F.col("start").cast("long").alias("start"), "candidate")
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +194,10 @@ def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _judged(spark, sf_dir).where("method <> 'image'").select("doc_id", "field_name", "value", "decision")
-    return geometry.value_boxes(geometry.layout_words(T.id_cards(spark, sf_dir)), values, ["doc_id"])
+    """Fields with their boxes; values of typed documents found by a pattern or by names are matched with words by parts."""
+    typed = F.col("document_type") != "unknown"
+    values = _decided(spark, sf_dir).select("doc_id", "document_type", "field_name", "value", "method", "applied", "word_start", "word_count", (typed & F.col("method").isin(*geometry.BY_PARTS)).alias("by_parts"))
+    return geometry.value_boxes(geometry.layout_words(T.id_cards(spark, sf_dir)), values, ["doc_id"], F.lit(PAGE[0]), F.lit(PAGE[1]))
 
 
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,13 +205,19 @@ def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbox_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in percent of the page; documents of unknown type have none."""
     scaled = geometry.normalise(F.col("bbox"), F.lit(PAGE[0]), F.lit(PAGE[1]))
-    return _boxes(spark, sf_dir).select("doc_id", "field_name", scaled.alias("b")).select("doc_id", "field_name", "b.*")
+    return _boxes(spark, sf_dir).select("doc_id", "field_name", F.when(F.col("document_type") != "unknown", scaled).alias("b")).select("doc_id", "field_name", "b.*")
+
+
+def drawable_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(spark, sf_dir).where(geometry.drawable(F.col("bbox"))).select("doc_id", "field_name")
 
 
 def redaction_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the submitted decisions paint; a field without one stays, a signature never does."""
     corners = geometry.pad_clamp(F.col("bbox"), F.lit(PAGE[0]), F.lit(PAGE[1]))
-    rows = _boxes(spark, sf_dir).select("doc_id", "field_name", geometry.painted(corners, F.col("decision")).alias("p"))
+    rows = _boxes(spark, sf_dir).select("doc_id", "field_name", geometry.painted(corners, F.col("applied")).alias("p"))
     return rows.where("p is not null").select("doc_id", "field_name", "p.*")
 
 
@@ -262,15 +269,131 @@ def recent_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = history.timeline(latest_scan_version(spark, sf_dir))
-    return rows.select("scan_id", F.col("step").cast("long").alias("step"), "event")
+    scans = latest_scan_version(spark, sf_dir).withColumn("doc_id", F.substring("scan_id", 6, 20).cast("long"))
+    counts = _fields(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_fields"))
+    rows = history.timeline(scans.join(counts, "doc_id", "left"), lookup(F.col("document_type"), rules.DOCUMENT_LABELS), F.coalesce("n_fields", F.lit(0)))
+    return rows.select("scan_id", "timestamp", F.col("step").cast("long").alias("step"), "event")
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    docs = _classified(spark, sf_dir).select(
+        "doc_id", F.concat(F.lit("scan-"), k).alias("scan_id"), F.concat(F.lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")).alias("timestamp"), F.concat(F.lit("File_"), k, F.lit(".png")).alias("filename"),
+        "document_type", F.col("type_confidence").alias("document_type_confidence"), F.col("context").alias("declared_context"), F.when(k % 3 == 0, F.concat(F.lit("redacted/"), k, F.lit(".png"))).alias("redacted_file_path"),
+    )
+    decided = _decided(spark, sf_dir).drop("decision").withColumnRenamed("applied", "decision").withColumn("explanation", policy.explanation())
+    before, after = policy.exposure(decided, ["doc_id"], "pei_before").drop("n_fields"), policy.exposure(decided, ["doc_id"], "pei_after", policy.exposed_after()).drop("n_fields")
+    scans = docs.join(before, "doc_id", "left").join(after, "doc_id", "left").fillna(0.0, ["pei_before", "pei_after"])
+    return history.audit_report(scans, history.audit_rows(decided), ["doc_id"])
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested reports, exploded again."""
-    rows = history.audit_rows(_judged(spark, sf_dir))
-    reports = history.audit_report(rows, ["doc_id", "document_type", "context"])
-    return reports.select("doc_id", "document_type", "context", F.inline("fields_detected")).select("doc_id", "document_type", "context", "field_name", "masked_value", "confidence", "method", "required", "decision")
+    """The nested reports, their fields and notes as JSON."""
+    got = _reports(spark, sf_dir)
+    return got.select(
+        *[c for c in got.columns if c not in ("report_json", "fields_detected", "compliance_notes")], F.to_json("fields_detected").alias("fields_detected"), F.to_json("compliance_notes").alias("compliance_notes"), F.array_join(F.json_object_keys("report_json"), ",").alias("report_keys"),
+    )
+
+
+def audit_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans with a report; every fifth has none yet, every seventh an empty one."""
+    k = F.col("doc_id")
+    rows = _classified(spark, sf_dir).select(k, F.when(k % 5 == 0, F.lit(None)).when(k % 7 == 0, "").otherwise(F.concat(F.lit('{"scan_id":"scan-'), k, F.lit('"}'))).alias("report_json"))
+    return history.with_audit(rows).select("doc_id", F.get_json_object("report_json", "$.scan_id").alias("scan_id"))
+
+
+def context_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with a context that is not supported (every ninth has one in capitals, every eleventh none)."""
+    k = F.col("doc_id")
+    rows = T.id_cards(spark, sf_dir).select(k, F.when(k % 9 == 0, F.upper("context")).when(k % 11 == 0, F.lit(None)).otherwise(F.col("context")).alias("context"))
+    good, bad = policy.split_contexts(rows)
+    return good.select("doc_id", "context", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", "context", F.lit(False).alias("accepted")))
+
+
+def field_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields as they are returned: every second one has lost its box."""
+    rows = _boxes(spark, sf_dir).join(_fields(spark, sf_dir).select("doc_id", "field_name", (F.col("confidence") / 3).alias("confidence")), ["doc_id", "field_name"])
+    rows = policy.field_response(rows.withColumn("bbox", F.when((F.col("doc_id") + F.length("field_name")) % 2 == 0, F.col("bbox"))))
+    return rows.select("doc_id", "field_name", "confidence", "bbox.x", "bbox.y", "bbox.width", "bbox.height")
+
+
+def entity_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity groups and the fields that they may fill."""
+    pairs = F.array(*[F.struct(F.lit(g).alias("entity_group"), F.lit(f).alias("field_name")) for g, fields in rules.ENTITY_FIELDS.items() for f in fields])
+    return spark.range(1).select(F.inline(pairs))
+
+
+def _entities() -> Column:
+    """What a model might have found in a card: two persons, one of them an office, and a place, each where its words stand."""
+    entity = lambda g, word, score: F.struct(F.lit(g).alias("entity_group"), word.alias("word"), score.cast("double").alias("score"), (F.instr("text", word) - 1).alias("start"))
+    name = F.regexp_substr("text", F.lit("(ASHA|VIJAY|MEERA) (RAO|PATEL|KHAN|DAS)"))
+    father = F.regexp_substr("text", F.lit("RAVI (RAO|PATEL|KHAN|DAS)"))
+    office = F.regexp_substr("text", F.lit("Government of India|INCOME TAX DEPARTMENT|ELECTION COMMISSION OF INDIA"))
+    place = F.regexp_substr("text", F.lit("Rampur|Pune|PUNE"))
+    found = F.array(entity("PER", office, F.lit(0.99)), entity("PER", name, 0.5 + (F.col("doc_id") % 5) / 10), entity("PER", father, F.lit(0.6)), entity("LOC", place, F.lit(0.8)))
+    return F.filter(found, lambda e: e["word"].isNotNull())
+
+
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best entity of each card for a name, a father's name and an address."""
+    rows = T.id_cards(spark, sf_dir).select("doc_id", "text", _entities().alias("entities"))
+    tries = [("name", ["name", "नाम"]), ("father_name", ["father", "father's name"]), ("address", ["address", "pin"])]
+    best = F.array(*[F.struct(F.lit(f).alias("field_name"), entities.best_entity(F.col("entities"), F.col("text"), f, a).alias("best")) for f, a in tries])
+    return rows.select("doc_id", F.inline(best)).where("best is not null").select("doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
+
+
+def extract_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade of a user's two rules, of which one is filled by a model's entities."""
+    own = [("voter_id", "name", 5, "ner", None, 0, ["elector's name", "name"], False, ["kyc_onboarding"]), ("voter_id", "card", 9, "regex_fuzzy", r"\b[A-Z]{3}\d{7}\b", 80, ["card"], False, ["kyc_onboarding"])]
+    rows = _classified(spark, sf_dir).where("document_type = 'voter_id'").select("doc_id", "document_type", "context", "text", _entities().alias("entities"))
+    found = policy.with_necessity(detect.extract_fields(rows, rules=own, entities_col="entities"), own)
+    return found.select("doc_id", "field_name", "value", F.round("confidence", 9).alias("confidence"), "method", "required")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of contexts and methods."""
+    rows = _fields(spark, sf_dir)
+    return rows.select("doc_id", "field_name", lookup(F.col("context"), rules.CONTEXT_LABELS).alias("context_label"), lookup(F.col("method"), rules.METHOD_LABELS).alias("method_label"))
+
+
+def email_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_email(spark, sf_dir).select("src", "doc_id", email_local_part(F.col("value")).alias("name"))
+
+
+def detect_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detect("email", rules.EMAIL)(spark, sf_dir)
+
+
+def scan_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.id_cards(spark, sf_dir).select("doc_id", scan_key(F.col("doc_id"), F.col("text"), F.col("context")).alias("scan_key"))
+
+
+def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean confidence of each card's recognised words, 0 without any, and whether the result is good enough."""
+    rows = geometry.layout_words(T.id_cards(spark, sf_dir)).withColumn("confidence", 0.5 + ((F.col("doc_id") + F.col("pos")) % 10) / 20)
+    means = rows.where("doc_id % 13 <> 0").groupBy("doc_id").agg(F.avg("confidence").alias("c"), F.count("*").alias("n"))
+    mean = F.coalesce("c", F.lit(0.0))
+    return T.id_cards(spark, sf_dir).select("doc_id").join(means, "doc_id", "left").select("doc_id", F.round(mean, 9).alias("mean_confidence"), ((mean >= 0.72) & (F.coalesce("n", F.lit(0)) >= 5)).alias("good"))
+
+
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields read from JSON in which keys are missing and boxes have fractions."""
+    k = F.col("doc_id")
+    one = F.concat(F.lit('{"field_name":"name","field_value":"V'), k, F.lit('","confidence":0.'), 5 + k % 5, F.lit(',"bounding_box":{"x":'), k % 90, F.lit('.7,"y":2.2}}'))
+    rows = T.id_cards(spark, sf_dir).select("doc_id", F.concat(F.lit("["), one, F.lit(',{"field_name":"dob"}]')).alias("stored"))
+    got = T.fields_from_json(rows, "stored")
+    return got.select("doc_id", "field_name", "field_value", F.col("sensitivity_weight").cast("long").alias("sensitivity_weight"), "detection_method", "confidence", F.col("bounding_box.x").cast("long").alias("x"), F.col("bounding_box.y").cast("long").alias("y"), F.col("bounding_box.width").cast("long").alias("width"), "needs_review", "required", "redaction_decision")
+
+
+def _qr_xml() -> Column:
+    k = F.col("doc_id")
+    return F.concat(F.lit('<PrintLetterBarcodeData uid="99'), k, F.lit('" name="QR NAME" dob="01/01/2001" house="H'), k, F.lit('" street="" vtc="Town" pc="411001"/>'))
+
+
+def extract_with_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade of Aadhaar cards of which every second has a readable code."""
+    rows = _classified(spark, sf_dir).where("document_type = 'aadhaar'").withColumn("qr", F.when(F.col("doc_id") % 2 == 0, T.qr_text(_qr_xml().cast("binary"))))
+    return detect.extract_fields(rows.select("doc_id", "document_type", "text", "qr"), qr_col="qr").select("doc_id", "field_name", "value", "confidence", "method")
 
 
 def qr_xml_address(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,11 +406,12 @@ def qr_xml_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     pairs = [("email", rules.EMAIL), ("phone", rules.PHONE), ("pan", rules.PAN), ("aadhaar", rules.AADHAAR), ("passport", rules.PASSPORT), ("date", rules.DATE)]
     typed = [("dl", rules.DL), ("epic", rules.EPIC), ("gender", rules.GENDER_A), ("blood_group", rules.BLOOD)]
-    found = [_detect(n, p, False) for n, p in pairs] + [_detect(n, p, True) for n, p in typed]
+    found = [_detect(n, p) for n, p in pairs + typed]
     found += [
         universal_scan, scan_text_pei, scan_text_highlight, docs_with_pii, docs_without_pii, keyword_scores, classify_documents, type_distribution, type_context_rollup, mrz_parse, anchored_regex, keyword_anchor_name, ngram_candidates,
         fuzzy_best, extract_fields, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
         weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
+        drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr,
     ]
     return {f.__name__: f for f in found}
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Texts of identity documents derived from ``customer``; {s} is the string type, {div} integer division.
 ID_CARDS = """
@@ -27,6 +32,57 @@ FROM (SELECT k, concat(gn, ' ', sn) AS nm, concat('RAVI ', sn) AS nm2, sn, gn, y
 """
 
 
+#: Columns of the stored tables.
+SCANS = (
+    "scan_id string, timestamp string, filename string, document_type string, document_type_confidence double, declared_context string, original_file_path string, processable_image_path string, raw_text string, "
+    "detected_fields_json string, pei_before double, pei_after double, redacted_file_path string, audit_report_json string, highlighted_text string, needs_review_count int, version long"
+)
+FIELDS = "scan_id string, field_name string, field_value string, detection_method string, confidence double, needs_review boolean, always_redact boolean, required boolean, redaction_decision string, sensitivity_weight int"
+AUDIT_EVENTS = "scan_id string, event_type string, event_data string, timestamp string"
+STORED = {"scans": SCANS, "fields": FIELDS, "audit_events": AUDIT_EVENTS}
+
+
+def create_tables(spark: SparkSession) -> None:
+    """The stored tables in the session's catalogue, as far as they are missing."""
+    for name, columns in STORED.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+
+
+_BOX = "struct<x:double,y:double,width:double,height:double>"
+_STORED_FIELD = f"array<struct<field_name:string,field_value:string,sensitivity_weight:int,detection_method:string,confidence:double,bounding_box:{_BOX},needs_review:boolean,always_redact:boolean,explanation:string,required:boolean,redaction_decision:string,bounding_box_pct:{_BOX}>>"
+
+
+def fields_from_json(rows: DataFrame, json_col: str) -> DataFrame:
+    """One row per field of a stored list, with the defaults of what is missing; boxes in pixels are cut to whole ones."""
+    others = [c for c in rows.columns if c != json_col]
+    f = rows.select(*others, F.explode(F.from_json(json_col, _STORED_FIELD)).alias("f"))
+    whole = F.struct(*[F.coalesce(F.col(f"f.bounding_box.{c}"), F.lit(0.0)).cast("int").alias(c) for c in ("x", "y", "width", "height")])
+    percent = F.when(F.col("f.bounding_box_pct").isNotNull(), F.struct(*[F.coalesce(F.col(f"f.bounding_box_pct.{c}"), F.lit(0.0)).alias(c) for c in ("x", "y", "width", "height")]))
+    default = lambda c, v: F.coalesce(F.col(f"f.{c}"), F.lit(v)).alias(c)
+    return f.select(
+        *others, F.col("f.field_name").alias("field_name"), default("field_value", ""), default("sensitivity_weight", 1), default("detection_method", "regex_fuzzy"), default("confidence", 0.0), whole.alias("bounding_box"),
+        (F.coalesce(F.col("f.needs_review"), F.lit(False)) | (F.coalesce(F.col("f.confidence"), F.lit(0.0)) < 0.7)).alias("needs_review"), default("always_redact", False), default("explanation", ""), default("required", False),
+        default("redaction_decision", "redact"), percent.alias("bounding_box_pct"),
+    )
+
+
+@F.pandas_udf(StringType())
+def qr_text(payload: pd.Series) -> pd.Series:
+    """XML of a code's payload: as it is, or inflated (raw or with a header); null if it is neither."""
+
+    def text(raw: bytes | None) -> str | None:
+        for read in (bytes, lambda x: zlib.decompress(x, -zlib.MAX_WBITS), zlib.decompress) if raw is not None else ():
+            try:
+                found = read(raw).decode()
+                ElementTree.fromstring(found)
+                return found
+            except (zlib.error, UnicodeDecodeError, ElementTree.ParseError):
+                continue
+        return None
+
+    return payload.map(text)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
