@@ -23,8 +23,8 @@ def test_patterns(spark, text, pattern, want):
 
 def test_fuzzy():
     assert indel_ratio("ABCDE1234F", rules.TEMPLATES[rules.PAN]) == pytest.approx(20.0)
-    assert best_window("00000000000", rules.TEMPLATES[rules.AADHAAR], 85.0) == ("00000000000", pytest.approx(0.88))
-    assert best_window("AAA0-97", rules.TEMPLATES[rules.EPIC], 80.0) == ("AAA0-97", 1.0)
+    assert best_window("00000000000", rules.TEMPLATES[rules.AADHAAR], 85.0) == ("00000000000", pytest.approx(0.88), 0, 1)
+    assert best_window("AAA0-97", rules.TEMPLATES[rules.EPIC], 80.0) == ("AAA0-97", 1.0, 0, 1)
     assert best_window(None, "A", 0.0) is None
 
 

@@ -64,4 +64,4 @@ def email_local_part(email: Column) -> Column:
 
 def scan_key(*parts: Column) -> Column:
     """A stable identifier of a scan, from what makes it one: the same input gets the same key in every run."""
-    return F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("\x01")) for p in parts]), 256)
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts]), 256)

@@ -99,12 +99,12 @@ def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate matches of the Aadhaar, PAN and EPIC templates in the cards and in literal fixtures."""
+    """Approximate matches of the Aadhaar, PAN and EPIC templates in all texts and in literal fixtures."""
     fixtures = spark.sql("SELECT * FROM VALUES (-1L, '00000000000'), (-2L, '0000000000000'), (-3L, 'AAA0-97'), (-4L, 'ABCDE1234F'), (-5L, CAST(NULL AS STRING)) AS t(doc_id, text)")
-    rows = T.id_cards(spark, sf_dir).select("doc_id", "text").unionByName(fixtures)
+    rows = T.texts(spark, sf_dir).unionByName(fixtures.withColumn("src", F.lit("literal")))
     tried = F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(rules.TEMPLATES[p]).alias("template"), F.lit(t).alias("threshold")) for n, p, t in (("aadhaar", rules.AADHAAR, 85.0), ("pan", rules.PAN, 88.0), ("epic", rules.EPIC, 80.0))])
-    rows = rows.select("doc_id", "text", F.inline(tried)).withColumn("best", fuzzy.fuzzy_match("text", "template", "threshold"))
-    return rows.where("best.value is not null").select("doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
+    rows = rows.select("src", "doc_id", "text", F.inline(tried)).withColumn("best", fuzzy.fuzzy_match("text", "template", "threshold"))
+    return rows.where("best.value is not null").select("src", "doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import rules as R
+from ..operators.history import NOTES
 from ..sources.tables import ID_CARDS
 
 
@@ -96,16 +97,21 @@ DECIDED = f"{JUDGED}, submitted AS (SELECT doc_id, field_name, CASE (doc_id + le
 _PENALTY = "CASE WHEN always_redact OR NOT required THEN weight * 10 ELSE weight * 2 END"
 BEFORE = f"before AS (SELECT c.doc_id, coalesce(round(least(100.0::DOUBLE * sum({_PENALTY}) / sum(weight * 10), 100), 1), 0) AS pei_before FROM cards c LEFT JOIN judged j USING (doc_id) GROUP BY c.doc_id)"
 AFTER = f"after_ AS (SELECT c.doc_id, coalesce(round(least(100.0::DOUBLE * sum({_PENALTY}) FILTER (submitted = 'allow' AND NOT always_redact) / sum(weight * 10) FILTER (submitted = 'allow' AND NOT always_redact), 100), 1), 0) AS pei_after FROM cards c LEFT JOIN decided d USING (doc_id) GROUP BY c.doc_id)"
-_clean = r"regexp_replace(lower({0}), '^\W+|\W+$', '', 'g')"
-BOXES = f"""{JUDGED}, words AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM cards)),
-placed AS (SELECT doc_id, {_clean.format('text')} AS token, (pos % 10) * 80.0::DOUBLE AS x, (pos // 10) * 20.0::DOUBLE AS y, length(text) * 8.0::DOUBLE AS w FROM words),
-vals AS (SELECT doc_id, field_name, value, decision FROM judged WHERE method <> 'image'),
-tok AS (SELECT DISTINCT doc_id, field_name, {_clean.format('t')} AS token FROM (SELECT doc_id, field_name, unnest(string_split_regex(value, '\\s+')) AS t FROM vals)),
-u AS (SELECT t.doc_id, t.field_name, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + 16) AS y1 FROM tok t JOIN placed p ON t.doc_id = p.doc_id AND t.token = p.token AND p.token <> '' GROUP BY ALL),
-boxes AS (SELECT v.doc_id, v.field_name, v.decision, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 - x0, 1) AS width, coalesce(y1 - y0, 1) AS height FROM vals v LEFT JOIN u USING (doc_id, field_name))"""
-SCANS = f"""{CLASSIFIED}, scans AS (SELECT 'scan-' || doc_id AS scan_id, concat('2024-01-', lpad((1 + doc_id % 28)::VARCHAR, 2, '0'), 'T00:00:00+00:00') AS "timestamp", concat('File_', doc_id, '.png') AS filename, document_type, context AS declared_context,
+_word = r"[\p{L}\p{N}_]+"
+#: A signature's region, and the page, are those of the query.
+BOXES = rf"""{DECIDED}, words AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM cards)),
+placed AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', '', 'g') AS word, (pos % 10) * 80.0::DOUBLE AS x, (pos // 10) * 20.0::DOUBLE AS y, length(text) * 8.0::DOUBLE AS w FROM words),
+vals AS (SELECT doc_id, document_type, field_name, value, method, applied, confidence, document_type <> 'unknown' AND method IN ('regex_fuzzy', 'ner') AS by_parts, regexp_extract_all(lower(value), '{_word}') AS own FROM decided),
+parts AS (SELECT *, CASE WHEN len(list_filter(own, lambda p: length(p) >= 2)) > 0 THEN list_filter(own, lambda p: length(p) >= 2) ELSE [trim(lower(value))] END AS part FROM vals),
+u AS (SELECT v.doc_id, v.field_name, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + 16) AS y1 FROM parts v JOIN placed p ON v.doc_id = p.doc_id AND p.word <> '' AND v.method <> 'image'
+  AND CASE WHEN by_parts THEN len(list_filter(part, lambda q: contains(q, word) OR contains(word, q))) > 0 ELSE list_contains(own, word) END GROUP BY ALL),
+boxes AS (SELECT v.doc_id, v.document_type, v.field_name, v.applied, v.confidence, CASE WHEN method = 'image' THEN 40 ELSE coalesce(x0, 0) END::DOUBLE AS x, CASE WHEN method = 'image' THEN 900 ELSE coalesce(y0, 0) END::DOUBLE AS y,
+  CASE WHEN method = 'image' THEN 320 ELSE coalesce(x1 - x0, 1) END::DOUBLE AS width, CASE WHEN method = 'image' THEN 240 ELSE coalesce(y1 - y0, 1) END::DOUBLE AS height FROM vals v LEFT JOIN u USING (doc_id, field_name)),
+corners AS (SELECT doc_id, field_name, applied, greatest(trunc(x) - 4, 0) AS x0, greatest(trunc(y) - 4, 0) AS y0, least(trunc(x) + trunc(width) + 4, 800) AS x1, least(trunc(y) + trunc(height) + 4, 1200) AS y1 FROM boxes)"""
+_SCANS = """scans AS (SELECT 'scan-' || doc_id AS scan_id, concat('2024-01-', lpad((1 + doc_id % 28)::VARCHAR, 2, '0'), 'T00:00:00+00:00') AS "timestamp", concat('File_', doc_id, '.png') AS filename, document_type, context AS declared_context,
   (doc_id % 101)::DOUBLE AS pei_before, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE doc_id % 21 END::DOUBLE AS pei_after, doc_id % 4 AS needs_review_count, v::BIGINT AS version FROM classified, unnest([1, 2]) AS t(v) WHERE v = 1 OR doc_id % 3 = 0),
 latest AS (SELECT * FROM scans QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY version DESC) = 1)"""
+SCANS = f"{CLASSIFIED}, {_SCANS}"
 _RISK = "CASE WHEN {0} >= 60 THEN 'high' WHEN {0} >= 30 THEN 'medium' ELSE 'low' END"
 
 
@@ -126,12 +132,42 @@ def _highlight() -> str:
     return text
 
 
+def _case(column: str, names: dict[str, str]) -> str:
+    return f"CASE {column} {' '.join(f'WHEN {_q(k)} THEN {_q(v)}' for k, v in names.items())} ELSE {column} END"
+
+
+def _audit() -> str:
+    field = "{'field_name': field_name, 'detected_value_masked': CASE WHEN length(value) <= 4 THEN '****' ELSE left(value, 4) || '****' END, 'sensitivity_weight': weight, 'detection_method': method, 'confidence': round(confidence, 2), 'needs_review': needs_review, 'required': required, 'redaction_decision': applied, 'always_redact': always_redact, 'explanation': explanation}"
+    keys = "scan_id,timestamp,filename,document_type,document_type_confidence,declared_context,pei_before,pei_after,fields_detected,compliance_notes,redacted_file_path"
+    notes = "to_json({" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in NOTES.items()) + "})::VARCHAR"
+    return f"""WITH {DECIDED}, {BEFORE}, {AFTER}, told AS (SELECT *, {_explain()} AS explanation FROM decided), listed AS (SELECT doc_id, to_json(list({field} ORDER BY rule_pos))::VARCHAR AS fields_detected FROM told GROUP BY doc_id)
+SELECT c.doc_id, 'scan-' || c.doc_id AS scan_id, concat('2024-01-', lpad((1 + c.doc_id % 28)::VARCHAR, 2, '0'), 'T00:00:00+00:00') AS "timestamp", concat('File_', c.doc_id, '.png') AS filename, document_type, round(type_confidence, 3) AS document_type_confidence, context AS declared_context,
+  round(pei_before, 1) AS pei_before, round(pei_after, 1) AS pei_after, CASE WHEN c.doc_id % 3 = 0 THEN concat('redacted/', c.doc_id, '.png') ELSE '' END AS redacted_file_path, coalesce(fields_detected, '[]') AS fields_detected, {notes} AS compliance_notes, {_q(keys)} AS report_keys
+FROM classified c JOIN before USING (doc_id) JOIN after_ USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
+def _entities() -> str:
+    """best: doc_id, field_name, value, confidence of the entities of the query."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, text, '{g}' AS g, nullif(regexp_extract(text, '{p}', 0), '') AS word, ({s})::DOUBLE AS score, {i} AS ord FROM cards"
+        for i, (g, p, s) in enumerate([("PER", "Government of India|INCOME TAX DEPARTMENT|ELECTION COMMISSION OF INDIA", "0.99"), ("PER", "(ASHA|VIJAY|MEERA) (RAO|PATEL|KHAN|DAS)", "0.5 + (doc_id % 5) / 10"), ("PER", "RAVI (RAO|PATEL|KHAN|DAS)", "0.6"), ("LOC", "Rampur|Pune|PUNE", "0.8")])
+    )
+    black = ", ".join(map(_q, R.NAME_BLACKLIST))
+    tries = []
+    for name, field, group, anchors in [("name", "name", "PER", ["name", "नाम"]), ("father_name", "father_name", "PER", ["father", "father's name"]), ("address", "address", "LOC", ["address", "pin"]), ("elector", "name", "PER", ["elector's name", "name"])]:
+        own = r"list_distinct(regexp_extract_all(lower(word), '\w+'))"
+        clean = f"AND len(list_intersect({own}, [{black}])) / len({own}) <= 0.3" if field != "address" else ""
+        near = "least(length(text), " + ", ".join(f"CASE WHEN strpos(lower(text), {_q(a)}) > 0 THEN abs(strpos(text, word) - strpos(lower(text), {_q(a)})) ELSE length(text) END" for a in anchors) + ")"
+        tries.append(f"SELECT doc_id, '{name}' AS field_name, word AS value, ord, score * 0.7::DOUBLE + greatest(0, 1 - {near} / length(text)) * 0.3::DOUBLE AS confidence FROM ent WHERE g = '{group}' AND word IS NOT NULL {clean}")
+    return f"ent AS ({found}), tries AS ({' UNION ALL '.join(tries)}), best AS (SELECT doc_id, field_name, value, least(confidence, 0.95)::DOUBLE AS confidence FROM tries QUALIFY row_number() OVER (PARTITION BY doc_id, field_name ORDER BY confidence DESC, ord) = 1)"
+
+
 def oracles() -> dict[str, str]:
     out = {}
     for name, p in (("email", R.EMAIL), ("phone", R.PHONE), ("pan", R.PAN), ("aadhaar", R.AADHAAR), ("passport", R.PASSPORT), ("date", R.DATE)):
         out[f"detect_{name}"] = f"WITH {TEXTS} SELECT src, doc_id, {_match(p)} AS value FROM texts WHERE {_match(p)} IS NOT NULL"
     for name, p in (("dl", R.DL), ("epic", R.EPIC), ("gender", R.GENDER_A), ("blood_group", R.BLOOD)):
-        out[f"detect_{name}"] = f"WITH {TEXTS} SELECT src, doc_id, {_match(p)} AS value FROM texts WHERE src = 'card' AND {_match(p)} IS NOT NULL"
+        out[f"detect_{name}"] = f"WITH {TEXTS} SELECT src, doc_id, {_match(p)} AS value FROM texts WHERE {_match(p)} IS NOT NULL"
     scan = f"WITH {TEXTS}, {_universal('texts', 'src, doc_id')}"
     counts = f"{scan}, n AS (SELECT src, doc_id, count(*) AS n FROM found GROUP BY ALL)"
     out |= {
@@ -147,7 +183,7 @@ def oracles() -> dict[str, str]:
         "mrz_parse": f"WITH {CARDS}, {MRZ} SELECT * FROM mrz",
         "anchored_regex": f"WITH {CARDS}, glued AS (SELECT doc_id, replace(text, 'Number ', 'Number') AS text FROM cards WHERE true_type = 'pan') SELECT doc_id, {_match(R.PAN)} AS exact, {_anchored(R.PAN, ['permanent account number', 'pan', 'income tax'])} AS anchored FROM glued",
         "keyword_anchor_name": f"WITH {CARDS} SELECT doc_id, {_ner('name', ['name', 'नाम'])} AS name FROM cards",
-        "ngram_candidates": f"WITH {CARDS}, w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM cards), s AS (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS start FROM w, unnest([1, 2, 3, 4, 5]) AS t(n) WHERE len(w) >= n) SELECT doc_id, n::BIGINT AS n, start, array_to_string(w[start + 1:start + n], ' ') AS candidate FROM s",
+        "ngram_candidates": f"WITH {TEXTS}, w AS (SELECT src, doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM texts), s AS (SELECT src, doc_id, w, n, unnest(range(len(w) - n + 1)) AS start FROM w, unnest([1, 2, 3, 4, 5]) AS t(n) WHERE len(w) >= n) SELECT src, doc_id, n::BIGINT AS n, start, array_to_string(w[start + 1:start + n], ' ') AS candidate FROM s",
         "extract_fields": f"WITH {FIELDS} SELECT doc_id, document_type, field_name, value, confidence, method, needs_review FROM fields",
         "necessity_matrix": f"WITH {NECESSITY} SELECT * FROM necessity",
         "necessity_lookup": f"WITH {JUDGED} SELECT doc_id, field_name, context, required FROM judged",
@@ -164,8 +200,10 @@ def oracles() -> dict[str, str]:
         "confidence_labels": f"WITH {FIELDS} SELECT doc_id, field_name, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS confidence_label, {_RISK.format('weight * 10')} AS field_risk FROM fields",
         "weighted_confidence": f"WITH {FIELDS} SELECT doc_id, round(sum(confidence * weight) / sum(weight), 9) AS weighted_confidence FROM fields GROUP BY doc_id",
         "bbox_union": f"WITH {BOXES} SELECT doc_id, field_name, x, y, width, height FROM boxes",
-        "bbox_normalise": f"WITH {BOXES} SELECT doc_id, field_name, round(x / 800 * 100, 2) AS x, round(y / 1200 * 100, 2) AS y, round(width / 800 * 100, 2) AS width, round(height / 1200 * 100, 2) AS height FROM boxes",
-        "redaction_boxes": f"WITH {BOXES} SELECT doc_id, field_name, greatest(x - 4, 0) AS x0, greatest(y - 4, 0) AS y0, least(x + width + 4, 800) AS x1, least(y + height + 4, 1200) AS y1 FROM boxes WHERE decision <> 'allow'",
+        "bbox_normalise": f"WITH {BOXES}, t AS (SELECT *, document_type <> 'unknown' AS typed FROM boxes) SELECT doc_id, field_name, CASE WHEN typed THEN round(x / 800 * 100, 2) END AS x, CASE WHEN typed THEN round(y / 1200 * 100, 2) END AS y, CASE WHEN typed THEN round(width / 800 * 100, 2) END AS width, CASE WHEN typed THEN round(height / 1200 * 100, 2) END AS height FROM t",
+        "drawable_boxes": f"WITH {BOXES} SELECT doc_id, field_name FROM boxes WHERE width > 0 AND height > 0",
+        "redaction_boxes": f"WITH {BOXES} SELECT doc_id, field_name, CASE WHEN applied = 'mask' THEN least(x0 + 40, x1) ELSE x0 END::DOUBLE AS x0, y0::DOUBLE AS y0, x1::DOUBLE AS x1, y1::DOUBLE AS y1 FROM corners WHERE applied <> 'allow'",
+        "field_responses": f"WITH {BOXES}, b AS (SELECT *, (doc_id + length(field_name)) % 2 = 0 AS own FROM boxes) SELECT doc_id, field_name, round(confidence / 3, 3) AS confidence, CASE WHEN own THEN x ELSE 0 END AS x, CASE WHEN own THEN y ELSE 0 END AS y, CASE WHEN own THEN width ELSE 1 END AS width, CASE WHEN own THEN height ELSE 1 END AS height FROM b",
         "latest_scan_version": f"WITH {SCANS} SELECT * FROM latest",
         "scan_list": f"WITH {SCANS} SELECT * EXCLUDE (version) FROM latest",
         "scan_by_id": f"WITH {SCANS} SELECT * FROM latest WHERE scan_id = 'scan-42'",
@@ -175,8 +213,19 @@ def oracles() -> dict[str, str]:
         "dashboard_totals": f"WITH {SCANS}, a AS (SELECT count(*) AS n_scans, avg(coalesce(pei_before, 0)) AS b, avg(coalesce(nullif(pei_after, 0), pei_before, 0)) AS c FROM latest) SELECT n_scans, round(b, 9) AS avg_before, round(c, 9) AS avg_after, CASE WHEN b > 0 THEN floor((b - c) / b * 100 + 0.5) ELSE 0 END::BIGINT AS reduction FROM a",
         "top_exposed_fields": f"WITH {JUDGED} SELECT field_name, count(*) AS n FROM judged WHERE NOT required GROUP BY field_name ORDER BY n DESC, field_name LIMIT 8",
         "recent_scans": f'WITH {SCANS} SELECT scan_id, "timestamp" FROM latest ORDER BY "timestamp" DESC, scan_id LIMIT 10',
-        "scan_timeline": f"WITH {SCANS} SELECT scan_id, unnest(range(5)) AS step, unnest(['uploaded', 'classified', 'fields_detected', 'necessity_checked', 'redacted']) AS event FROM latest",
-        "audit_report": f"WITH {JUDGED} SELECT doc_id, document_type, context, field_name, CASE WHEN length(value) <= 4 THEN '****' ELSE left(value, 4) || '****' END AS masked_value, round(confidence, 2) AS confidence, method, required, decision FROM judged",
+        "scan_timeline": f"WITH {FIELDS}, {_SCANS}, c AS (SELECT doc_id, count(*) AS n FROM fields GROUP BY doc_id), t AS (SELECT scan_id, l.\"timestamp\", coalesce(n, 0) AS n, {_case('document_type', R.DOCUMENT_LABELS)} AS label FROM latest l LEFT JOIN c ON c.doc_id = substr(scan_id, 6)::BIGINT) SELECT scan_id, \"timestamp\", unnest(range(5)) AS step, unnest(['document uploaded', 'ocr extraction completed', 'classified as ' || label, n || ' fields detected', 'redaction applied']) AS event FROM t",
+        "audit_report": _audit(),
+        "audit_present": f"WITH {CARDS} SELECT doc_id, 'scan-' || doc_id AS scan_id FROM cards WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0",
+        "context_validation": f"WITH {CARDS}, r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN upper(context) WHEN doc_id % 11 = 0 THEN NULL ELSE context END AS context FROM cards) SELECT doc_id, context, doc_id % 9 <> 0 AND doc_id % 11 <> 0 AS accepted FROM r",
+        "entity_fields": "SELECT * FROM (VALUES " + ", ".join(f"({_q(g)}, {_q(f)})" for g, fields in R.ENTITY_FIELDS.items() for f in fields) + ") AS t(entity_group, field_name)",
+        "entity_scores": f"WITH {CARDS}, {_entities()} SELECT doc_id, field_name, value, round(confidence, 9) AS confidence FROM best WHERE field_name <> 'elector'",
+        "extract_with_entities": f"WITH {CLASSIFIED}, {_entities()} SELECT c.doc_id, 'name' AS field_name, b.value, round(b.confidence, 9) AS confidence, 'ner' AS method, context = 'kyc_onboarding' AS required FROM classified c JOIN best b ON b.doc_id = c.doc_id AND b.field_name = 'elector' WHERE document_type = 'voter_id' UNION ALL SELECT doc_id, 'card', {_match(R.EPIC)}, 0.95::DOUBLE, 'regex_fuzzy', context = 'kyc_onboarding' FROM classified WHERE document_type = 'voter_id'",
+        "labels": f"WITH {FIELDS} SELECT doc_id, field_name, {_case('context', R.CONTEXT_LABELS)} AS context_label, {_case('method', R.METHOD_LABELS)} AS method_label FROM fields",
+        "email_names": f"WITH {TEXTS} SELECT src, doc_id, split_part({_match(R.EMAIL)}, '@', 1) AS name FROM texts WHERE {_match(R.EMAIL)} IS NOT NULL",
+        "scan_keys": f"WITH {CARDS} SELECT doc_id, sha256(concat(doc_id, chr(31), text, chr(31), context)) AS scan_key FROM cards",
+        "word_confidence": f"WITH {CARDS}, w AS (SELECT doc_id, unnest(range(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) AS pos FROM cards WHERE doc_id % 13 <> 0), m AS (SELECT doc_id, avg(0.5 + ((doc_id + pos) % 10) / 20) AS c, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, round(coalesce(c, 0), 9)::DOUBLE AS mean_confidence, coalesce(c, 0) >= 0.72 AND coalesce(n, 0) >= 5 AS good FROM cards LEFT JOIN m USING (doc_id)",
+        "stored_fields": f"WITH {CARDS} SELECT doc_id, 'name' AS field_name, 'V' || doc_id AS field_value, 1::BIGINT AS sensitivity_weight, 'regex_fuzzy' AS detection_method, ('0.' || (5 + doc_id % 5))::DOUBLE AS confidence, doc_id % 90 AS x, 2::BIGINT AS y, 0::BIGINT AS width, doc_id % 5 < 2 AS needs_review, false AS required, 'redact' AS redaction_decision FROM cards UNION ALL SELECT doc_id, 'dob', '', 1, 'regex_fuzzy', 0, 0, 0, 0, true, false, 'redact' FROM cards",
+        "extract_with_qr": f"WITH {FIELDS}, a AS (SELECT *, doc_id % 2 = 0 AND field_name IN ('aadhaar_number', 'name', 'dob', 'address') AS qr FROM fields WHERE document_type = 'aadhaar') SELECT doc_id, field_name, CASE WHEN NOT qr THEN value WHEN field_name = 'aadhaar_number' THEN '99' || doc_id WHEN field_name = 'name' THEN 'QR NAME' WHEN field_name = 'dob' THEN '01/01/2001' ELSE concat('H', doc_id, ', Town, 411001') END AS value, CASE WHEN qr THEN 0.98 ELSE confidence END::DOUBLE AS confidence, CASE WHEN qr THEN 'qr' ELSE method END AS method FROM a",
         "qr_xml_address": "SELECT c_custkey AS doc_id, concat('H', c_custkey, ', Near Park, Town', c_custkey % 7, ', Pune, MH, ', 411000 + c_custkey % 100) AS address FROM customer",
     }
     return out

@@ -20,7 +20,7 @@ SELECT k AS doc_id,
      ' ', CAST(2000 + k % 8000 AS {s}), ' ', lpad(CAST(k * 7 % 10000 AS {s}), 4, '0'), ' ', lpad(CAST(k * 13 % 10000 AS {s}), 4, '0'))
    WHEN 1 THEN concat('INCOME TAX DEPARTMENT Permanent Account Number ', chr(CAST(65 + k % 26 AS INT)), chr(CAST(65 + k * 7 % 26 AS INT)), 'XYZ', lpad(CAST(k % 10000 AS {s}), 4, '0'),
      chr(CAST(65 + k * 3 % 26 AS INT)), ' Name: ', nm, ' Father''s Name: ', nm2, ' Date of Birth: ', dob)
-   WHEN 2 THEN concat('REPUBLIC OF INDIA PASSPORT Surname ', sn, ' Nationality IND Place of Birth PUNE ', rpad(concat('P<IND', sn, '<<', gn), 44, '<'), ' ',
+   WHEN 2 THEN concat('REPUBLIC OF INDIA PASSPORT No B1', lpad(CAST(k % 10000000 AS {s}), 7, '0'), ' Surname ', sn, ' Nationality IND Place of Birth PUNE ', rpad(concat('P<IND', sn, '<<', gn), 44, '<'), ' ',
      rpad(concat('A', CAST(10000000 + k AS {s}), '0IND', yy, mm, dd, '0', substr(gen, 1, 1), '3', substr(yy, 2, 1), mm, dd, '0'), 44, '<'))
    WHEN 3 THEN concat('DRIVING LICENCE TRANSPORT DEPT DL No MH', CAST(10 + k % 90 AS {s}), CAST(1000000 + k AS {s}), ' Name: ', nm, ' DOB: ', dob, ' Address: House ', k, ' Pune Blood Group O+x')
    WHEN 4 THEN concat('ELECTION COMMISSION OF INDIA Elector Photo Identity Card ABC', CAST(1000000 + k AS {s}), ' Name: ', nm, ' Father: ', nm2, ' Date of Birth: ', dob, ' ', gen, ' Address: House ', k, ' Pune')
