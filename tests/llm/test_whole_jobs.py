@@ -1,10 +1,13 @@
 """Cases where an operator once did less than its whole job."""
 
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from veilmark.llm import jaccard_join, licenses, pii
+from veilmark.llm import decontamination, features, jaccard_join, language_id, licenses, pii, quality_rules
 
 
 def test_hot_bucket_is_cut_into_blocks(spark):
@@ -82,3 +85,83 @@ def test_pipeline_drops_rows_by_doc_id_and_text(spark, sf_dir):
     rows = spark.createDataFrame([(5, item), (5, a), (None, item), (None, b)], schema)
     got = [tuple(r) for r in corpus_pipeline.decontaminate(spark, rows, sf_dir).collect()]
     assert sorted(got, key=repr) == sorted([(5, a), (None, b)], key=repr)
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    """Scores are those of a plain naive Bayes, whatever stands beside a text; ties go to the first language; clashing columns are replaced."""
+    texts = ["die", "the house", "zzz qqq", "das haus und die katze", "the cat and the house", "", None, "12 !"]
+    train = spark.createDataFrame([("de", "das haus die katze"), ("en", "the house the cat"), (None, "x"), ("en", None)], "lang string, text string")
+    model = language_id.fit(train)
+    rows = spark.createDataFrame([(i, t, "old", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score int")
+    together = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in language_id.predict(rows.coalesce(1), model).collect()}
+    for i in (0, 1, 3):
+        alone = language_id.predict(rows.where(rows["doc_id"] == i), model).first()
+        assert (alone["lang_pred"], round(alone["score"], 6)) == together[i]
+    langs, logp = model
+    for i, text in enumerate(texts):
+        if text and any(map(str.isalpha, text)):
+            total = np.zeros(len(langs))
+            codes, _ = features.codes([text])
+            for k, n in enumerate(language_id.ORDERS):
+                total += sum(logp[:, int(b) + (k << language_id.BITS)].astype(float) for b in features.char_ngrams(codes, n, language_id.BITS)[: len(text)])
+            want = langs[int(total.argmax())], round(float(1 / np.exp(total - total.max()).sum()), 6)
+            assert (together[i][0], together[i][1]) == (want[0], pytest.approx(want[1], abs=1e-4))
+        else:
+            assert together[i] == ("und", 0.0)
+
+
+def test_quality_verdicts_with_exact_quartiles(spark):
+    """Groups of every size, down to one row, have fences; sketches of so few rows are exact."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)] + ["#$%"] * rng.choice((0, 0, 0, 1, 2, 40))
+        rows.append((i, " ".join(words), rng.choice(("en", None)), rng.choice(("a", "b", None)) if i else "alone"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.filter_quality(docs).collect()}
+    metrics = {i: {m: r[m] for m in quality_rules.METRICS} for i, r in got.items()}
+    at = lambda xs, q: sorted(xs)[max(math.ceil(q * len(xs)) - 1, 0)]
+    for i, _, lang, source in rows:
+        own, of_lang = [j for j, _, a, b in rows if (a, b) == (lang, source)], [j for j, _, a, _ in rows if a == lang]
+        fits = True
+        for m in quality_rules.METRICS:
+            share = lambda n: n / (n + quality_rules.PRIOR)
+            q = {}
+            for k, x in (("low", 0.25), ("high", 0.75)):
+                all_, l, s = (at([metrics[j][m] for j in js], x) for js in (got, of_lang, own))
+                q[k] = share(len(own)) * s + (1 - share(len(own))) * (share(len(of_lang)) * l + (1 - share(len(of_lang))) * all_)
+            fits &= metrics[i][m] <= q["high"] + max(quality_rules.FENCE * (q["high"] - q["low"]), quality_rules.LEAST_WIDTH[m]) + 1e-12
+        assert got[i]["kept"] == (fits and not got[i]["base_failed"]), i
+    assert 0 < sum(not r["kept"] for r in got.values()) < 60
+    assert quality_rules.filter_quality(docs.drop("lang", "source")).count() == 150
+
+
+def test_secrets_and_their_spans(spark):
+    """Assigned secrets are seeds; what they teach finds secrets of the same shape under other names; numbers elsewhere stay."""
+    rng = random.Random(4)
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "7a"
+    texts = [f'x token = "{value()}" y' for _ in range(12)] + [f'auth = "{value()}"', "version = 4.0.", "see 12 of 30", f"id={value()}"]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = [(r["doc_id"], r["spans"], r["n_spans"]) for r in pii.op3_pii(rows).collect()]
+    at = texts[0].index('"') + 1
+    assert got.count((0, f"secret:{at}:{at + 41}", 1)) == 2
+    found = {i: s for i, s, _ in got}
+    assert found[12] == "secret:8:49" and found[13] == found[14] == ""
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(rows).collect()}
+    assert redacted[0] == 'x token = "[SECRET]" y' and redacted[13] == texts[13]
+
+
+def test_redaction_of_many_identifiers(spark):
+    text = " ".join(f"é{i} a{i}@b{i}.org" for i in range(1000))
+    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["text"] == " ".join(f"é{i} [EMAIL]" for i in range(1000))
+
+
+def test_decontamination_judges_texts_apart(spark):
+    """Two halves under one doc_id do not hold an item together; two texts of one item_id are two items; null identifiers name nothing."""
+    words = [f"w{i}" for i in range(40)]
+    item, other = " ".join(words), " ".join(f"o{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join(words[:22])), (1, " ".join(words[18:])), (2, item), (2, item), (3, f"x {other} y"), (None, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (7, other), (7, item), (None, item)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
+    assert got == [(2, 7, 36, 36, 1.0), (3, 7, 36, 36, 1.0)]
