@@ -91,11 +91,12 @@ PROFILES = {
 }
 
 #: Words that a person's name mostly does not consist of, and label words that are not part of a value (fixed values).
-NAME_BLACKLIST = (
-    "government india uidai aadhaar unique identification authority proof identity citizenship verification republic income tax department permanent account "
-    "election commission transport passport driving licence license elector voter male female भारत सरकार आधार"
-).split()
-SKIP_WORDS = "name dob date of birth gender sex address government india uid male female".split()
+NAME_BLACKLIST = [
+    "government", "india", "uidai", "aadhaar", "unique", "identification", "authority", "proof", "identity", "citizenship", "verification", "republic", "income", "tax", "department", "permanent", "account", "election", "commission", "transport", "passport", "driving", "licence", "license", "elector", "voter", "male", "female", "भारत", "सरकार", "आधार",
+]
+SKIP_WORDS = [
+    "name", "dob", "date", "of", "birth", "gender", "sex", "address", "government", "india", "uid", "male", "female",
+]
 
 #: Fields that the entity groups of a model may fill (fixed values).
 ENTITY_FIELDS = {
