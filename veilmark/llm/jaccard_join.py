@@ -51,6 +51,8 @@ MAX_BROADCAST_ROWS = 250_000
 MEMBERS = 500
 #: Classes, and bytes of their bitmaps, of a bucket in one block; larger buckets are cut into blocks that meet two by two.
 BUCKET, BUCKET_BYTES = 1000, 1 << 20
+#: Classes of a bucket up to which the buckets at hand are compared together, and bytes of bitmaps compared at once.
+FEW, COMPARED_BYTES = 32, 1 << 22
 
 _u = np.uint64
 
@@ -137,6 +139,13 @@ def bits_apart(many: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(axis=1, dtype=np.int64)
 
 
+def pairs_apart(longer: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Differing bits between the bitmaps of each row of ``longer`` and the same row of ``shorter``."""
+    if longer.shape[1] > shorter.shape[1]:
+        longer = np.bitwise_xor.reduce(longer.reshape(len(longer), -1, shorter.shape[1]), axis=1)
+    return np.bitwise_count(longer ^ shorter).sum(axis=1, dtype=np.int64)
+
+
 def bands() -> np.ndarray:
     """Largest size of each band."""
     edges = [1]
@@ -369,16 +378,34 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
 
         begin = _group_starts(table)
         size = np.diff(np.append(begin, len(rep)))
-        # buckets of two, which are the most, all at once
-        pairs = begin[size == 2]
-        pairs = pairs[(comp[pairs] != comp[pairs + 1]) & (width[pairs] == width[pairs + 1]) & (n[pairs + 1] <= n[pairs] * 5 // 4)]
-        for w in np.unique(width[pairs]).tolist():
-            at = pairs[width[pairs] == w]
-            apart = np.bitwise_count(_matrix(cells, at, w) ^ _matrix(cells, at + 1, w)).sum(axis=1, dtype=np.int64)
-            for i in at[apart <= (n[at] + n[at + 1]) // 9].tolist():
-                add(i, i + 1)
-        for x, y in zip(begin.tolist(), (begin + size).tolist(), strict=True):
-            if (y - x == 2 and width[x] == width[x + 1]) or (comp[x:y] == comp[x]).all():
+        # buckets of a few classes, which are the most, all at once
+        few = [np.zeros((2, 0), dtype=np.int64)]
+        for k in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+            few.append((begin[size == k][:, None] + np.array(np.triu_indices(k, 1))[:, None, :]).reshape(2, -1))
+        left, right = np.concatenate(few, axis=1)
+        fit = (comp[left] != comp[right]) & (n[right] <= n[left] * 5 // 4) & ((lo[left] == hi[left]) | (block[left] != block[right]))
+        left, right = left[fit], right[fit]
+        apart = np.zeros(len(left), dtype=np.int64)
+        shape = width[left].astype(np.int64) << 32 | width[right]
+        for w in np.unique(shape).tolist():
+            same = np.flatnonzero(shape == w)
+            step = max(COMPARED_BYTES // (w & 0xFFFFFFFF), 1)
+            for k in range(0, len(same), step):
+                at = same[k : k + step]
+                apart[at] = pairs_apart(_matrix(cells, right[at], w & 0xFFFFFFFF), _matrix(cells, left[at], w >> 32))
+        fit = apart <= (n[left] + n[right]) // 9
+        left, right, apart = left[fit], right[fit], apart[fit]
+        if nearest and len(left):
+            order = np.lexsort((right, apart, comp[right], left))
+            left, right = left[order], right[order]
+            behind = np.concatenate(([False], (left[1:] == left[:-1]) & (comp[right[1:]] == comp[right[:-1]])))
+            more.update(sig[left[behind]].tolist())
+            left, right = left[~behind], right[~behind]
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            add(i, j)
+        large = size > FEW
+        for x, y in zip(begin[large].tolist(), (begin + size)[large].tolist(), strict=True):
+            if (comp[x:y] == comp[x]).all():
                 continue
             across = lo[x] != hi[x]  # two blocks: those of one block meet elsewhere
             # sorted by size, so bitmaps of one width follow each other
