@@ -71,8 +71,29 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_bpe import op11_word_bpe
+
+    return op11_word_bpe(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import op12_periodic_runs
+
+    return op12_periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import op13_conversation_repair
+
+    return op13_conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_license_scan, op2_language_id, op3_pii, op4_quality_rules, op5_url_filter, op6_decontamination, op7_warc, op8_byte_bpe, op9_jaccard_join, op10_quality_classifier]
+    found = [
+        op1_license_scan, op2_language_id, op3_pii, op4_quality_rules, op5_url_filter, op6_decontamination, op7_warc, op8_byte_bpe, op9_jaccard_join, op10_quality_classifier,
+        op11_word_bpe, op12_periodic_runs, op13_conversation_repair,
+    ]
     return {f.__name__: f for f in found}
 
 
