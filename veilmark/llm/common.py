@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +35,55 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later uses neither recompute it nor depend on
-    the executor that made it."""
+    the executor that made it. Within a ``Scratch`` the table lives until that ends."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    if Scratch.open:
+        Scratch.open[-1].tables.append((back, path))
+    return back
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Scratch tables of a job, by way of ``with``: they are removed when it ends, but for its result.
+
+    Plans that read them must have run by then; ``result`` writes the last one."""
+
+    open: ClassVar[list[Scratch]] = []
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.kept: tuple[DataFrame, str] | None = None
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch.open.remove(self)
+        for df, _ in list(self.tables):
+            if self.kept is None or df is not self.kept[0]:
+                self.drop(df)
+        if self.kept and Scratch.open:
+            Scratch.open[-1].tables.append(self.kept)
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table of this job that no later step reads."""
+        for entry in [x for x in self.tables if x[0] is df]:
+            self.tables.remove(entry)
+            remove(df.sparkSession, entry[1])
+
+    def result(self, df: DataFrame) -> DataFrame:
+        back = materialize(df)
+        self.kept = self.tables[-1]
+        return back
 
 
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -95,6 +140,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = materialize(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         before, old = old, content(new)
+        if Scratch.open:
+            Scratch.open[-1].drop(pairs)
         pairs = new
         if old == before:
             break

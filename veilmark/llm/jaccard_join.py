@@ -10,9 +10,10 @@ three gives a signature: linked sets differ by at most one element in some part
 signature: as long as one of two linked sets has elements in more parts than they may differ in, they still agree on
 a non-empty one. A set for which that fails also emits the signatures of finer partitions, up to one element for each part, where
 it cannot fail; two sets meet at the coarser of their last partitions. A set emits for every band that a larger partner may be in.
+Where linked sets agree on several parts, a set leaves out so many of its largest signatures that the smallest common one is kept by both.
 So linked sets always share a signature; no bucket is capped.
 
-Work in a bucket. Equal sets are one class and meet once. Each class is first verified against the smallest class of a
+Work in a bucket. Equal sets, told apart by 128 bits, are one class and meet once; a class takes part with the text of one of its rows. Each class is first verified against the smallest class of a
 bucket, and components are formed. Then only buckets that still hold several components are gone through for pairs across components,
 those of many classes in blocks that meet two by two in tasks of their own. A set's bitmap has a bit for the parity of the elements in
 each of its cells; the number of bits in which two bitmaps differ cannot exceed the number of differing elements and is close to it, so
@@ -20,8 +21,9 @@ that pairs which do not link are ruled out before they are emitted. A pair that
 as far as the few smallest signatures that each class brings along tell. The nearest pair of a set and another component is verified first;
 where it links them, the rest need not be looked at. Every pair that is emitted is verified on the whole texts, once.
 
-Hashes have 64 bits. Null and empty texts have empty sets and link with nothing; repeated rows get a row each; a null identifier
-takes part, but cannot name a component.
+Null and empty texts have empty sets and link with nothing. Every row is a document: repeated rows get a row each, and an identifier that
+stands with several texts takes part with each of them. A null identifier takes part, but cannot name a component; a component without
+any other has a null one. Elements are hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, connected_components, materialize
+from .common import Scratch, bound_batches, connected_components, materialize
 
 SHINGLE = 5
 BLOCK_BYTES = 500_000
@@ -50,7 +52,9 @@ MAX_BROADCAST_ROWS = 250_000
 #: Members that one task verifies against a leader before the leader is copied to another.
 MEMBERS = 500
 #: Classes, and bytes of their bitmaps, of a bucket in one block; larger buckets are cut into blocks that meet two by two.
-BUCKET, BUCKET_BYTES = 1000, 1 << 20
+BUCKET, BUCKET_BYTES = 12_000, 12 << 20
+#: Parts up to which elements are dealt to parts; beyond it every element is a part.
+MOST_PARTS = 1 << 31
 #: Classes of a bucket up to which the buckets at hand are compared together, and bytes of bitmaps compared at once.
 FEW, COMPARED_BYTES = 32, 1 << 22
 
@@ -108,13 +112,16 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], gram[new]
 
 
-def set_classes(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each text's set and a hash of the set."""
+def set_classes(owner: np.ndarray, gram: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each text's set, and two hashes of the set: its class and what tells sets of one class apart."""
     n = np.bincount(owner, minlength=n_texts)
-    total = np.zeros(n_texts, dtype=np.uint64)
     held = np.flatnonzero(n)
-    total[held] = _sums(_mix(gram, 4), (np.cumsum(n) - n)[held])
-    return n, _mix(total, 5).view(np.int64)
+    out = []
+    for seed in (4, 12):
+        total = np.zeros(n_texts, dtype=np.uint64)
+        total[held] = _sums(_mix(gram, seed), (np.cumsum(n) - n)[held])
+        out.append(_mix(total, seed + 1).view(np.int64))
+    return n, *out
 
 
 def bitmaps(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> list[bytes | None]:
@@ -157,6 +164,16 @@ def bands() -> np.ndarray:
 _BANDS = bands()
 
 
+def _smallest(owner: np.ndarray, sig: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of each set without the ``spare`` largest."""
+    order = np.lexsort((sig, owner))
+    owner, sig = owner[order], sig[order]
+    left = np.bincount(owner, minlength=len(spare))
+    place = np.arange(len(owner)) - (np.cumsum(left) - left)[owner]
+    kept = place < (left - spare)[owner]
+    return owner[kept], sig[kept]
+
+
 def signatures(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text index and signature, for every signature of every set."""
     out_owner, out_sig = [], []
@@ -171,20 +188,22 @@ def signatures(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.n
         level = 0
         while active.any():
             some = active[owner]
-            o, p, s = owner[some], place[some], spread[some]
+            o, p, s, e = owner[some], place[some], spread[some], gram[some]
             cut = (upper <= SMALL) & (level == 0)
-            parts = np.where(cut, np.ceil(1.3 * (most // 2 + 1)), np.ceil(SLACK * (most + 1)) * 4.0**level).astype(np.int64)
-            parts = np.minimum(parts, (1 << 31) - 1)
-            part = (p * parts[o].astype(np.uint64)) >> _u(32)
+            parts = np.where(cut, np.ceil(1.3 * (most // 2 + 1)), np.ceil(SLACK * (most + 1)) * 4.0**level)
+            single = parts > MOST_PARTS
+            parts = np.where(single, 1, parts).astype(np.int64)
+            part = np.where(single[o], e, (p * parts[o].astype(np.uint64)) >> _u(32))
             name = _mix(part + (band[o].astype(np.uint64) << _u(40)) + (_u(level) << _u(56)), 8)
             good = np.zeros(len(n), dtype=np.int64)
+            own_owner, own_sig = [], []
             plain = ~cut[o]
             if plain.any():
                 key = np.flatnonzero(plain)[np.lexsort((part[plain], o[plain]))]
                 begin = np.flatnonzero(np.concatenate(([True], (part[key][1:] != part[key][:-1]) | (o[key][1:] != o[key][:-1]))))
-                out_owner.append(o[key][begin])
-                out_sig.append(_mix(_sums(s[key], begin) + name[key][begin], 9))
-                good += np.bincount(out_owner[-1], minlength=len(n))
+                own_owner.append(o[key][begin])
+                own_sig.append(_mix(_sums(s[key], begin) + name[key][begin], 9))
+                good += np.bincount(own_owner[-1], minlength=len(n))
             if not plain.all():
                 third = ((_mix(s[~plain], 10) >> _u(33)) % _u(3)).astype(np.int64)
                 oo, pp, ss, nn = o[~plain], part[~plain], s[~plain], name[~plain]
@@ -195,14 +214,18 @@ def signatures(owner: np.ndarray, gram: np.ndarray, n: np.ndarray) -> tuple[np.n
                     if not len(key):
                         continue
                     begin = np.flatnonzero(np.concatenate(([True], (pp[key][1:] != pp[key][:-1]) | (oo[key][1:] != oo[key][:-1]))))
-                    out_owner.append(oo[key][begin])
-                    out_sig.append(_mix(_sums(ss[key], begin) + nn[key][begin] + _u(left_out + 1), 9))
+                    own_owner.append(oo[key][begin])
+                    own_sig.append(_mix(_sums(ss[key], begin) + nn[key][begin] + _u(left_out + 1), 9))
                     occupied = np.concatenate((occupied, (oo[key][begin] << 32) + pp[key][begin].astype(np.int64)))
                 # a part counts when all three of its subsets are non-empty
                 where, times = np.unique(occupied, return_counts=True)
                 good += np.bincount(where[times == 3] >> 32, minlength=len(n))
-            enough = np.where(cut, good > differ // 2, good > differ)
-            active &= ~enough & (parts < (1 << 31) - 1)
+            # a linked set agrees on so many parts at least; of the signatures all but one of them may be left out, from the largest on
+            agreed = good - np.where(cut, differ // 2, differ)
+            found = _smallest(np.concatenate(own_owner), np.concatenate(own_sig), np.maximum(agreed - 1, 0))
+            out_owner.append(found[0])
+            out_sig.append(found[1])
+            active &= (agreed < 1) & ~single
             level += 1
     if not out_owner:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -220,27 +243,32 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def classify_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set) and cells (the bitmap of the set)."""
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """``doc`` and ``key``, which tell a row by its identifier and a digest of its text, be they null or not."""
+    number = F.col(id_col).cast("long")
+    digest = F.coalesce(F.unhex(F.md5(F.col(text_col))), F.lit(b""))
+    return [F.coalesce(number, F.lit(0)).alias("doc"), F.when(number.isNull(), F.concat(digest, F.lit(b"-"))).otherwise(digest).alias("key")]
+
+
+def classify_sets(rows: DataFrame) -> DataFrame:
+    """doc_id, doc, key, n_shingles, class and check (null for an empty set) and cells (the bitmap of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(3).to_pylist()
             for a, b in _blocks(texts):
                 owner, gram = shingle_sets(texts[a:b])
-                n, cls = set_classes(owner, gram, b - a)
-                cells = bitmaps(owner, gram, n)
+                n, cls, check = set_classes(owner, gram, b - a)
                 empty = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array(cells, pa.binary())],
-                    names=["doc_id", "n_shingles", "class", "cells"],
-                )
+                columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array(check, pa.int64(), mask=empty), pa.array(bitmaps(owner, gram, n), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *columns], names=["doc_id", "doc", "key", "n_shingles", "class", "check", "cells"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_shingles long, class long, cells binary")
+    return rows.mapInArrow(run, "doc_id long, doc long, key binary, n_shingles long, class long, check long, cells binary")
 
 
-def signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """sig, class; a task emits a class once."""
+def signature_rows(texts: DataFrame) -> DataFrame:
+    """sig, class of ``texts`` (text and, to be given another class, class); a task emits a class once."""
+    named = "class" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -248,7 +276,9 @@ def signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in _blocks(texts):
                 owner, gram = shingle_sets(texts[a:b])
-                n, cls = set_classes(owner, gram, b - a)
+                n, cls, _ = set_classes(owner, gram, b - a)
+                if named:
+                    cls = batch.column(1).slice(a, b - a).to_numpy()
                 fresh = np.zeros(b - a, dtype=bool)
                 for i, c in enumerate(cls.tolist()):
                     if n[i] and c not in seen:
@@ -260,7 +290,7 @@ def signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 of, sig = signatures(owner[keep], gram[keep], np.where(fresh, n, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(cls[of], pa.int64())], names=["sig", "class"])
 
-    return docs.select(text_col).mapInArrow(run, "sig long, class long")
+    return texts.mapInArrow(run, "sig long, class long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -295,16 +325,15 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(run, "sig long, class long, leader long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``a, b`` of identifiers whose whole texts link."""
+def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets link, compared on the whole texts that stand for them."""
     leaders = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    members = pairs.join(leaders, "a").select(F.col("b").alias("doc"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
-    own = leaders.select(F.col("a").alias("doc"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
-    links = materialize(members.unionByName(own))
+    members = pairs.join(leaders, "a").select(F.col("b").alias("class"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    own = leaders.select(F.col("a").alias("class"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    links = materialize(members.unionByName(own).join(classes.select("class", "doc", "key"), "class"))
     small = links.count() <= MAX_BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(links) if small else links, "doc").select("lead", "salt", "member", "doc", "text")
-    rows = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
+    met = rows.select("doc", "key", "text").join(F.broadcast(links) if small else links, ["doc", "key"]).select("lead", "salt", "member", "class", "text")
+    met = met.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, base = None, np.zeros(0, dtype=np.uint64)
@@ -325,7 +354,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Dat
                             found.append((now, doc[a + i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def _group_starts(table: pa.Table) -> np.ndarray:
@@ -356,14 +385,14 @@ def _matrix(cells: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs ``a, b`` of representatives in one bucket that lie in different components and that their bitmaps allow.
+    """Pairs ``a, b`` of classes in one bucket that lie in different components and that their bitmaps allow.
 
-    ``buckets`` has sig, class, parts, rep, comp, n, cells, firsts. With ``nearest``, of the pairs of a representative and a component in
+    ``buckets`` has sig, class, parts, comp, n, cells, firsts. With ``nearest``, of the pairs of a class and a component in
     two blocks of a bucket only the one with the nearest bitmaps; ``sig`` of further rows, without a pair, names the buckets that have more.
     Rows come sorted, so a task holds the two blocks at hand only."""
 
     def meet(table: pa.Table, more: set[int]) -> list[tuple[int, int]]:
-        sig, rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("sig", "rep", "comp", "n", "block", "lo", "hi"))
+        sig, rep, comp, n, block, lo, hi = (table[c].to_numpy() for c in ("sig", "class", "comp", "n", "block", "lo", "hi"))
         cells, firsts = table["cells"].combine_chunks(), table["firsts"].combine_chunks()
         width = np.diff(np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1])
         out: list[tuple[int, int]] = []
@@ -457,49 +486,75 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
             columns = [[*(p[0] for p in out), *[None] * len(more)], [*(p[1] for p in out), *[None] * len(more)], [*[None] * len(out), *more]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "sig"])
 
-    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "rep", "comp", "n", "cells", F.filter("firsts", lambda x: x < F.col("sig")).alias("firsts")).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
+    rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "class", "comp", "n", "cells", F.filter("firsts", lambda x: x < F.col("sig")).alias("firsts")).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
     return rows.mapInArrow(run, "a long, b long, sig long").distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     bound_batches(docs.sparkSession)
-    sets = materialize(classify_sets(docs, id_col, text_col))
-    classes = sets.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("cells").alias("cells"))
-    buckets = materialize(shared_buckets(signature_rows(docs.where(F.col(id_col).isNotNull()), text_col)))
-    reps = materialize(buckets.select("class").distinct().join(classes, "class"))
+    with Scratch() as scratch:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row_key(id_col, text_col), F.col(text_col).alias("text"))
+        return scratch.result(linked_rows(rows, scratch).select("doc_id", "n_shingles", "component_id"))
+
+
+def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, doc, key, n_shingles, component (null for an empty set) and component_id of ``rows`` (doc_id, doc, key, text); see ``row_key``."""
+    sets = materialize(classify_sets(rows))
+
+    def described() -> DataFrame:
+        lists = [F.min(F.struct("doc", "key")).alias("row"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("cells").alias("cells"), F.min("check").alias("check"), F.max("check").alias("other")]
+        return materialize(sets.where("class is not null").groupBy("class").agg(*lists).select("class", "row.*", "least", "n", "cells", "check", "other"))
+
+    classes = described()
+    emitted = signature_rows(rows.select("text"))
+    twins = classes.where("check <> other").select("class", F.col("check").alias("first"))
+    if not twins.isEmpty():  # different sets with one class: all but the first get a class of their own
+        apart = sets.join(twins, "class", "left").withColumn("own", F.when(F.col("check") != F.col("first"), F.xxhash64("class", "check")))
+        sets = materialize(apart.withColumn("class", F.coalesce("own", "class")).drop("first"))
+        named = sets.where("own is not null").select("doc", "key", "class").distinct()
+        sets = sets.drop("own")
+        classes = described()
+        emitted = emitted.unionByName(signature_rows(rows.join(named, ["doc", "key"]).select("text", "class")))
+    buckets = materialize(shared_buckets(emitted))
+    classes_met = materialize(buckets.select("class").distinct().join(classes.select("class", "doc", "key", "n", "cells"), "class"))
     # a class meets the leader with which it shares most buckets
     star = buckets.where("class <> leader").groupBy("class", "leader").agg(F.count("*").alias("n"))
-    star = star.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    of = reps.select("class", "rep")
-    pairs = star.join(of.select("class", F.col("rep").alias("b")), "class").join(of.select(F.col("class").alias("leader"), F.col("rep").alias("a")), "leader").select("a", "b")
-    pairs = materialize(pairs)
-    links = materialize(verify(pairs, docs, id_col, text_col).distinct())
-    comps = connected_components(links)
+    pairs = materialize(star.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("class").alias("b")))
+    links = materialize(verify(pairs, classes_met, rows))
+    comps = materialize(connected_components(links))
     # what the leaders have not joined: first the nearest pairs, then all that still cross and have not been verified
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for nearest in (True, False):
-        labelled = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).select("class", "rep", "comp", "n", "cells")
+        labelled = classes_met.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).select("class", "comp", "n", "cells")
         members = buckets.select("sig", "class").join(labelled.select("class", "comp", F.length("cells").alias("bytes")), "class")
         parts = F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("bytes") / BUCKET_BYTES)).cast("int")
         mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts.alias("parts")).where("lo <> hi").select("sig", "parts")
-        buckets = materialize(buckets.select("sig", "class").join(mixed, "sig"))
+        met = materialize(buckets.select("sig", "class").join(mixed, "sig"))
+        scratch.drop(buckets)
+        buckets = met
         firsts = buckets.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGNATURES).alias("firsts"))
         found = materialize(crossing_pairs(buckets.join(labelled.join(firsts, "class"), "class"), nearest))
         # only buckets in which the nearest pairs hide others are gone through again
         again = found.where("sig is not null").select("sig")
-        buckets = buckets.join(F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again, "sig", "left_semi")
+        met = materialize(buckets.join(F.broadcast(again) if again.count() <= MAX_BROADCAST_ROWS else again, "sig", "left_semi"))
+        scratch.drop(buckets)
+        buckets = met
         crossing = materialize(found.where("sig is null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if crossing.isEmpty():
             continue
         tried = tried.unionByName(crossing)
-        more = materialize(verify(crossing, docs, id_col, text_col).distinct())
+        more = materialize(verify(crossing, classes_met, rows))
         if not more.isEmpty():
             links = materialize(links.unionByName(more))
-            comps = connected_components(links)
-    named = classes.select("class", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component"))
-    joined = sets.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            comps = materialize(connected_components(links))
+    # the smallest identifier of each component that links formed
+    of = comps.withColumnRenamed("node", "class").join(classes.select("class", "least"), "class")
+    named = of.join(of.groupBy("component").agg(F.min("least").alias("low")), "component").select("class", "component", "low")
+    own = classes.select("class", "least").join(named, "class", "left")
+    own = own.select("class", F.coalesce("component", "class").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"))
+    joined = sets.drop("check", "cells").join(own, "class", "left")
+    return joined.select("doc_id", "doc", "key", "n_shingles", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op9_jaccard_join(docs: DataFrame) -> DataFrame:
