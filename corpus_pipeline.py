@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import byte_bpe, decontamination, jaccard_join, pii, quality_classifier
-from veilmark.llm.common import materialize, table
+from veilmark.llm.common import Scratch, materialize, remove, table
 
-#: Identifiers to drop, eight bytes each, are broadcast up to this number (4 MB with the hash table); more are joined by a shuffle.
-MAX_BROADCAST_IDS = 250_000
+#: Rows to drop, 24 bytes each, are broadcast up to this number (some 10 MB with the hash table); more are joined by a shuffle.
+MAX_BROADCAST_IDS = 150_000
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of doc_id (null too) and text: equal rows have one, other rows differ."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    """``docs`` with ``_row``, which tells rows apart by identifier and text (a digest of 128 bits): equal rows have one."""
+    return docs.withColumn("_row", F.struct(*jaccard_join.row_key()))
 
 
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -36,14 +36,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id (null last) of each group of linked documents, and one row of repeated ones."""
     rows = _numbered(docs)
-    found = materialize(jaccard_join.link_documents(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id"))
-    # only rows of groups of several are looked at again, without their texts
-    groups = found.groupBy("component_id").agg(F.count("*").alias("n"), F.min("_row").alias("lo"), F.max("_row").alias("hi")).where("n > 1")
-    linked = materialize(found.join(groups.where("lo <> hi").select("component_id"), "component_id"))
+    with Scratch() as scratch:
+        linked = jaccard_join.linked_rows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "_row.*", "text"), scratch)
+        found = scratch.result(linked.select("doc_id", F.struct("doc", "key").alias("_row"), "component"))
+    # only groups of several rows are looked at again, without their texts
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    members = linked.distinct().join(rows.select("_row", "doc_id").distinct(), "_row")
-    first = members.groupBy("component_id").agg(F.min(order).alias("first"))
-    kept = _without(rows, members.join(first, "component_id").where("_row <> first._row").select("_row"))
+    groups = found.where("component is not null").groupBy("component").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    kept = _without(rows, found.join(groups, "component").where("_row <> first._row"))
     times = materialize(found.groupBy("_row").count().where("count > 1").select("_row"))
     few = F.broadcast(times) if times.count() <= MAX_BROADCAST_IDS else times
     once = kept.join(few, "_row", "left_semi").dropDuplicates(["_row"])
@@ -86,7 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; what a stage has written besides its result is removed when it ends, its input when the next has ended."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with Scratch() as scratch:
+            docs = scratch.result(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = scratch.kept[1]
     return docs
