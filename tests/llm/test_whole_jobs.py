@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,32 +111,70 @@ def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
             assert together[i] == ("und", 0.0)
 
 
-def test_quality_verdicts_with_exact_quartiles(spark):
+def exact_fence(values, groups, row, n, event):
+    """Fence of a row from exact quantiles: ``groups`` are its group, its language and all, as lists of rows."""
+    at = lambda rows, q: sorted(values[j] for j in rows)[max(math.ceil(q * len(rows)) - 1, 0)]
+    low, mid, high, top = [], [], [], []
+    for out, q in ((low, 0.25), (mid, 0.5), (high, 0.75), (top, 0.9)):
+        own, lang, whole = (at(rows, q) for rows in groups)
+        a, b = (len(rows) / (len(rows) + 200) for rows in groups[:2])
+        out.append(a * own + (1 - a) * (b * lang + (1 - b) * whole))
+    spread = max((high[0] - low[0]) / 1.349, (top[0] - mid[0]) / 1.2816)
+    return high[0] + 4 * math.sqrt(spread**2 + high[0] * event / n + (event / n) ** 2)
+
+
+def test_quality_verdicts_with_exact_quantiles(spark):
     """Groups of every size, down to one row, have fences; sketches of so few rows are exact."""
     rng = random.Random(2)
     rows = []
     for i in range(150):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(60)] + ["#$%"] * rng.choice((0, 0, 0, 1, 2, 40))
-        rows.append((i, " ".join(words), rng.choice(("en", None)), rng.choice(("a", "b", None)) if i else "alone"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)] + ["#$%"] * rng.choice([0] * 20 + [1, 2, 40]) + ["Ab!"] * rng.choice([0] * 20 + [3, 50])
+        lines = " ".join(words) + "\nsame line" * rng.choice([0] * 20 + [1, 2, 30])
+        rows.append((i, lines, rng.choice(("en", None)), rng.choice(("a", "b", None)) if i else "alone", 1.0, "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, symbol_ratio double, n_words string")
     got = {r["doc_id"]: r for r in quality_rules.filter_quality(docs).collect()}
-    metrics = {i: {m: r[m] for m in quality_rules.METRICS} for i, r in got.items()}
-    at = lambda xs, q: sorted(xs)[max(math.ceil(q * len(xs)) - 1, 0)]
-    for i, _, lang, source in rows:
-        own, of_lang = [j for j, _, a, b in rows if (a, b) == (lang, source)], [j for j, _, a, _ in rows if a == lang]
+    shares = {"symbol_ratio": ("n_symbols", "n_words", 1), "dup_line_ratio": ("n_dup_lines", "n_lines", 1), "repeat_ratio": ("n_repeat_words", "n_words", 6), "upper_ratio": ("n_upper", "word_chars", 1), "bang_ratio": ("n_bang", "n_words", 1)}
+    failed = Counter()
+    for i, _, lang, source, *_ in rows:
+        groups = [j for j, _, a, b, *_ in rows if (a, b) == (lang, source)], [j for j, _, a, *_ in rows if a == lang], list(got)
         fits = True
-        for m in quality_rules.METRICS:
-            share = lambda n: n / (n + quality_rules.PRIOR)
-            q = {}
-            for k, x in (("low", 0.25), ("high", 0.75)):
-                all_, l, s = (at([metrics[j][m] for j in js], x) for js in (got, of_lang, own))
-                q[k] = share(len(own)) * s + (1 - share(len(own))) * (share(len(of_lang)) * l + (1 - share(len(of_lang))) * all_)
-            fits &= metrics[i][m] <= q["high"] + max(quality_rules.FENCE * (q["high"] - q["low"]), quality_rules.LEAST_WIDTH[m]) + 1e-12
+        for m, (count, units, event) in shares.items():
+            values = {j: r[count] / max(r[units], 1) for j, r in got.items()}
+            fence = exact_fence(values, groups, i, max(got[i][units], 1), event)
+            assert got[i][f"fence_{m}"] == pytest.approx(fence)
+            failed[m] += values[i] > fence
+            fits &= values[i] <= fence
         assert got[i]["kept"] == (fits and not got[i]["base_failed"]), i
-    assert 0 < sum(not r["kept"] for r in got.values()) < 60
+    assert sum(f > 0 for f in failed.values()) >= 2 and 0 < sum(not r["kept"] for r in got.values()) < 75
     assert quality_rules.filter_quality(docs.drop("lang", "source")).count() == 150
 
 
+def test_quality_verdict_follows_its_group(spark):
+    """One and the same text is junk where no other has symbols, and is kept where many have; so no fixed cutoffs give these verdicts."""
+    rng = random.Random(7)
+    plain = lambda symbols: " ".join([f"w{rng.randrange(10**6)}" for _ in range(100)] + ["|"] * symbols)
+    table = plain(40)
+    rows = [(i, plain(0), "en", "news") for i in range(1000)] + [(1000 + i, plain(rng.randrange(60)), "en", "tables") for i in range(90)]
+    rows += [(5000, table, "en", "news"), (5001, table, "en", "tables"), (5002, table, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality_rules.filter_quality(docs).collect()}
+    assert not got[5000]["kept"] and got[5001]["kept"]
+    assert all(r["kept"] for i, r in got.items() if i < 1000) and sum(r["kept"] for i, r in got.items() if 1000 <= i < 2000) > 70
+
+
+def test_quality_fence_allows_for_a_texts_length(spark):
+    """One repeated line of three fails no short text; the same share of a long text is beyond what chance does."""
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = words(30)
+    rows = [(i, "\n".join(words(20) for _ in range(5)), "en", "a") for i in range(300)]
+    rows += [(1000, f"{line}\n{words(30)}\n{line}", "en", "a"), (1001, "\n".join([words(30) for _ in range(200)] + [line] * 101), "en", "a")]
+    got = {r["doc_id"]: r for r in quality_rules.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000]["dup_line_ratio"] == pytest.approx(got[1001]["dup_line_ratio"], abs=0.01)
+    assert got[1000]["dup_line_ratio"] <= got[1000]["fence_dup_line_ratio"] and got[1001]["dup_line_ratio"] > got[1001]["fence_dup_line_ratio"]
+    assert all(r["kept"] for i, r in got.items() if i < 1000) and not got[1001]["kept"]
+
+
 def test_secrets_and_their_spans(spark):
     """Assigned secrets are seeds; what they teach finds secrets of the same shape under other names; numbers elsewhere stay."""
     rng = random.Random(4)

@@ -1,9 +1,12 @@
 """Quality rules with adaptive thresholds.
 
-Text statistics are computed row by row. Per language and source, mergeable KLL quantile sketches of them give an upper fence
-(third quartile plus a multiple of the interquartile range) instead of a fixed cutoff. A group's quartiles are drawn towards those of
-its language, merged from its groups, and these towards those of all: with ``n`` rows the group counts ``n / (n + PRIOR)``, at every
-size. The fences are joined back and filter.
+Text statistics are computed row by row. Per language and source, mergeable KLL quantile sketches of them give an upper fence instead of
+a fixed cutoff: the third quartile and some standard errors beyond it. The error has two parts. One is the group's own spread, read
+from its sketch as the larger of the interquartile range and the distance from the median to the ninth decile, each in units of a standard deviation;
+the latter tells the spread of statistics that are zero for most texts, and bears up to a tenth of junk. The other is what chance does
+to a share of a text's own length, so that one repeated line fails no short text and a long one is held to its group more closely. A group's
+quantiles are drawn towards those of its language, merged from its groups, and these towards those of all: with ``n`` rows the group counts
+``n / (n + PRIOR)``, at every size. The fences are joined back and filter.
 
 Only DataFrame functions are used. Null texts have no words; null languages and sources, or missing columns, are groups of their own;
 repeated rows each get their row; columns of the input with names of the statistics are replaced.
@@ -11,6 +14,8 @@ repeated rows each get their row; columns of the input with names of the statist
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +24,16 @@ from .common import SPACE_GAP, materialize, split_words
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Rows that the quartiles of the language count for in those of a group, and those of all in those of a language.
 PRIOR = 200
-#: Width of the fence in interquartile ranges, and the least width: a fence never lies nearer to the third quartile.
-FENCE = 6.0
-LEAST_WIDTH = {"symbol_ratio": 0.15, "dup_line_ratio": 0.25, "repeat_ratio": 0.15, "upper_ratio": 0.3, "bang_ratio": 0.15}
-METRICS = list(LEAST_WIDTH)
+#: Standard errors from the third quartile to the fence.
+ERRORS = 4.0
+#: Statistic: its count, the column of which it is a share, and units that a single event marks (a repeated window of three words marks six).
+METRICS = {
+    "symbol_ratio": ("n_symbols", "n_words", 1), "dup_line_ratio": ("n_dup_lines", "n_lines", 1), "repeat_ratio": ("n_repeat_words", "n_words", 6),
+    "upper_ratio": ("n_upper", "word_chars", 1), "bang_ratio": ("n_bang", "n_words", 1),
+}
+#: Quantiles that are read, and how many standard deviations a normal variable has from the first to the third and from the second to the last.
+QUANTILES = {"low": 0.25, "mid": 0.5, "high": 0.75, "top": 0.9}
+NORMAL_QUARTILES, NORMAL_DECILE = 1.349, 1.2816
 SKETCH_K = 200
 
 
@@ -53,39 +64,50 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _units(metric: str) -> Column:
+    return F.greatest(METRICS[metric][1], F.lit(1))
+
+
 def _ratios(stats: DataFrame) -> DataFrame:
-    chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
-    return stats.withColumns({
-        "symbol_ratio": F.col("n_symbols") / words, "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-        "repeat_ratio": F.col("n_repeat_words") / words, "upper_ratio": F.col("n_upper") / chars, "bang_ratio": F.col("n_bang") / words,
-    })
+    return stats.withColumns({m: F.col(count) / _units(m) for m, (count, _, _) in METRICS.items()})
 
 
-def _quartiles(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """keys, n and the quartiles of each metric from its sketch."""
+def _quantiles(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """keys, n and the quantiles of each metric from its sketch."""
     q = lambda m, at: F.kll_sketch_get_quantile_double(F.col(m), F.lit(at))
-    return rows.select(*keys, F.col("n").alias(f"{tag}_n"), *[q(m, at).alias(f"{tag}_{m}_{k}") for m in METRICS for k, at in (("low", 0.25), ("high", 0.75))])
+    return rows.select(*keys, F.col("n").alias(f"{tag}_n"), *[q(m, at).alias(f"{tag}_{m}_{k}") for m in METRICS for k, at in QUANTILES.items()])
+
+
+def group_fences(rows: DataFrame) -> DataFrame:
+    """_lang, _source, and for each metric the third quartile (base) and the spread of the group, drawn towards larger groups."""
+    sketches = [F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]
+    per_source = materialize(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *sketches))
+    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]]
+    by_source, by_lang = _quantiles(per_source, ["_lang", "_source"], "s"), _quantiles(per_source.groupBy("_lang").agg(*merged), ["_lang"], "l")
+    # the groups' quantiles are one small row for each language and source; they are put together before they meet the rows
+    groups = by_source.join(by_lang, "_lang").join(F.broadcast(_quantiles(per_source.agg(*merged), [], "w")))
+    share = lambda tag: F.col(f"{tag}_n") / (F.col(f"{tag}_n") + PRIOR)
+    drawn = lambda tag, own, other: share(tag) * F.col(own) + (1 - share(tag)) * other
+    at = lambda m, k: drawn("s", f"s_{m}_{k}", drawn("l", f"l_{m}_{k}", F.col(f"w_{m}_{k}")))
+    spread = lambda m: F.greatest((at(m, "high") - at(m, "low")) / NORMAL_QUARTILES, (at(m, "top") - at(m, "mid")) / NORMAL_DECILE)
+    return groups.select("_lang", "_source", *[c for m in METRICS for c in (at(m, "high").alias(f"base_{m}"), spread(m).alias(f"spread_{m}"))])
 
 
 def adaptive_verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``stats`` with the fences of each row's group and ``within`` (no metric above its fence)."""
+    """``stats`` with the metrics, the fence of each (``fence_`` and its name) and ``within`` (no metric above its fence)."""
     rows = _ratios(stats)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in stats.columns else F.lit("\x00")
     rows = rows.withColumns({"_lang": key(lang_col), "_source": key(source_col)})
-    per_source = materialize(rows.groupBy("_lang", "_source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]))
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in METRICS]]
-    by_source, by_lang, whole = _quartiles(per_source, ["_lang", "_source"], "s"), _quartiles(per_source.groupBy("_lang").agg(*merged), ["_lang"], "l"), _quartiles(per_source.agg(*merged), [], "w")
-    # the groups' quartiles are one small row for each language and source; they are put together before they meet the rows
-    groups = by_source.join(by_lang, "_lang").join(F.broadcast(whole))
-    share = lambda tag: F.col(f"{tag}_n") / (F.col(f"{tag}_n") + PRIOR)
-    drawn = lambda tag, own, other: share(tag) * F.col(own) + (1 - share(tag)) * other
-    quartile = lambda m, k: drawn("s", f"s_{m}_{k}", drawn("l", f"l_{m}_{k}", F.col(f"w_{m}_{k}")))
-    fences = groups.select("_lang", "_source", *[(quartile(m, "high") + F.greatest(FENCE * (quartile(m, "high") - quartile(m, "low")), F.lit(LEAST_WIDTH[m]))).alias(f"fence_{m}") for m in METRICS])
-    joined = rows.join(fences, ["_lang", "_source"])
-    verdict = F.lit(True)
-    for m in METRICS:
-        verdict = verdict & (F.col(m) <= F.col(f"fence_{m}"))
-    return joined.withColumn("within", verdict).drop("_lang", "_source")
+    joined = rows.join(group_fences(rows), ["_lang", "_source"])
+
+    def fence(m: str) -> Column:
+        event = METRICS[m][2] / _units(m)
+        chance = F.col(f"base_{m}") * event + event * event
+        return F.col(f"base_{m}") + ERRORS * F.sqrt(F.col(f"spread_{m}") * F.col(f"spread_{m}") + chance)
+
+    judged = joined.withColumns({f"fence_{m}": fence(m) for m in METRICS})
+    verdict = reduce(Column.__and__, [F.col(m) <= F.col(f"fence_{m}") for m in METRICS])
+    return judged.withColumn("within", verdict).drop("_lang", "_source", *[f"{x}_{m}" for x in ("base", "spread") for m in METRICS])
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
