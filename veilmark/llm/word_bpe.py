@@ -8,7 +8,7 @@ symbols have changed since is stale and passed over, unless they now make the sa
 strings together with a space between two, as the library does for a vocabulary without a decoder.
 
 Encoding adds ``token_ids`` (array of ints), decoding adds ``decoded``. Null texts are empty and have no tokens; an unknown id decodes to nothing. Repeated rows
-each get their row; input columns named like those that are added are replaced. A task remembers the ids of up to MAX_MEMORY words, which
+each get their row; input columns named like those that are added are replaced. A task remembers the ids of up to MAX_MEMORY words and as many pieces, which
 bounds its memory; ids do not depend on what it remembers.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Words, and pieces, whose ids a worker remembers; beyond it the memory starts anew.
 MAX_MEMORY = 500_000
 #: Characters of texts in a batch that a task hands back.
 OUT_CHARS = 4_000_000
@@ -38,6 +39,7 @@ class Vocabulary:
     """Tokens, merges and special tokens of a file; encodes words and remembers them."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -48,53 +50,72 @@ class Vocabulary:
         self.ids = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: pair of tokens to rank and new token
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: pair of tokens to rank, and the token that the merge of a rank makes
+        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
         special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special = {t: np.int32(i).tobytes() for t, i in special.items()}
         self.find_special = re.compile("(" + "|".join(re.escape(t) for t in sorted(special, key=len, reverse=True)) + ")").split if special else lambda w: [w]
+        self.plain_special = all(t.startswith("<") for t in special)
         names = {i: t for t, i in (self.ids | special).items()}
         self.strings = [names.get(i, "") for i in range(max(names) + 1)]
         self.split = re.compile(SPACE).split
         self.memory: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        # where the file lower-cases and takes what a pattern matches, ASCII words, which are most, are cut without the library
+        steps = told["pre_tokenizer"].get("pretokenizers", [told["pre_tokenizer"]])
+        lowers = [x["type"] for x in told["normalizer"].get("normalizers", [told["normalizer"]])] == ["NFC", "Replace", "Lowercase"]
+        matches = [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+        self.cut_ascii = regex.compile(steps[0]["pattern"]["Regex"]).findall if lowers and matches else None
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece, which has a letter for each of its bytes."""
-        symbols = [self.ids[c] for c in [*piece[:-1], piece[-1:] + self.suffix] if c in self.ids]
+        ids, ranks, made = self.ids, self.ranks, self.made
+        symbols = [ids[c] for c in [*piece[:-1], piece[-1:] + self.suffix] if c in ids]
         end = len(symbols)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        queue: list[tuple[int, int, int]] = []
-
-        def enter(i: int) -> None:
-            found = self.merges.get((symbols[i], symbols[after[i]]))
-            if found:
-                heapq.heappush(queue, (found[0], i, found[1]))
-
-        for i in range(end - 1):
-            enter(i)
+        # a merge that waits is one number: its rank, then its place
+        queue = [r << 32 | i for i in range(end - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        heapq.heapify(queue)
         while queue:
-            _, i, token = heapq.heappop(queue)
+            first = heapq.heappop(queue)
+            token, i = made[first >> 32], first & 0xFFFFFFFF
             j = after[i]
-            if symbols[i] < 0 or j == end or self.merges.get((symbols[i], symbols[j]), (0, -1))[1] != token:
+            if symbols[i] < 0 or j == end:
+                continue
+            rank = ranks.get((symbols[i], symbols[j]))
+            if rank is None or made[rank] != token:
                 continue  # stale
             symbols[i], symbols[j] = token, -1
-            after[i] = after[j]
-            if after[j] < end:
-                before[after[j]] = i
-                enter(i)
-            if before[i] >= 0:
-                enter(before[i])
+            then = after[i] = after[j]
+            if then < end:
+                before[then] = i
+                if (rank := ranks.get((token, symbols[then]))) is not None:
+                    heapq.heappush(queue, rank << 32 | i)
+            h = before[i]
+            if h >= 0 and (rank := ranks.get((symbols[h], token))) is not None:
+                heapq.heappush(queue, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
     def encode_word(self, word: str) -> bytes:
         """Ids of a word without white space, as 32-bit integers."""
-        coded = []
-        for part in self.find_special(word):
+        known, coded = self.known, []
+        for part in self.find_special(word) if "<" in word or not self.plain_special else (word,):
             if part in self.special:
                 coded.append(self.special[part])
                 continue
-            pieces = self.cut(self.normalise(part)) if part else []
-            coded += [np.array(self.encode_piece(p), np.int32).tobytes() for p, _ in pieces]
+            if self.cut_ascii and part.isascii() and part.isprintable():
+                pieces = self.cut_ascii(part.lower())
+            else:
+                pieces = [p for p, _ in self.cut(self.normalise(part))] if part else []
+            for p in pieces:
+                ids = known.get(p)
+                if ids is None:
+                    if len(known) >= MAX_MEMORY:
+                        known.clear()
+                    found = self.encode_piece(p)
+                    ids = known[p] = struct.pack(f"{len(found)}i", *found)
+                coded.append(ids)
         return b"".join(coded)
 
     def encode(self, text: str) -> bytes:
