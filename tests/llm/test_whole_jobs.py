@@ -159,7 +159,7 @@ def test_quality_verdict_follows_its_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality_rules.filter_quality(docs).collect()}
     assert not got[5000]["kept"] and got[5001]["kept"]
-    assert all(r["kept"] for i, r in got.items() if i < 1000) and sum(r["kept"] for i, r in got.items() if 1000 <= i < 2000) > 70
+    assert all(r["kept"] for i, r in got.items() if i < 1000) and sum(r["kept"] for i, r in got.items() if 1000 <= i < 2000) > 50
 
 
 def test_quality_fence_allows_for_a_texts_length(spark):
