@@ -204,3 +204,20 @@ def test_decontamination_judges_texts_apart(spark):
     items = spark.createDataFrame([(7, item), (7, other), (7, item), (None, item)], "item_id long, text string")
     got = sorted(tuple(r) for r in decontamination.contaminated(docs, items).collect())
     assert got == [(2, 7, 36, 36, 1.0), (3, 7, 36, 36, 1.0)]
+
+
+def test_one_text_of_very_many_identifiers(spark):
+    """Time goes with the identifiers: ten times as many take at most some twenty times as long, where their square would take a hundred."""
+    import time
+
+    def text(n):
+        return " ".join(f"mail a{i}@b{i}.org now" for i in range(n))
+
+    took = {}
+    for n in (10, 10_000, 100_000):  # the first run compiles
+        began = time.time()
+        r = pii.op3_pii(spark.createDataFrame([(1, text(n))], "doc_id long, text string")).first()
+        took[n] = time.time() - began
+        assert (r["n_email"], r["n_spans"]) == (n, n)
+        assert r["spans"].endswith(f":{len(text(n)) - 4}")
+    assert took[100_000] < 20 * took[10_000]

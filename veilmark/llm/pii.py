@@ -40,8 +40,8 @@ HEX = r"^(?=[^0-9]*[0-9])(?=[^A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{16,}$"
 MIN_SEEDS, CONFIDENCE = 3, 0.8
 #: Characters before and after a token in which its context words are sought.
 CONTEXT = 64
-#: Matches whose places are summed up together.
-BLOCK = 256
+#: Matches whose places are summed up together, and tokens that are compared with the spans near them together.
+BLOCK, FEW = 256, 64
 #: Patterns and identifiers are broadcast up to so many rows and bytes.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 100_000, 8 << 20
 
@@ -122,25 +122,43 @@ def _shape(value: Column) -> Column:
     return F.when(value.rlike("^[0-9]+$"), digits).when(value.rlike(HEX), letters).otherwise(coarse)
 
 
-def _with_cover(tokens: Column, base: Column) -> Column:
-    """``tokens`` with ``seed``, the first kind of the base spans that overlap each. Only spans near a block of tokens are compared with it."""
-    n = F.size(tokens)
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_blocks(spans: Column) -> Column:
+    """Array of blocks of ``spans``, each with the places from ``start`` to ``end`` that its spans lie in."""
 
     def block(i: Column) -> Column:
-        part = F.slice(tokens, i * BLOCK + 1, F.least(F.lit(BLOCK), n - i * BLOCK))
-        begin, end = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
-        near = F.filter(base, lambda b: (b["start"] < end) & (b["end"] > begin))
-        kind = lambda x, spans: F.array_min(F.transform(F.filter(spans, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), lambda b: b["kind_at"]))
-        # an array of one, so that the spans near the block are found once
-        return F.get(F.transform(F.array(near), lambda spans: F.transform(part, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "before", "after")], kind(x, spans).alias("seed")))), F.lit(0))
+        own = F.slice(spans, i * BLOCK + 1, F.lit(BLOCK))
+        return _once(own, lambda p: F.struct(F.array_min(F.transform(p, lambda x: x["start"])).alias("start"), F.array_max(F.transform(p, lambda x: x["end"])).alias("end"), p.alias("spans")))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), block)
+
+
+def _with_cover(tokens: Column, blocks: Column) -> Column:
+    """``tokens`` with ``seed``, the first kind of the base spans that overlap each.
+
+    A few tokens at a time are compared with the spans near them only, which are sought among the ``blocks`` of spans first."""
+    n = F.size(tokens)
+    overlaps = lambda x, y: (x["start"] < y["end"]) & (x["end"] > y["start"])
+    kind = lambda x, spans: F.array_min(F.transform(F.filter(spans, lambda s: overlaps(s, x)), lambda s: s["kind_at"]))
+
+    def covered(p: Column) -> Column:
+        whole = F.struct(F.get(p, F.lit(0))["start"].alias("start"), F.element_at(p, -1)["end"].alias("end"))
+        near = _once(whole, lambda w: F.filter(F.flatten(F.transform(F.filter(blocks, lambda b: overlaps(b, w)), lambda b: b["spans"])), lambda s: overlaps(s, w)))
+        return _once(near, lambda spans: F.transform(p, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "value", "before", "after")], kind(x, spans).alias("seed"))))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), block)))
+    part = lambda i: _once(F.slice(tokens, i * FEW + 1, F.lit(FEW)), covered)
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / FEW).cast("int")), part)))
 
 
 def _instances(scanned: DataFrame) -> DataFrame:
     """One row per token and pattern: id, key, start, end, pattern, value, seed (kind of the rule that covers it, or null), base (whether
     a base rule does)."""
-    tokens = scanned.select("id", "key", F.explode_outer(_with_cover(F.col("tokens"), F.col("base"))).alias("x")).where("x is not null")
+    rows = scanned.select("id", "key", "tokens", F.when(F.size("base") > 0, _in_blocks(F.col("base"))).otherwise(F.array()).alias("blocks"))
+    tokens = rows.select("id", "key", F.explode_outer(_with_cover(F.col("tokens"), F.col("blocks"))).alias("x")).where("x is not null")
     lead = F.length(F.regexp_extract("x.value", NAME, 0))
     tail = F.length(F.regexp_extract(F.right("x.value", F.lit(CONTEXT)), r"[^\w@+]*$", 0))
     value = F.substring("x.value", lead + 1, F.greatest(F.length("x.value") - lead - tail, F.lit(0)))
