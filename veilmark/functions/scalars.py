@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, pattern: str, ignore_case: bool = True) -> Column:
     """First match or null."""
     return F.regexp_substr(text, F.lit(("(?i)" if ignore_case else "") + pattern))

@@ -1,4 +1,6 @@
-"""Field detection: the universal scan of untyped texts and the cascade of typed documents."""
+"""Field detection: the universal scan of untyped texts and the cascade of typed documents.
+
+A document's fields are an array in its row, found by one projection without joins, shuffles or Python."""
 
 from __future__ import annotations
 
@@ -6,33 +8,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import NAME_BLACKLIST, SKIP_WORDS, UNIVERSAL, default_rules, literal_form, rule_rows
-from ..functions.scalars import after_anchor, first_match, strip, words
-from .fuzzy import fuzzy_match
+from ..functions.scalars import after_anchor, first_match, once, strip, words
+from .fuzzy import best_window
 
-FIELD = "struct<rule_pos:int,field_name:string,weight:int,always_redact:boolean,value:string,confidence:double,method:string>"
+#: A detected field; the words of an approximate match are known, else the last two are null.
+FIELD = "struct<rule_pos:int,field_name:string,weight:int,always_redact:boolean,value:string,confidence:double,method:string,word_start:int,word_count:int>"
+#: Fields that entities of a model fill in texts of unknown type, in order, and their weight (fixed values).
+FREE_ENTITIES, FREE_WEIGHT = ("name", "address"), 5
 #: A rule's outcome on a text: what an early step has settled, what a later one offers, and what an approximate match needs.
 OUTCOME = "struct<rule_pos:int,field_name:string,weight:int,always_redact:boolean,early:struct<value:string,confidence:double,method:string>,later:struct<value:string,confidence:double,method:string>,template:string,threshold:double>"
 
 
-def universal_fields(text: Column) -> Column:
-    """Array of the fields found by the universal patterns, in order; a value counts once, whatever its case."""
-    found = F.array(*[F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0))), _candidate(i, name, w)) for i, (name, w, p) in enumerate(UNIVERSAL)])
-    start = F.array().cast(f"array<{FIELD}>")
+def universal_fields(text: Column, entities: Column | None = None) -> Column:
+    """Array of the fields found by the universal patterns and then by a model's entities, in order; a value counts once, whatever its case.
+
+    A pattern gives its first value that is new, an entity field its best one if that is new."""
+    from .entities import best_entity
+
+    found = [F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0))), _candidate(i, name, w)) for i, (name, w, p) in enumerate(UNIVERSAL)]
+    for i, name in enumerate(FREE_ENTITIES if entities is not None else (), len(UNIVERSAL)):
+        best = F.filter(F.array(best_entity(entities, text, name, [])), lambda e: e.isNotNull())
+        found.append(F.transform(best, _named(i, name)))
 
     def add(out: Column, own: Column) -> Column:
         fresh = F.filter(own, lambda x: ~F.exists(out, lambda y: F.lower(y["value"]) == F.lower(x["value"])))
         return F.concat(out, F.slice(fresh, F.lit(1), F.lit(1)))
 
-    return F.aggregate(found, start, add)
+    return F.aggregate(F.array(*found), F.array().cast(f"array<{FIELD}>"), add)
+
+
+def _field(pos: int, name: str, weight: int, always: bool, value: Column, confidence: Column, method: Column) -> Column:
+    nothing = F.lit(None).cast("int")
+    return F.struct(
+        F.lit(pos).alias("rule_pos"), F.lit(name).alias("field_name"), F.lit(weight).alias("weight"), F.lit(always).alias("always_redact"), value.alias("value"), confidence.cast("double").alias("confidence"), method.alias("method"),
+        nothing.alias("word_start"), nothing.alias("word_count"),
+    ).cast(FIELD)
 
 
 def _candidate(i: int, name: str, weight: int):
-    return lambda v: F.struct(F.lit(i).alias("rule_pos"), F.lit(name).alias("field_name"), F.lit(weight).alias("weight"), F.lit(False).alias("always_redact"), v.alias("value"), F.lit(0.85).cast("double").alias("confidence"), F.lit("regex_fuzzy").alias("method"))
+    return lambda v: _field(i, name, weight, False, v, F.lit(0.85), F.lit("regex_fuzzy"))
+
 
+def _named(i: int, name: str):
+    return lambda e: _field(i, name, FREE_WEIGHT, False, e["value"], e["confidence"], F.lit("ner"))
 
-def universal_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+
+def universal_scan(docs: DataFrame, text_col: str = "text", entities_col: str | None = None) -> DataFrame:
     """``docs`` with ``fields``. A narrow projection without shuffles or Python."""
-    return docs.withColumn("fields", universal_fields(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn("fields", universal_fields(F.coalesce(F.col(text_col), F.lit("")), F.col(entities_col) if entities_col else None))
 
 
 def highlight(text: Column, fields: Column) -> Column:
@@ -155,28 +178,53 @@ def _outcomes(application: str, rows: list[tuple], qr: bool, entities: bool) ->
     return _OUTCOMES[key]
 
 
-def extract_fields(docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True, rules: DataFrame | list[tuple] | None = None, entities_col: str | None = None) -> DataFrame:
-    """Detected fields of classified documents, one row each: the columns of ``docs`` without the text, and
-    rule_pos, field_name, weight, always_redact, value, confidence, method, word_start and word_count (of approximate matches), needs_review.
+def _settled(outcomes: Column, text: Column, fuzzy: bool) -> Column:
+    """The fields that the outcomes of a document's rules come to; only rules that no early step has settled are matched approximately."""
+
+    def settle(o: Column, tokens: Column) -> Column:
+        unsettled = o["early"].isNull() & o["template"].isNotNull()
+        near = F.when(unsettled, best_window(tokens, o["template"], o["threshold"])) if fuzzy else F.lit(None).cast("struct<value:string,confidence:double,word_start:int,word_count:int>")
+
+        def field(n: Column) -> Column:
+            won = F.coalesce(o["early"], _step(n["value"], n["confidence"], "regex_fuzzy"), o["later"])
+            rule = [o[c].alias(c) for c in ("rule_pos", "field_name", "weight", "always_redact")]
+            return once(won, lambda w: F.when(w.isNotNull(), F.struct(*rule, *[w[c].alias(c) for c in ("value", "confidence", "method")], n["word_start"].alias("word_start"), n["word_count"].alias("word_count")).cast(FIELD)))
+
+        return once(near, field)
+
+    return once(F.struct(outcomes.alias("rules"), words(text).alias("tokens")), lambda p: F.filter(F.transform(p["rules"], lambda o: settle(o, p["tokens"])), lambda f: f.isNotNull()))
+
+
+def with_fields(
+    docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True, rules: DataFrame | list[tuple] | None = None, entities_col: str | None = None
+) -> DataFrame:
+    """Classified documents with ``fields``, the array of their detected fields in rule order.
 
     A document meets the rules of its type, which are part of the plan, without a join or shuffle; the first step of the cascade that
-    has a value wins. Only texts of rows that no earlier step has settled go to the approximate step. ``rules`` are those of a user
+    has a value wins. Documents of other types, or none, get what the universal scan finds. ``rules`` are those of a user
     (see ``functions.rules.rule_rows``); ``qr_col`` has the XML of a document's code, ``entities_col`` what a model has found in its text."""
-    others = [c for c in docs.columns if c not in (text_col, qr_col, entities_col)]
     rows = default_rules() if rules is None else rule_rows(rules)
     kinds = list(dict.fromkeys(r[0] for r in rows))
-    text, kind = F.col("_text"), F.col("document_type")
+    kind, text = F.col("document_type"), F.col("_text")
     extra = {"_qr": qr_col, "_entities": entities_col}
-    base = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(n) for n, c in extra.items() if c])
+    base = docs.select("*", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(n) for n, c in extra.items() if c])
     base = base.withColumn("_mrz", F.when(kind == "passport", parse_mrz(text)))
     outcomes = _outcomes(docs.sparkSession.sparkContext.applicationId, rows, qr_col is not None, entities_col is not None)
-    kept = [*others, "rule_pos", "field_name", "weight", "always_redact"]
-    typed = base.select(*others, "_text", F.inline(outcomes))
-    none = F.lit(None).cast("struct<value:string,confidence:double,word_start:int,word_count:int>")
-    unsettled = F.col("early").isNull() & F.col("template").isNotNull()
-    typed = typed.withColumn("_near", fuzzy_match(F.when(unsettled, text), F.col("template"), F.col("threshold")) if fuzzy else none)
-    won = F.coalesce("early", _step(F.col("_near.value"), F.col("_near.confidence"), "regex_fuzzy"), "later")
-    place = lambda c: F.when(F.col("early").isNull(), F.col(f"_near.{c}")).cast("int").alias(c)
-    found = typed.select(*kept, won.alias("_w"), place("word_start"), place("word_count")).where("_w is not null").select(*kept, "_w.*", "word_start", "word_count")
-    unknown = universal_scan(docs.where(~F.coalesce(kind.isin(kinds), F.lit(False))), text_col).select(*others, F.explode("fields").alias("f")).select(*others, "f.*", F.lit(None).cast("int").alias("word_start"), F.lit(None).cast("int").alias("word_count"))
-    return found.unionByName(unknown).withColumn("needs_review", F.col("confidence") < 0.7)
+    typed = F.coalesce(kind.isin(kinds), F.lit(False))
+    fields = F.when(typed, _settled(outcomes, text, fuzzy)).otherwise(universal_fields(text, F.col("_entities") if entities_col else None))
+    # a generator of one row, so that what reads the fields more than once does not find them anew each time
+    return base.select("*", F.explode(F.array(fields)).alias("fields")).drop("_text", "_mrz", "_qr", "_entities")
+
+
+def field_rows(docs: DataFrame, *dropped: str) -> DataFrame:
+    """One row for each of a document's ``fields``: the other columns of ``docs``, those of the field, and needs_review."""
+    others = [c for c in docs.columns if c not in ("fields", *dropped)]
+    return docs.select(*others, F.inline("fields")).withColumn("needs_review", F.col("confidence") < 0.7)
+
+
+def extract_fields(
+    docs: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True, rules: DataFrame | list[tuple] | None = None, entities_col: str | None = None
+) -> DataFrame:
+    """Detected fields of classified documents, one row each: the columns of ``docs`` without the text, and those of ``field_rows``; see ``with_fields``."""
+    found = with_fields(docs, text_col, qr_col, fuzzy, rules, entities_col)
+    return field_rows(found, *[c for c in (text_col, qr_col, entities_col) if c])

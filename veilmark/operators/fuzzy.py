@@ -1,60 +1,88 @@
 """Approximate matches: word windows compared with the literal form of a pattern by the Indel ratio.
 
-Windows have at most five words. The ratio is twice the longest common subsequence over the sum of lengths, a function that Spark
-lacks; it runs in an Arrow UDF, and only on rows that have no exact match."""
+Windows have at most five words. The ratio is 200 times the longest common subsequence over the sum of lengths. Both are folds over
+arrays within Spark: of a text's words only windows that have enough of the template's characters, by sums over their words, are put together and
+compared at all."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalars import words
+from ..functions.scalars import once, words
 
 MAX_WORDS = 5
+#: Characters of a template whose places fit the bits of one number; longer ones take a fold over rows of the table.
+BITS = 62
+MATCH = "struct<value:string,confidence:double,word_start:int,word_count:int>"
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """200 * LCS / (len(a) + len(b)), by bits of one machine word a row."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
+def _chars(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def best_window(text: str | None, template: str, threshold: float) -> tuple[str, float, int, int] | None:
-    """First best window with a ratio strictly above ``threshold``, by number of words, then place: value, confidence, first word, words."""
-    tokens, best, top = (text or "").split(), None, threshold
-    for n in range(1, MAX_WORDS + 1):
-        for i in range(len(tokens) - n + 1):
-            joined = "".join(tokens[i : i + n])
-            if 200.0 * min(len(joined), len(template)) <= top * (len(joined) + len(template)):
-                continue  # the lengths alone rule it out
-            score = indel_ratio(joined, template)
-            if score > top:
-                best, top = (" ".join(tokens[i : i + n]), score / 100, i, n), score
-    return best
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two strings."""
 
+    def by_bits(x: Column, y: Column) -> Column:
+        # bit i of a character's number: it stands at place i of x; a zero in the row: a place that a subsequence uses
+        bits = lambda c: F.aggregate(F.transform(x, lambda d, i: F.when(d == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, v: s + v)
+        places = F.map_from_entries(F.transform(F.array_distinct(x), lambda c: F.struct(c, bits(c))))
+        full = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(x)) - 1
 
-_MATCH = T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("word_start", T.IntegerType()), T.StructField("word_count", T.IntegerType())])
+        def step(row: Column, hit: Column) -> Column:
+            return (row + hit).bitwiseOR(row - hit)
 
+        def fold(s: Column) -> Column:
+            start = s["full"]
+            add = lambda row, c: once(row.bitwiseAND(F.coalesce(F.try_element_at(s["places"], c), F.lit(0).cast("long"))), lambda hit: step(row, hit).bitwiseAND(s["full"]))
+            return F.size(x) - F.bit_count(F.aggregate(y, start, add)).cast("int")
 
-@F.pandas_udf(_MATCH)
-def _fuzzy(text: pd.Series, template: pd.Series, threshold: pd.Series) -> pd.DataFrame:
-    found = [(best_window(t, p, s) if t and p else None) or (None, None, None, None) for t, p, s in zip(text, template, threshold, strict=True)]
-    return pd.DataFrame(found, columns=["value", "confidence", "word_start", "word_count"]).astype({"word_start": "Int32", "word_count": "Int32"})
+        return once(F.struct(places.alias("places"), full.alias("full")), fold)
 
+    def by_rows(x: Column, y: Column) -> Column:
+        zero = F.array_repeat(F.lit(0), F.size(x) + 1)
+        cell = lambda out, row, j, c: F.when(F.get(x, j) == c, F.get(row, j) + 1).otherwise(F.greatest(F.get(row, j + 1), F.element_at(out, -1)))
+        line = lambda row, c: F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.array(F.lit(0)), lambda out, j: F.array_append(out, cell(out, row, j, c)))
+        return F.element_at(F.aggregate(y, zero, line), -1)
 
-#: Marked as not deterministic, so that Spark does not run it once for each of its parts that is read.
-fuzzy_match = _fuzzy.asNondeterministic()
+    def compared(p: Column) -> Column:
+        length = F.when(F.size(p["x"]) <= BITS, by_bits(p["x"], p["y"])).otherwise(by_rows(p["x"], p["y"]))
+        return F.when((F.size(p["x"]) > 0) & (F.size(p["y"]) > 0), length).otherwise(F.lit(0))
+
+    # the template, which is the shorter one mostly, gives the places
+    return once(F.struct(_chars(b).alias("x"), _chars(a).alias("y")), compared)
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """200 * LCS / (length of a + length of b); two empty strings are equal."""
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / F.greatest(total, F.lit(1)))
+
+
+def best_window(tokens: Column, template: Column, threshold: Column) -> Column:
+    """Struct (value, confidence, word_start, word_count) of the window with the best ratio strictly above ``threshold``, the first of equals by
+    number of words, then place; null without one. ``tokens`` are a text's words."""
+    bits = "struct<length:int,hits:int>"
+
+    def sized(w: Column) -> Column:
+        # a word's characters, and those of them that the template has
+        return F.transform(w, lambda x: F.struct(F.length(x).alias("length"), (F.length(x) - F.length(F.call_function("translate", x, template, F.lit("")))).alias("hits")).cast(bits))
+
+    def windows(p: Column, n: int) -> Column:
+        total = lambda i, c: sum((F.get(p["sizes"], i + k)[c] for k in range(1, n)), F.get(p["sizes"], i)[c])
+        starts = F.when(F.size(p["words"]) >= n, F.sequence(F.lit(0), F.greatest(F.size(p["words"]) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        fits = lambda i: F.lit(200.0) * F.least(total(i, "hits"), F.length(template)) > threshold * (total(i, "length") + F.length(template))
+        return F.transform(F.filter(starts, fits), lambda i: F.struct(F.lit(n).alias("n"), i.alias("i")))
+
+    def scored(p: Column) -> Column:
+        joined = lambda x: F.array_join(F.slice(p["words"], x["i"] + 1, x["n"]), "")
+        found = F.transform(F.concat(*[windows(p, n) for n in range(1, MAX_WORDS + 1)]), lambda x: F.struct(indel_ratio(joined(x), template).alias("score"), (-x["n"]).alias("n"), (-x["i"]).alias("i")))
+        return once(F.array_max(F.filter(found, lambda x: x["score"] > threshold)), lambda x: F.when(x.isNotNull(), F.struct(
+            F.array_join(F.slice(p["words"], -x["i"] + 1, -x["n"]), " ").alias("value"), (x["score"] / 100).alias("confidence"), (-x["i"]).alias("word_start"), (-x["n"]).alias("word_count"),
+        ).cast(MATCH)))
+
+    return F.when(F.length(template) > 0, once(F.struct(tokens.alias("words"), sized(tokens).alias("sizes")), scored))
 
 
 def window_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

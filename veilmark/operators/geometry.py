@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import once
+
 BOX = "struct<x:double,y:double,width:double,height:double>"
 
 
@@ -37,28 +39,48 @@ def value_parts(value: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.lower(value))))
 
 
-def value_boxes(words: DataFrame, values: DataFrame, keys: list[str], width: Column | None = None, height: Column | None = None) -> DataFrame:
-    """``values`` (keys, field_name, value, method, by_parts and, for approximate matches, word_start and word_count) with ``bbox``.
-
-    The box is the union of the boxes of a document's words that belong to the value: with ``by_parts`` those that contain a part of
-    it or are contained in one, else those that equal one of its words; an approximate match has the words of its window. A value whose
-    words stand nowhere gets the unit box, a signature its region of the page. The words of a document meet its own values only, in
-    an equi-join on its keys."""
-    clean = F.regexp_replace(F.lower("text"), _GAP, "")
-    placed = words.select(*keys, "pos", clean.alias("_word"), "bbox").where("_word <> ''")
-    wanted = values.where("method <> 'image'").select(
-        *keys, "field_name", "by_parts", "word_start", "word_count", value_parts(F.col("value")).alias("_parts"), F.regexp_extract_all(F.lower("value"), F.lit(_WORD), F.lit(0)).alias("_words"),
-    )
-    near = F.exists("_parts", lambda p: F.contains(p, F.col("_word")) | F.contains(F.col("_word"), p))
-    belongs = F.when(F.col("word_start").isNotNull(), (F.col("pos") >= F.col("word_start")) & (F.col("pos") < F.col("word_start") + F.col("word_count"))).when(F.col("by_parts"), near).otherwise(F.array_contains("_words", F.col("_word")))
-    union = placed.join(wanted, keys).where(belongs).groupBy(*keys, "field_name").agg(
-        F.min("bbox.x").alias("x0"), F.min("bbox.y").alias("y0"), F.max(F.col("bbox.x") + F.col("bbox.width")).alias("x1"), F.max(F.col("bbox.y") + F.col("bbox.height")).alias("y1")
-    )
-    joined = values.join(union, [*keys, "field_name"], "left")
-    found = F.when(F.col("x0").isNotNull(), box(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).otherwise(default_box())
+def layout(tokens: Column) -> Column:
+    """The words of a plain text on a page of ten columns, as an array (pos, text, confidence, bbox)."""
+    place = lambda i, n: box((i % 10) * 80, F.floor(i / 10) * 20, n * 8, F.lit(16))
+    return F.transform(tokens, lambda w, i: F.struct(i.alias("pos"), w.alias("text"), F.lit(1.0).alias("confidence"), place(i, F.length(w)).alias("bbox")))
+
+
+def match_words(page: Column) -> Column:
+    """The words of a ``layout`` as values are matched with them: lower case, without marks; words of marks alone are left out."""
+    plain = F.transform(page, lambda w: F.struct(w["pos"].alias("pos"), F.regexp_replace(F.lower(w["text"]), _GAP, "").alias("word"), w["bbox"].alias("bbox")))
+    return F.filter(plain, lambda w: w["word"] != "")
+
+
+def value_box(page_words: Column, field: Column, by_parts: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Box of a field (value, method, field_name and, for approximate matches, word_start and word_count) among ``match_words``.
+
+    The box is the union of the boxes of the words that belong to the value: with ``by_parts`` those that contain a part of it or are
+    contained in one, else those that equal one of its words; an approximate match has the words of its window. A value whose
+    words stand nowhere gets the unit box, a signature its region of the page."""
+    parts = F.when(by_parts, value_parts(field["value"])).otherwise(F.regexp_extract_all(F.lower(field["value"]), F.lit(_WORD), F.lit(0)))
+    near = lambda w, parts: F.when(by_parts, F.exists(parts, lambda p: F.contains(p, w) | F.contains(w, p))).otherwise(F.array_contains(parts, w))
+    window = lambda w: (w["pos"] >= field["word_start"]) & (w["pos"] < field["word_start"] + field["word_count"])
+    hits = once(parts, lambda parts: F.filter(page_words, lambda w: F.when(field["word_start"].isNotNull(), window(w)).otherwise(near(w["word"], parts))))
+
+    def union(hit: Column) -> Column:
+        edge = lambda pick, c, size=None: pick(F.transform(hit, lambda w: w["bbox"][c] + (w["bbox"][size] if size else 0)))
+        corner = F.struct(edge(F.array_min, "x").alias("x0"), edge(F.array_min, "y").alias("y0"), edge(F.array_max, "x", "width").alias("x1"), edge(F.array_max, "y", "height").alias("y1"))
+        return F.when((F.size(hit) > 0) & (field["method"] != "image"), once(corner, lambda c: box(c["x0"], c["y0"], c["x1"] - c["x0"], c["y1"] - c["y0"]))).otherwise(default_box())
+
+    found = once(hits, union)
     if width is not None and height is not None:
-        found = F.when((F.col("method") == "image") & (F.col("field_name") == "signature"), signature_box(width, height)).otherwise(found)
-    return joined.withColumn("bbox", found).drop("x0", "y0", "x1", "y1")
+        found = F.when((field["method"] == "image") & (field["field_name"] == "signature"), signature_box(width, height)).otherwise(found)
+    return found
+
+
+def boxed(fields: Column, page: Column, typed: Column, names: tuple[str, ...], width: Column | None = None, height: Column | None = None) -> Column:
+    """``fields`` (with the columns ``names``) with ``bbox``; values of typed documents that a pattern or a name rule found are matched with words by parts."""
+
+    def add(f: Column, words: Column) -> Column:
+        b = value_box(words, f, typed & f["method"].isin(*BY_PARTS), width, height)
+        return F.struct(*[f[c].alias(c) for c in names], b.alias("bbox"))
+
+    return once(match_words(page), lambda words: F.transform(fields, lambda f: add(f, words)))
 
 
 def normalise(b: Column, width: Column, height: Column) -> Column:

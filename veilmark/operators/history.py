@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import mask, risk_label
-from .policy import reduction
+from .policy import explanation, reduction
 
 
 def latest(scans: DataFrame) -> DataFrame:
@@ -49,11 +49,6 @@ def with_audit(scans: DataFrame, report_col: str = "report_json") -> DataFrame:
     return scans.where(F.coalesce(F.col(report_col), F.lit("")) != "")
 
 
-def audit_rows(fields: DataFrame) -> DataFrame:
-    """Audited fields: value masked, confidence to two digits."""
-    return fields.withColumns({"masked_value": mask(F.col("value")), "confidence": F.round("confidence", 2)})
-
-
 #: Texts of the compliance notes, by the report's keys; callers replace them by their own wording.
 NOTES = {
     "dpdp_act": "Digital Personal Data Protection Act 2023, Section 6: personal data may be processed for a lawful purpose with consent only. Fields beyond the declared purpose are marked.",
@@ -61,21 +56,21 @@ NOTES = {
 }
 
 
-def audit_report(scans: DataFrame, rows: DataFrame, keys: list[str], notes: dict[str, str] = NOTES) -> DataFrame:
+def audit_report(scans: DataFrame, keys: list[str], notes: dict[str, str] = NOTES) -> DataFrame:
     """One nested report per scan, also as JSON.
 
     ``scans`` has the keys, scan_id, timestamp, filename, document_type, document_type_confidence, declared_context, pei_before,
-    pei_after and redacted_file_path, one row each; ``rows`` are audited fields, listed in rule order. Scans without a field have an empty list."""
-    field = F.struct(
-        "rule_pos", "field_name", F.col("masked_value").alias("detected_value_masked"), F.col("weight").alias("sensitivity_weight"), F.col("method").alias("detection_method"), "confidence", "needs_review", "required",
-        F.col("decision").alias("redaction_decision"), "always_redact", "explanation",
-    )
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("_fields"))
-    names = ["field_name", "detected_value_masked", "sensitivity_weight", "detection_method", "confidence", "needs_review", "required", "redaction_decision", "always_redact", "explanation"]
-    plain = F.transform(F.coalesce("_fields", F.array()), lambda f: F.struct(*[f[n].alias(n) for n in names]))
-    got = scans.join(listed, keys, "left").select(
+    pei_after, redacted_file_path and ``fields``, the array of decided fields in rule order. Scans without a field have an empty list."""
+
+    def told(f: Column) -> Column:
+        return F.struct(
+            f["field_name"].alias("field_name"), mask(f["value"]).alias("detected_value_masked"), f["weight"].alias("sensitivity_weight"), f["method"].alias("detection_method"), F.round(f["confidence"], 2).alias("confidence"),
+            (f["confidence"] < 0.7).alias("needs_review"), f["required"].alias("required"), f["applied"].alias("redaction_decision"), f["always_redact"].alias("always_redact"), explanation(f, F.col("document_type")).alias("explanation"),
+        )
+
+    got = scans.select(
         *keys, "scan_id", "timestamp", "filename", "document_type", F.round("document_type_confidence", 3).alias("document_type_confidence"), "declared_context", F.round("pei_before", 1).alias("pei_before"), F.round("pei_after", 1).alias("pei_after"),
-        plain.alias("fields_detected"), F.struct(*[F.lit(v).alias(k) for k, v in notes.items()]).alias("compliance_notes"), F.coalesce("redacted_file_path", F.lit("")).alias("redacted_file_path"),
+        F.transform("fields", told).alias("fields_detected"), F.struct(*[F.lit(v).alias(k) for k, v in notes.items()]).alias("compliance_notes"), F.coalesce("redacted_file_path", F.lit("")).alias("redacted_file_path"),
     )
     return got.withColumn("report_json", F.to_json(F.struct(*[c for c in got.columns if c not in keys]), {"ignoreNullFields": "false"}))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.scalars import confidence_label, email_local_part, first_match, lookup, mask, mask_display, risk_label, scan_key
+from ..functions.scalars import confidence_label, email_local_part, first_match, lookup, mask, mask_display, once, risk_label, scan_key, words
 from ..operators import classify, detect, entities, fuzzy, geometry, history, policy
 from ..sources import tables as T
 
@@ -46,13 +46,11 @@ def scan_text_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = universal_scan(spark, sf_dir)
-    return T.texts(spark, sf_dir).select("src", "doc_id").join(found, ["src", "doc_id"], "left_semi")
+    return _scanned(spark, sf_dir).where(F.size("fields") > 0).select("src", "doc_id")
 
 
 def docs_without_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = universal_scan(spark, sf_dir)
-    return T.texts(spark, sf_dir).select("src", "doc_id").join(found, ["src", "doc_id"], "left_anti")
+    return _scanned(spark, sf_dir).where(F.size("fields") == 0).select("src", "doc_id")
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,13 +100,34 @@ def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate matches of the Aadhaar, PAN and EPIC templates in all texts and in literal fixtures."""
     fixtures = spark.sql("SELECT * FROM VALUES (-1L, '00000000000'), (-2L, '0000000000000'), (-3L, 'AAA0-97'), (-4L, 'ABCDE1234F'), (-5L, CAST(NULL AS STRING)) AS t(doc_id, text)")
     rows = T.texts(spark, sf_dir).unionByName(fixtures.withColumn("src", F.lit("literal")))
-    tried = F.array(*[F.struct(F.lit(n).alias("field_name"), F.lit(rules.TEMPLATES[p]).alias("template"), F.lit(t).alias("threshold")) for n, p, t in (("aadhaar", rules.AADHAAR, 85.0), ("pan", rules.PAN, 88.0), ("epic", rules.EPIC, 80.0))])
-    rows = rows.select("src", "doc_id", "text", F.inline(tried)).withColumn("best", fuzzy.fuzzy_match("text", "template", "threshold"))
-    return rows.where("best.value is not null").select("src", "doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
+    tried = (("aadhaar", rules.AADHAAR, 85.0), ("pan", rules.PAN, 88.0), ("epic", rules.EPIC, 80.0))
+    near = lambda tokens: F.array(*[F.struct(F.lit(n).alias("field_name"), fuzzy.best_window(tokens, F.lit(rules.TEMPLATES[p]), F.lit(t)).alias("best")) for n, p, t in tried])
+    found = F.filter(once(words(F.coalesce("text", F.lit(""))), near), lambda x: x["best"].isNotNull())
+    return rows.select("src", "doc_id", F.inline(found)).select("src", "doc_id", "field_name", "best.value", F.round("best.confidence", 9).alias("confidence"))
+
+
+def _submitted(fields: Column) -> Column:
+    """Submitted decisions by field, by arithmetic on the key; about a quarter of the fields has none."""
+    k = lambda f: (F.col("doc_id") + F.length(f["field_name"])) % 4
+    given = F.filter(fields, lambda f: k(f) < 3)
+    return F.map_from_entries(F.transform(given, lambda f: F.struct(f["field_name"].alias("key"), F.when(k(f) == 0, "redact").when(k(f) == 1, "mask").otherwise("allow").alias("value"))))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards with the array of their fields, as detected."""
+    return detect.with_fields(_classified(spark, sf_dir).drop("true_type"))
+
+
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards with the array of their fields, as judged for the card's context and as decided."""
+    rows = _found(spark, sf_dir)
+    judged = policy.judged(F.col("fields"), F.col("document_type"), F.col("context"))
+    decided = once(judged, lambda fields: policy.decided(fields, _submitted(fields)))
+    return rows.select(*[c for c in rows.columns if c != "fields"], F.explode(F.array(decided)).alias("fields"))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.extract_fields(_classified(spark, sf_dir).drop("true_type", "type_confidence"))
+    return detect.field_rows(_found(spark, sf_dir), "text", "type_confidence")
 
 
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +135,14 @@ def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.with_necessity(_fields(spark, sf_dir)).withColumn("decision", policy.default_decision())
+    return detect.field_rows(_cards(spark, sf_dir), "text", "type_confidence")
 
 
 def necessity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.necessity(spark)
+    """The rule table, with how many cards of a type come for a purpose that each row judges."""
+    n = _classified(spark, sf_dir).groupBy("document_type", "context").agg(F.count("*").alias("n_cards"))
+    rows = F.broadcast(rules.necessity(spark)).join(n, ["document_type", "context"], "left")
+    return rows.select("document_type", "field_name", "context", "required", F.coalesce("n_cards", F.lit(0)).alias("n_cards"))
 
 
 def necessity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,48 +150,40 @@ def necessity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excess_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _judged(spark, sf_dir).groupBy("doc_id").agg(F.count_if(~F.col("required")).alias("n_excess"), F.count_if("required").alias("n_required"), F.count("*").alias("n_fields"))
+    n = lambda fits: F.size(F.filter("fields", fits)).cast("long")
+    rows = _cards(spark, sf_dir).select("doc_id", n(lambda f: ~f["required"]).alias("n_excess"), n(lambda f: f["required"]).alias("n_required"), F.size("fields").cast("long").alias("n_fields"))
+    return rows.where("n_fields > 0")
 
 
 def default_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).select("doc_id", "field_name", "decision")
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Submitted decisions, by arithmetic on the key; about a quarter of the fields has none."""
-    rows = _fields(spark, sf_dir).select("doc_id", "field_name", ((F.col("doc_id") + F.length("field_name")) % 4).alias("k")).where("k < 3")
-    return rows.select("doc_id", "field_name", F.when(F.col("k") == 0, "redact").when(F.col("k") == 1, "mask").otherwise("allow").alias("decision"))
-
-
-def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.apply_decisions(_judged(spark, sf_dir), _decisions(spark, sf_dir), ["doc_id"])
-
-
 def apply_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decided(spark, sf_dir).select("doc_id", "field_name", "submitted", "applied")
+    return _judged(spark, sf_dir).select("doc_id", "field_name", "submitted", "applied")
 
 
-def _with_all(spark: SparkSession, sf_dir: str, scores: DataFrame, *names: str) -> DataFrame:
-    rows = T.id_cards(spark, sf_dir).select("doc_id", "context").join(scores, "doc_id", "left")
-    return rows.select("doc_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cards(spark, sf_dir).select("doc_id", policy.exposure_of(F.col("fields")).alias("pei_before"), policy.exposure_of(F.col("fields"), policy.exposed).alias("pei_after"))
 
 
 def pei_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_all(spark, sf_dir, policy.exposure(_judged(spark, sf_dir), ["doc_id"], "pei_before"), "pei_before")
+    return _scores(spark, sf_dir).select("doc_id", "pei_before")
 
 
 def pei_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_all(spark, sf_dir, policy.exposure(_decided(spark, sf_dir), ["doc_id"], "pei_after", policy.exposed_after()), "pei_after")
+    return _scores(spark, sf_dir).select("doc_id", "pei_after")
 
 
 def pei_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(*[F.least(F.sum(policy.projected(a)), F.lit(100)).cast("double").alias(n) for n, a in (("pei_projected_required", False), ("pei_projected_decisions", True))])
+    names = (("pei_projected_required", False), ("pei_projected_decisions", True))
+    total = lambda aware: F.aggregate("fields", F.lit(0), lambda s, f: s + policy.projected(aware, f))
+    rows = _cards(spark, sf_dir).where(F.size("fields") > 0)
+    return rows.select("doc_id", *[F.least(total(a), F.lit(100)).cast("double").alias(n) for n, a in names])
 
 
 def pei_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pei_before(spark, sf_dir).join(pei_after(spark, sf_dir), "doc_id")
-    return both.select("doc_id", policy.reduction(F.col("pei_before"), F.col("pei_after")).alias("reduction"))
+    return _scores(spark, sf_dir).select("doc_id", policy.reduction(F.col("pei_before"), F.col("pei_after")).alias("reduction"))
 
 
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +195,7 @@ def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def needs_review_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fields(spark, sf_dir).groupBy("doc_id").agg(F.count_if("needs_review").alias("n_review"))
+    return _found(spark, sf_dir).where(F.size("fields") > 0).select("doc_id", F.size(F.filter("fields", lambda f: f["confidence"] < 0.7)).cast("long").alias("n_review"))
 
 
 def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,15 +203,17 @@ def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.coalesce(F.try_divide(F.sum(F.col("confidence") * F.col("weight")), F.sum("weight")), F.lit(0.0))
-    return _fields(spark, sf_dir).groupBy("doc_id").agg(F.round(score, 9).alias("weighted_confidence"))
+    sums = F.aggregate("fields", F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("w")), lambda s, f: F.struct((s["c"] + f["confidence"] * f["weight"]).alias("c"), (s["w"] + f["weight"]).alias("w")))
+    rows = _found(spark, sf_dir).where(F.size("fields") > 0).select("doc_id", sums.alias("s"))
+    return rows.select("doc_id", F.round(F.coalesce(F.try_divide("s.c", "s.w"), F.lit(0.0)), 9).alias("weighted_confidence"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields with their boxes; values of typed documents found by a pattern or by names are matched with words by parts."""
-    typed = F.col("document_type") != "unknown"
-    values = _decided(spark, sf_dir).select("doc_id", "document_type", "field_name", "value", "method", "applied", "word_start", "word_count", (typed & F.col("method").isin(*geometry.BY_PARTS)).alias("by_parts"))
-    return geometry.value_boxes(geometry.layout_words(T.id_cards(spark, sf_dir)), values, ["doc_id"], F.lit(PAGE[0]), F.lit(PAGE[1]))
+    """Fields with their boxes among the words of their card."""
+    rows = _cards(spark, sf_dir)
+    page = geometry.layout(words(F.coalesce("text", F.lit(""))))
+    fields = geometry.boxed(F.col("fields"), page, F.col("document_type") != "unknown", policy.DECIDED, F.lit(PAGE[0]), F.lit(PAGE[1]))
+    return rows.select("doc_id", "document_type", F.inline(fields))
 
 
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,21 +286,19 @@ def recent_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = latest_scan_version(spark, sf_dir).withColumn("doc_id", F.substring("scan_id", 6, 20).cast("long"))
-    counts = _fields(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_fields"))
+    counts = _found(spark, sf_dir).select("doc_id", F.size("fields").cast("long").alias("n_fields"))
     rows = history.timeline(scans.join(counts, "doc_id", "left"), lookup(F.col("document_type"), rules.DOCUMENT_LABELS), F.coalesce("n_fields", F.lit(0)))
     return rows.select("scan_id", "timestamp", F.col("step").cast("long").alias("step"), "event")
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
-    docs = _classified(spark, sf_dir).select(
+    scans = _cards(spark, sf_dir).select(
         "doc_id", F.concat(F.lit("scan-"), k).alias("scan_id"), F.concat(F.lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0"), F.lit("T00:00:00+00:00")).alias("timestamp"), F.concat(F.lit("File_"), k, F.lit(".png")).alias("filename"),
         "document_type", F.col("type_confidence").alias("document_type_confidence"), F.col("context").alias("declared_context"), F.when(k % 3 == 0, F.concat(F.lit("redacted/"), k, F.lit(".png"))).alias("redacted_file_path"),
+        policy.exposure_of(F.col("fields")).alias("pei_before"), policy.exposure_of(F.col("fields"), policy.exposed).alias("pei_after"), "fields",
     )
-    decided = _decided(spark, sf_dir).drop("decision").withColumnRenamed("applied", "decision").withColumn("explanation", policy.explanation())
-    before, after = policy.exposure(decided, ["doc_id"], "pei_before").drop("n_fields"), policy.exposure(decided, ["doc_id"], "pei_after", policy.exposed_after()).drop("n_fields")
-    scans = docs.join(before, "doc_id", "left").join(after, "doc_id", "left").fillna(0.0, ["pei_before", "pei_after"])
-    return history.audit_report(scans, history.audit_rows(decided), ["doc_id"])
+    return history.audit_report(scans, ["doc_id"])
 
 
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,15 +326,16 @@ def context_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields as they are returned: every second one has lost its box."""
-    rows = _boxes(spark, sf_dir).join(_fields(spark, sf_dir).select("doc_id", "field_name", (F.col("confidence") / 3).alias("confidence")), ["doc_id", "field_name"])
+    rows = _boxes(spark, sf_dir).withColumn("confidence", F.col("confidence") / 3)
     rows = policy.field_response(rows.withColumn("bbox", F.when((F.col("doc_id") + F.length("field_name")) % 2 == 0, F.col("bbox"))))
     return rows.select("doc_id", "field_name", "confidence", "bbox.x", "bbox.y", "bbox.width", "bbox.height")
 
 
 def entity_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entity groups and the fields that they may fill."""
-    pairs = F.array(*[F.struct(F.lit(g).alias("entity_group"), F.lit(f).alias("field_name")) for g, fields in rules.ENTITY_FIELDS.items() for f in fields])
-    return spark.range(1).select(F.inline(pairs))
+    """Entity groups, the fields that they may fill, and how many of the cards' entities may fill each."""
+    fields = F.create_map(*[x for g, own in rules.ENTITY_FIELDS.items() for x in (F.lit(g), F.array(*[F.lit(f) for f in own]))])
+    found = T.id_cards(spark, sf_dir).select(F.inline(_entities())).select("entity_group", F.explode(fields[F.col("entity_group")]).alias("field_name"))
+    return found.groupBy("entity_group", "field_name").agg(F.count("*").alias("n"))
 
 
 def _entities() -> Column:
@@ -350,6 +365,17 @@ def extract_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "field_name", "value", F.round("confidence", 9).alias("confidence"), "method", "required")
 
 
+def unknown_with_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the cards, all taken as texts of unknown type: universal patterns, then a name and an address among a model's entities.
+
+    On every third card the model has named a value that a pattern finds too, which does not count twice."""
+    again = F.struct(F.lit("LOC").alias("entity_group"), F.upper(F.regexp_substr("text", F.lit(rules.DATE))).alias("word"), F.lit(0.9).alias("score"), F.lit(0).alias("start"))
+    model = F.when(F.col("doc_id") % 3 == 0, F.concat(_entities(), F.filter(F.array(again), lambda e: e["word"].isNotNull()))).otherwise(_entities())
+    rows = T.id_cards(spark, sf_dir).select("doc_id", "text", model.alias("entities"))
+    found = detect.universal_scan(rows, entities_col="entities").select("doc_id", F.inline("fields"))
+    return found.select("doc_id", "field_name", "value", F.col("weight").cast("long").alias("weight"), F.round("confidence", 9).alias("confidence"), "method")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of contexts and methods."""
     rows = _fields(spark, sf_dir)
@@ -411,7 +437,7 @@ def queries() -> dict[str, Query]:
         universal_scan, scan_text_pei, scan_text_highlight, docs_with_pii, docs_without_pii, keyword_scores, classify_documents, type_distribution, type_context_rollup, mrz_parse, anchored_regex, keyword_anchor_name, ngram_candidates,
         fuzzy_best, extract_fields, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
         weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
-        drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr,
+        drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, unknown_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr,
     ]
     return {f.__name__: f for f in found}
 

@@ -95,8 +95,10 @@ NECESSITY = "necessity(document_type, field_name, context, required) AS (VALUES
 JUDGED = f"{FIELDS}, {NECESSITY}, judged AS (SELECT f.*, coalesce(n.required, false) AS required, CASE WHEN always_redact THEN 'redact' WHEN coalesce(n.required, false) THEN 'allow' ELSE 'redact' END AS decision FROM fields f LEFT JOIN necessity n USING (document_type, field_name, context))"
 DECIDED = f"{JUDGED}, submitted AS (SELECT doc_id, field_name, CASE (doc_id + length(field_name)) % 4 WHEN 0 THEN 'redact' WHEN 1 THEN 'mask' WHEN 2 THEN 'allow' END AS submitted FROM fields), decided AS (SELECT j.*, s.submitted, CASE WHEN always_redact THEN 'redact' ELSE coalesce(s.submitted, 'allow') END AS applied FROM judged j JOIN submitted s USING (doc_id, field_name))"
 _PENALTY = "CASE WHEN always_redact OR NOT required THEN weight * 10 ELSE weight * 2 END"
-BEFORE = f"before AS (SELECT c.doc_id, coalesce(round(least(100.0::DOUBLE * sum({_PENALTY}) / sum(weight * 10), 100), 1), 0) AS pei_before FROM cards c LEFT JOIN judged j USING (doc_id) GROUP BY c.doc_id)"
-AFTER = f"after_ AS (SELECT c.doc_id, coalesce(round(least(100.0::DOUBLE * sum({_PENALTY}) FILTER (submitted = 'allow' AND NOT always_redact) / sum(weight * 10) FILTER (submitted = 'allow' AND NOT always_redact), 100), 1), 0) AS pei_after FROM cards c LEFT JOIN decided d USING (doc_id) GROUP BY c.doc_id)"
+_SCORE = "CASE WHEN coalesce({1}, 0) = 0 THEN 0 ELSE round(least(100.0::DOUBLE * {0} / {1}, 100), 1) END::DOUBLE"
+_ALL, _SEEN = [[f"sum({x}){f}" for x in (_PENALTY, "weight * 10")] for f in ("", " FILTER (submitted = 'allow' AND NOT always_redact)")]
+BEFORE = f"before AS (SELECT c.doc_id, {_SCORE.format(*_ALL)} AS pei_before FROM cards c LEFT JOIN judged j USING (doc_id) GROUP BY c.doc_id)"
+AFTER = f"after_ AS (SELECT c.doc_id, {_SCORE.format(*_SEEN)} AS pei_after FROM cards c LEFT JOIN decided d USING (doc_id) GROUP BY c.doc_id)"
 _word = r"[\p{L}\p{N}_]+"
 #: A signature's region, and the page, are those of the query.
 BOXES = rf"""{DECIDED}, words AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM cards)),
@@ -162,6 +164,35 @@ def _entities() -> str:
     return f"ent AS ({found}), tries AS ({' UNION ALL '.join(tries)}), best AS (SELECT doc_id, field_name, value, least(confidence, 0.95)::DOUBLE AS confidence FROM tries QUALIFY row_number() OVER (PARTITION BY doc_id, field_name ORDER BY confidence DESC, ord) = 1)"
 
 
+def _approximate() -> str:
+    """Windows with enough of a template's characters, and the longest common subsequence of each with it by the bits of a number."""
+    tried = []
+    for name, pattern, threshold in (("aadhaar", R.AADHAAR, 85.0), ("pan", R.PAN, 88.0), ("epic", R.EPIC, 80.0)):
+        template = R.TEMPLATES[pattern]
+        m, full = len(template), (1 << len(template)) - 1
+        bits = " ".join(f"WHEN {_q(c)} THEN {sum(1 << i for i, d in enumerate(template) if d == c)}" for c in sorted(set(template)))
+        fits = f"200.0 * least(length(c) - length(translate(c, {_q(''.join(sorted(set(template))))}, '')), {m}) > {threshold} * (length(c) + {m})"
+        row = f"list_reduce(list_transform(string_split(c, ''), lambda x: (CASE x {bits} ELSE 0 END)::BIGINT), lambda r, h: ((r + (r & h)) | (r - (r & h))) & {full}, {full}::BIGINT)"
+        tried.append(f"SELECT src, doc_id, {_q(name)} AS field_name, value, n, start, {threshold}::DOUBLE AS threshold, 200.0::DOUBLE * ({m} - bit_count({row})) / (length(c) + {m}) AS score FROM windows WHERE {fits}")
+    fixtures = "SELECT * FROM (VALUES ('literal', -1::BIGINT, '00000000000'), ('literal', -2, '0000000000000'), ('literal', -3, 'AAA0-97'), ('literal', -4, 'ABCDE1234F')) AS t(src, doc_id, text)"
+    return f"""WITH {TEXTS}, all_texts AS (SELECT src, doc_id, text FROM texts UNION ALL {fixtures}), w AS (SELECT src, doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM all_texts),
+windows AS (SELECT *, array_to_string(w[start + 1:start + n], '') AS c, array_to_string(w[start + 1:start + n], ' ') AS value FROM (SELECT src, doc_id, w, n, unnest(range(len(w) - n + 1)) AS start FROM w, unnest([1, 2, 3, 4, 5]) AS t(n) WHERE len(w) >= n)),
+tried AS ({' UNION ALL '.join(tried)}) SELECT src, doc_id, field_name, value, round(score / 100, 9) AS confidence FROM tried WHERE score > threshold QUALIFY row_number() OVER (PARTITION BY src, doc_id, field_name ORDER BY score DESC, n, start) = 1"""
+
+
+def _unknown_entities() -> str:
+    """Universal fields of the cards, then the best person and place among the entities, as far as their values are new."""
+    black = ", ".join(map(_q, R.NAME_BLACKLIST))
+    own = r"list_distinct(regexp_extract_all(lower(word), '\w+'))"
+    person = f"SELECT doc_id, word AS value, least(score * 0.7, 0.95)::DOUBLE AS confidence FROM ent WHERE g = 'PER' AND word IS NOT NULL AND len(list_intersect({own}, [{black}])) / len({own}) <= 0.3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1"
+    places = f"SELECT doc_id, word, score, ord FROM ent WHERE g = 'LOC' AND word IS NOT NULL UNION ALL SELECT doc_id, upper(nullif(regexp_extract(text, {_q(R.DATE)}, 0), '')), 0.9, 9 FROM cards WHERE doc_id % 3 = 0 AND regexp_matches(text, {_q(R.DATE)})"
+    place = f"SELECT doc_id, word AS value, least(score * 0.7, 0.95)::DOUBLE AS confidence FROM ({places}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1"
+    fresh = "NOT EXISTS (SELECT 1 FROM {1} f WHERE f.doc_id = {0}.doc_id AND lower(f.value) = lower({0}.value))"
+    return f"""WITH {CARDS}, {_entities()}, {_universal('cards', 'doc_id')}, person AS ({person}), place AS ({place}), named AS (SELECT doc_id, value FROM found UNION ALL SELECT doc_id, value FROM person)
+SELECT doc_id, field_name, value, weight::BIGINT AS weight, 0.85::DOUBLE AS confidence, 'regex_fuzzy' AS method FROM found UNION ALL SELECT doc_id, 'name', value, 5, round(confidence, 9), 'ner' FROM person WHERE {fresh.format('person', 'found')}
+UNION ALL SELECT doc_id, 'address', value, 5, round(confidence, 9), 'ner' FROM place WHERE {fresh.format('place', 'named')}"""
+
+
 def oracles() -> dict[str, str]:
     out = {}
     for name, p in (("email", R.EMAIL), ("phone", R.PHONE), ("pan", R.PAN), ("aadhaar", R.AADHAAR), ("passport", R.PASSPORT), ("date", R.DATE)):
@@ -185,7 +216,9 @@ def oracles() -> dict[str, str]:
         "keyword_anchor_name": f"WITH {CARDS} SELECT doc_id, {_ner('name', ['name', 'नाम'])} AS name FROM cards",
         "ngram_candidates": f"WITH {TEXTS}, w AS (SELECT src, doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM texts), s AS (SELECT src, doc_id, w, n, unnest(range(len(w) - n + 1)) AS start FROM w, unnest([1, 2, 3, 4, 5]) AS t(n) WHERE len(w) >= n) SELECT src, doc_id, n::BIGINT AS n, start, array_to_string(w[start + 1:start + n], ' ') AS candidate FROM s",
         "extract_fields": f"WITH {FIELDS} SELECT doc_id, document_type, field_name, value, confidence, method, needs_review FROM fields",
-        "necessity_matrix": f"WITH {NECESSITY} SELECT * FROM necessity",
+        "necessity_matrix": f"WITH {CLASSIFIED}, {NECESSITY}, n AS (SELECT document_type, context, count(*) AS n FROM classified GROUP BY ALL) SELECT document_type, field_name, context, required, coalesce(n, 0) AS n_cards FROM necessity LEFT JOIN n USING (document_type, context)",
+        "fuzzy_best": _approximate(),
+        "unknown_with_entities": _unknown_entities(),
         "necessity_lookup": f"WITH {JUDGED} SELECT doc_id, field_name, context, required FROM judged",
         "excess_fields": f"WITH {JUDGED} SELECT doc_id, count(*) FILTER (NOT required) AS n_excess, count(*) FILTER (required) AS n_required, count(*) AS n_fields FROM judged GROUP BY doc_id",
         "default_decisions": f"WITH {JUDGED} SELECT doc_id, field_name, decision FROM judged",
@@ -217,7 +250,7 @@ def oracles() -> dict[str, str]:
         "audit_report": _audit(),
         "audit_present": f"WITH {CARDS} SELECT doc_id, 'scan-' || doc_id AS scan_id FROM cards WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0",
         "context_validation": f"WITH {CARDS}, r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN upper(context) WHEN doc_id % 11 = 0 THEN NULL ELSE context END AS context FROM cards) SELECT doc_id, context, doc_id % 9 <> 0 AND doc_id % 11 <> 0 AS accepted FROM r",
-        "entity_fields": "SELECT * FROM (VALUES " + ", ".join(f"({_q(g)}, {_q(f)})" for g, fields in R.ENTITY_FIELDS.items() for f in fields) + ") AS t(entity_group, field_name)",
+        "entity_fields": f"WITH {CARDS}, {_entities()}, f(g, field_name) AS (VALUES " + ", ".join(f"({_q(g)}, {_q(f)})" for g, fields in R.ENTITY_FIELDS.items() for f in fields) + ") SELECT g AS entity_group, field_name, count(*) AS n FROM ent JOIN f USING (g) WHERE word IS NOT NULL GROUP BY ALL",
         "entity_scores": f"WITH {CARDS}, {_entities()} SELECT doc_id, field_name, value, round(confidence, 9) AS confidence FROM best WHERE field_name <> 'elector'",
         "extract_with_entities": f"WITH {CLASSIFIED}, {_entities()} SELECT c.doc_id, 'name' AS field_name, b.value, round(b.confidence, 9) AS confidence, 'ner' AS method, context = 'kyc_onboarding' AS required FROM classified c JOIN best b ON b.doc_id = c.doc_id AND b.field_name = 'elector' WHERE document_type = 'voter_id' UNION ALL SELECT doc_id, 'card', {_match(R.EPIC)}, 0.95::DOUBLE, 'regex_fuzzy', context = 'kyc_onboarding' FROM classified WHERE document_type = 'voter_id'",
         "labels": f"WITH {FIELDS} SELECT doc_id, field_name, {_case('context', R.CONTEXT_LABELS)} AS context_label, {_case('method', R.METHOD_LABELS)} AS method_label FROM fields",
