@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import rules
 from ..functions.scalars import confidence_label, email_local_part, first_match, lookup, mask, mask_display, once, risk_label, scan_key, words
 from ..operators import classify, detect, entities, fuzzy, geometry, history, policy
 from ..sources import tables as T
+from ..sources.store import ScanStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAGE = (800, 1200)
@@ -411,6 +413,44 @@ def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "field_name", "field_value", F.col("sensitivity_weight").cast("long").alias("sensitivity_weight"), "detection_method", "confidence", F.col("bounding_box.x").cast("long").alias("x"), F.col("bounding_box.y").cast("long").alias("y"), F.col("bounding_box.width").cast("long").alias("width"), "needs_review", "required", "redaction_decision")
 
 
+def _store(spark: SparkSession, sf_dir: str) -> ScanStore:
+    """The cards as stored scans with fields and events; every tenth scan has not been stored. Two updates and a compaction have been made."""
+    store = ScanStore(spark, f"veilmark_{uuid.uuid4().hex[:12]}", buckets=8).create()
+    k = F.substring("scan_id", 6, 20).cast("long")
+    rows = _found(spark, sf_dir).withColumn("scan_id", F.concat(F.lit("scan-"), F.col("doc_id")))
+    scans = rows.select("scan_id", F.concat(F.lit("File_"), "doc_id", F.lit(".png")).alias("filename"), "document_type", F.col("context").alias("declared_context"), (F.col("doc_id") % 101).cast("double").alias("pei_before"))
+    store.insert("scans", scans.where(k % 10 != 9))
+    found = detect.field_rows(rows.select("scan_id", "fields"))
+    store.insert("fields", found.withColumnsRenamed({"value": "field_value", "method": "detection_method", "weight": "sensitivity_weight"}))
+    everyone = scans.select("scan_id")
+    store.update(everyone.where(k % 2 == 0).select("scan_id", (k % 21).cast("double").alias("pei_after"), F.concat(F.lit("redacted/"), k).alias("redacted_file_path")))
+    store.insert("audit_events", everyone.where(k % 2 == 0).withColumn("event_type", F.lit("redacted")))
+    store.update(everyone.where(k % 3 == 0).select("scan_id", F.lit(0.0).alias("pei_after")))
+    store.insert("audit_events", everyone.where(k % 3 == 0).withColumn("event_type", F.lit("cleared")))
+    store.compact()
+    return store
+
+
+def stored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current rows of the stored scans."""
+    return _store(spark, sf_dir).current().select("scan_id", "filename", "pei_before", "pei_after", "redacted_file_path", "version")
+
+
+def stored_scan_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored fields and events of each stored scan, by equi-joins on its key."""
+    store = _store(spark, sf_dir)
+    fields = store.joined("fields").groupBy("scan_id", "document_type").agg(F.count("*").alias("n_fields"), F.sum("sensitivity_weight").alias("weight"))
+    events = store.joined("audit_events").groupBy("scan_id").agg(F.count("*").alias("n_events"))
+    return fields.join(events, "scan_id", "left").select("scan_id", "document_type", "n_fields", "weight", F.coalesce("n_events", F.lit(0)).alias("n_events"))
+
+
+def stored_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored fields and events whose scan is not."""
+    store = _store(spark, sf_dir)
+    fields = store.orphans("fields").select("scan_id", F.lit("field").alias("kind"), F.col("field_name").alias("name"))
+    return fields.unionByName(store.orphans("audit_events").select("scan_id", F.lit("event").alias("kind"), F.col("event_type").alias("name")))
+
+
 def _qr_xml() -> Column:
     k = F.col("doc_id")
     return F.concat(F.lit('<PrintLetterBarcodeData uid="99'), k, F.lit('" name="QR NAME" dob="01/01/2001" house="H'), k, F.lit('" street="" vtc="Town" pc="411001"/>'))
@@ -437,7 +477,7 @@ def queries() -> dict[str, Query]:
         universal_scan, scan_text_pei, scan_text_highlight, docs_with_pii, docs_without_pii, keyword_scores, classify_documents, type_distribution, type_context_rollup, mrz_parse, anchored_regex, keyword_anchor_name, ngram_candidates,
         fuzzy_best, extract_fields, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
         weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
-        drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, unknown_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr,
+        drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, unknown_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr, stored_scans, stored_scan_fields, stored_orphans,
     ]
     return {f.__name__: f for f in found}
 

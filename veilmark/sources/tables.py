@@ -42,12 +42,6 @@ AUDIT_EVENTS = "scan_id string, event_type string, event_data string, timestamp
 STORED = {"scans": SCANS, "fields": FIELDS, "audit_events": AUDIT_EVENTS}
 
 
-def create_tables(spark: SparkSession) -> None:
-    """The stored tables in the session's catalogue, as far as they are missing."""
-    for name, columns in STORED.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
-
-
 _BOX = "struct<x:double,y:double,width:double,height:double>"
 _STORED_FIELD = f"array<struct<field_name:string,field_value:string,sensitivity_weight:int,detection_method:string,confidence:double,bounding_box:{_BOX},needs_review:boolean,always_redact:boolean,explanation:string,required:boolean,redaction_decision:string,bounding_box_pct:{_BOX}>>"
 
