@@ -5,8 +5,9 @@ gives the classes. Shards of a bounded sample of labelled rows are trained in pa
 descent in numpy; the model is the mean of the shards' class scores for each bucket, which is exact as the score is
 linear in the average. Scoring gathers one number for each feature.
 
-``MAX_TRAIN`` bounds the sample (lowest hashes of the identifiers, so it is the same at each run). Null and empty texts
-have no features and get the score of the bias; repeated labels of one document count as one row each; without labels of both
+``MAX_TRAIN`` bounds the sample's rows (lowest hashes of the identifiers, so it is the same at each run). Null and empty texts
+have no features and get the score of the bias; an identifier with several texts, or with both labels, counts with each, and repeated
+rows and labels count once; without labels of both
 classes every score is the share of label 1, or 0.5 with none.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import bound_batches
+from .common import bound_batches, materialize
 
 BITS, ORDERS = 14, (2, 3, 4)
 SIZE = (len(ORDERS) + 1) << BITS
@@ -72,15 +73,17 @@ def train_shard(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray | None, float]:
-    """Fit on at most MAX_TRAIN rows of ``labels`` whose document is in ``docs``."""
+    """Fit on at most MAX_TRAIN labelled rows of ``docs``."""
     rows = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    sample = rows.orderBy(F.xxhash64("id"), "id", "y").limit(MAX_TRAIN)
-    # at most MAX_TRAIN identifiers
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    picked = picked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), F.coalesce("text", F.lit("")).alias("text"), "y", "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    # rows are drawn without their texts; a text that stands several times under one identifier is one row
+    drawn = texts.select("id", "key").join(rows, "id").groupBy("id", "key", "y").agg(F.count("*").alias("n")).orderBy(F.xxhash64("id"), "id", "key", "y").limit(MAX_TRAIN)
+    sample = materialize(drawn.select("id", "key", "y"))
+    picked = texts.join(F.broadcast(sample), ["id", "key"]).dropDuplicates(["id", "key", "y"])
+    picked = picked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("shard"), F.coalesce("text", F.lit("")).alias("text"), "y", "id", "key")
 
     def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("y", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("key", "ascending"), ("y", "ascending")])
         y = table["y"].to_numpy().astype(np.int64)
         one = float(y.mean())
         scores, bias = train_shard(table["text"].to_pylist(), y) if 0 < one < 1 else (np.zeros(SIZE, np.float32), float(np.log((one + 1e-3) / (1 - one + 1e-3))))
