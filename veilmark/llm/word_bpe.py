@@ -59,7 +59,7 @@ class Vocabulary:
         self.plain_special = all(t.startswith("<") for t in special)
         names = {i: t for t, i in (self.ids | special).items()}
         self.strings = [names.get(i, "") for i in range(max(names) + 1)]
-        self.split = re.compile(SPACE).split
+        self.split_space, self.odd = re.compile(SPACE).split, re.compile("[\x1c-\x1f]").search
         self.memory: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         # where the file lower-cases and takes what a pattern matches, ASCII words, which are most, are cut without the library
@@ -71,7 +71,9 @@ class Vocabulary:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece, which has a letter for each of its bytes."""
         ids, ranks, made = self.ids, self.ranks, self.made
-        symbols = [ids[c] for c in [*piece[:-1], piece[-1:] + self.suffix] if c in ids]
+        symbols = [*map(ids.get, piece[:-1]), ids.get(piece[-1:] + self.suffix)]
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
         end = len(symbols)
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         # a merge that waits is one number: its rank, then its place
@@ -118,6 +120,10 @@ class Vocabulary:
                 coded.append(ids)
         return b"".join(coded)
 
+    def split(self, text: str) -> list[str]:
+        # Python's own split takes four more control characters for white space
+        return self.split_space(text) if self.odd(text) else text.split()
+
     def encode(self, text: str) -> bytes:
         memory, coded = self.memory, []
         for word in self.split(text):
