@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back
 
 #: New pieces, and characters of texts, after which a replay begins; they bound what a task holds.
-MAX_NEW, MAX_CHARS = 200_000, 4_000_000
+MAX_NEW, MAX_CHARS = 100_000, 2_000_000
 #: Pieces whose ids a worker remembers; beyond it the memory starts anew.
-MAX_MEMORY = 300_000
+MAX_MEMORY = 200_000
 #: Rank of a pair that no merge makes, and the token beyond either end of a piece.
 NONE = (1 << 31) - 1
 
@@ -204,7 +204,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=[*names, "token_ids"])
         replay.forget()
 
-    return docs.mapInArrow(run, docs.withColumn("token_ids", F.lit(b"")).schema)
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), docs.withColumn("token_ids", F.lit(b"")).schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -228,7 +228,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
                 found = [text(x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*names, "decoded"])
 
-    return rows.mapInArrow(run, rows.withColumn("decoded", F.lit(b"")).schema)
+    return rows.mapInArrow(lambda batches: give_back(run(batches)), rows.withColumn("decoded", F.lit(b"")).schema)
 
 
 def op8_byte_bpe(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +95,20 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back(batches: Iterator) -> Iterator:
+    """What a task in Python yields; at its end the worker, which later stages use again, hands the memory that it has freed back to the machine."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

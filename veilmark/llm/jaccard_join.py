@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, connected_components, materialize
+from .common import Scratch, bound_batches, connected_components, give_back, materialize
 
 SHINGLE = 5
 BLOCK_BYTES = 500_000
@@ -52,7 +52,7 @@ MAX_BROADCAST_ROWS = 250_000
 #: Members that one task verifies against a leader before the leader is copied to another.
 MEMBERS = 500
 #: Classes, and bytes of their bitmaps, of a bucket in one block; larger buckets are cut into blocks that meet two by two.
-BUCKET, BUCKET_BYTES = 12_000, 12 << 20
+BUCKET, BUCKET_BYTES = 12_000, 8 << 20
 #: Parts up to which elements are dealt to parts; beyond it every element is a part.
 MOST_PARTS = 1 << 31
 #: Classes of a bucket up to which the buckets at hand are compared together, and bytes of bitmaps compared at once.
@@ -263,7 +263,7 @@ def classify_sets(rows: DataFrame) -> DataFrame:
                 columns = [pa.array(n, pa.int64()), pa.array(cls, pa.int64(), mask=empty), pa.array(check, pa.int64(), mask=empty), pa.array(bitmaps(owner, gram, n), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), *columns], names=["doc_id", "doc", "key", "n_shingles", "class", "check", "cells"])
 
-    return rows.mapInArrow(run, "doc_id long, doc long, key binary, n_shingles long, class long, check long, cells binary")
+    return rows.mapInArrow(lambda batches: give_back(run(batches)), "doc_id long, doc long, key binary, n_shingles long, class long, check long, cells binary")
 
 
 def signature_rows(texts: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def signature_rows(texts: DataFrame) -> DataFrame:
                 of, sig = signatures(owner[keep], gram[keep], np.where(fresh, n, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(cls[of], pa.int64())], names=["sig", "class"])
 
-    return texts.mapInArrow(run, "sig long, class long")
+    return texts.mapInArrow(lambda batches: give_back(run(batches)), "sig long, class long")
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -322,7 +322,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
                 names=["sig", "class", "leader"],
             )
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(run, "sig long, class long, leader long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "class").mapInArrow(lambda batches: give_back(run(batches)), "sig long, class long, leader long")
 
 
 def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -354,7 +354,7 @@ def verify(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
                             found.append((now, doc[a + i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(lambda batches: give_back(run(batches)), "a long, b long").distinct()
 
 
 def _group_starts(table: pa.Table) -> np.ndarray:
@@ -487,7 +487,7 @@ def crossing_pairs(buckets: DataFrame, nearest: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "sig"])
 
     rows = bucket_blocks(buckets).select("sig", "lo", "hi", "block", "class", "comp", "n", "cells", F.filter("firsts", lambda x: x < F.col("sig")).alias("firsts")).repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n")
-    return rows.mapInArrow(run, "a long, b long, sig long").distinct()
+    return rows.mapInArrow(lambda batches: give_back(run(batches)), "a long, b long, sig long").distinct()
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

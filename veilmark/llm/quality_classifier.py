@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import bound_batches, materialize
+from .common import bound_batches, give_back, materialize
 
 BITS, ORDERS = 14, (2, 3, 4)
 SIZE = (len(ORDERS) + 1) << BITS
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: tuple[np.ndarray | None, float], text_col: s
                     scores[a:b] += total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(scores, -60, 60))))], names=[*names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), docs.withColumn("score", F.lit(0.0)).schema)
 
 
 def op10_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
