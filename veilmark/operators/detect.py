@@ -4,8 +4,10 @@ A document's fields are an array in its row, found by one projection without joi
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.rules import NAME_BLACKLIST, SKIP_WORDS, UNIVERSAL, default_rules, literal_form, rule_rows
 from ..functions.scalars import after_anchor, first_match, once, strip, words
@@ -99,11 +101,11 @@ def _list(anchors: list[str] | Column) -> Column:
     return anchors if isinstance(anchors, Column) else F.array(*[F.lit(a) for a in anchors])
 
 
-def anchored_words(text: Column, field: str, anchors: list[str]) -> Column:
+def anchored_words(text: Column, field: str | Column, anchors: list[str] | Column) -> Column:
     """Up to five words after the first anchor that yields any, without label words."""
     value = lambda a: F.array_join(F.filter(F.slice(words(strip(after_anchor(text, a))), 1, 5), lambda w: ~F.lower(w).isin(SKIP_WORDS)), " ")
-    personal = field in ("name", "father_name")
-    keep = lambda v: (F.coalesce(v, F.lit("")) != "") & (~blacklisted(v) if personal else F.lit(True))
+    personal = (field if isinstance(field, Column) else F.lit(field)).isin("name", "father_name")
+    keep = lambda v: (F.coalesce(v, F.lit("")) != "") & (~personal | ~blacklisted(v))
     return F.get(F.filter(F.transform(_list(anchors), value), keep), F.lit(0))
 
 
@@ -216,6 +218,67 @@ def with_fields(
     return base.select("*", F.explode(F.array(fields)).alias("fields")).drop("_text", "_mrz", "_qr", "_entities")
 
 
+@F.pandas_udf(StringType())
+def _literal_forms(patterns: pd.Series) -> pd.Series:
+    return patterns.map(literal_form, na_action="ignore")
+
+
+#: Columns of a rule in a document's array of rules.
+_RULE = ("rule_pos", "field_name", "weight", "method", "pattern", "template", "threshold", "anchors", "always_redact", "required_in")
+#: Bytes of rule tables that are broadcast; larger ones meet the documents by a shuffle on the type.
+MAX_BROADCAST_BYTES = 8 << 20
+
+
+def rules_by_type(rules: DataFrame) -> DataFrame:
+    """document_type and ``rules``, the array of its rules in order, from a table of any number of rules (``rule_pos`` and ``RULE_COLUMNS``).
+
+    The table is worked on where it is; only distinct patterns go to Python, for their literal forms. Rules without a type fit no document."""
+    forms = rules.where("pattern is not null").select("pattern").distinct().withColumn("template", _literal_forms("pattern"))
+    rows = rules.where("document_type is not null").join(forms, "pattern", "left")
+    return rows.groupBy("document_type").agg(F.array_sort(F.collect_list(F.struct(*_RULE))).alias("rules"))
+
+
+def _applied(r: Column, text: Column, mrz: Column, qr: Column | None, entities: Column | None) -> Column:
+    """What the steps of a rule find in a text; as ``_outcome``, but the rule is a value of the row."""
+    from .entities import best_entity
+
+    field, method, anchors = r["field_name"], r["method"], r["anchors"]
+    named = lambda names, value: F.create_map(*[x for n in names for x in (F.lit(n), value(n))])
+    early, later = [], []
+    if qr is not None:
+        codes = named([*QR_FIELDS, "address"], lambda n: qr_address(qr) if n == "address" else F.xpath_string(qr, F.lit(f"/*/@{QR_FIELDS[n]}")))
+        early.append(F.when(F.contains(method, F.lit("qr_primary")), _step(F.try_element_at(codes, field), 0.98, "qr")))
+    early.append(F.when(F.contains(method, F.lit("mrz_primary")), _step(F.try_element_at(named(MRZ_FIELDS, lambda n: mrz[n]), field), 0.95, "mrz")))
+    has_pattern = F.coalesce(r["pattern"], F.lit("")) != ""
+    pattern = F.concat(F.lit("(?i)"), r["pattern"])
+    early.append(F.when(has_pattern, _step(F.regexp_substr(text, pattern), 0.95, "regex_fuzzy")))
+    later.append(F.when(has_pattern, _step(anchored_match(text, pattern, anchors), 0.82, "regex_fuzzy")))
+    ner = F.contains(method, F.lit("ner"))
+    if entities is not None:
+        later.append(F.when(ner, once(best_entity(entities, text, field, anchors), lambda b: _step(b["value"], b["confidence"], "ner"))))
+    later.append(F.when(ner, _step(anchored_words(text, field, anchors), 0.55, "ner")))
+    later.append(F.when((method == "image") & (field == "signature"), _step(F.lit("SIGNATURE_REGION"), 0.6, "image")))
+    own = [r[c].alias(c) for c in ("rule_pos", "field_name", "weight", "always_redact")]
+    return F.struct(*own, F.coalesce(*early).alias("early"), F.coalesce(*later).alias("later"), F.when(has_pattern, r["template"]).alias("template"), r["threshold"].cast("double").alias("threshold")).cast(OUTCOME)
+
+
+def with_fields_of_rules(docs: DataFrame, rules: DataFrame, text_col: str = "text", qr_col: str | None = None, fuzzy: bool = True, entities_col: str | None = None) -> DataFrame:
+    """As ``with_fields``, with a table of any number of rules that is joined with the documents on their type instead of being part of the plan.
+
+    ``rules``, the array of a document's rules, stays beside ``fields``; ``policy.judged_by`` reads it."""
+    by_type = rules_by_type(rules)
+    size = F.length(F.to_json("rules"))
+    held = by_type.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    by_type = F.broadcast(by_type) if held <= MAX_BROADCAST_BYTES else by_type
+    extra = {"_qr": qr_col, "_entities": entities_col}
+    base = docs.drop("rules").select("*", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(n) for n, c in extra.items() if c]).join(by_type, "document_type", "left")
+    mrz, text = F.when(F.col("document_type") == "passport", parse_mrz(F.col("_text"))), F.col("_text")
+    qr, entities = (F.col(n) if c else None for n, c in extra.items())
+    outcomes = once(mrz, lambda m: F.transform("rules", lambda r: _applied(r, text, m, qr, entities)))
+    fields = F.when(F.col("rules").isNotNull(), _settled(outcomes, text, fuzzy)).otherwise(universal_fields(text, entities))
+    return base.select("*", F.explode(F.array(fields)).alias("fields")).drop("_text", *extra)
+
+
 def field_rows(docs: DataFrame, *dropped: str) -> DataFrame:
     """One row for each of a document's ``fields``: the other columns of ``docs``, those of the field, and needs_review."""
     others = [c for c in docs.columns if c not in ("fields", *dropped)]

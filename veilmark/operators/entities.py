@@ -20,20 +20,27 @@ def entity_groups(field: str) -> list[str]:
     return [group for group, fields in ENTITY_FIELDS.items() if field in fields]
 
 
-def nearness(start: Column, text: Column, anchors: list[str]) -> Column:
+def nearness(start: Column, text: Column, anchors: list[str] | Column) -> Column:
     """1 at the first place of an anchor, falling to 0 at a whole text's length from it, or without an anchor in the text."""
     n = F.length(text)
-    at = F.filter(F.transform(F.array(*[F.lit(a.lower()) for a in anchors]).cast("array<string>"), lambda a: F.instr(F.lower(text), a) - 1), lambda i: i >= 0)
+    lower = F.transform(anchors, F.lower) if isinstance(anchors, Column) else F.array(*[F.lit(a.lower()) for a in anchors]).cast("array<string>")
+    at = F.filter(F.transform(lower, lambda a: F.instr(F.lower(text), a) - 1), lambda i: i >= 0)
     least = F.least(F.array_min(F.transform(at, lambda i: F.abs(start - i))), n)
     return F.greatest(F.lit(0.0), 1 - F.coalesce(least, n) / F.greatest(n, F.lit(1)))
 
 
-def best_entity(entities: Column, text: Column, field: str, anchors: list[str]) -> Column:
+def best_entity(entities: Column, text: Column, field: str | Column, anchors: list[str] | Column) -> Column:
     """Struct (value, confidence) of the best entity for the field, the first of equals; null if none fits."""
-    groups = entity_groups(field)
-    fits = F.filter(entities, lambda e: e["entity_group"].isin(groups))
+    if isinstance(field, Column):
+        fills = F.create_map(*[x for g, own in ENTITY_FIELDS.items() for x in (F.lit(g), F.array(*[F.lit(f) for f in own]))])
+        fits = F.filter(entities, lambda e: F.coalesce(F.array_contains(F.try_element_at(fills, e["entity_group"]), field), F.lit(False)))
+    else:
+        groups = entity_groups(field)
+        fits = F.filter(entities, lambda e: e["entity_group"].isin(groups))
     named = F.transform(fits, lambda e, i: F.struct((e["score"] * SCORE_SHARE + nearness(e["start"], text, anchors) * NEAR_SHARE).alias("confidence"), (-i).alias("order"), strip(e["word"]).alias("value")))
-    if field in ("name", "father_name"):
+    if isinstance(field, Column):
+        named = F.filter(named, lambda e: ~field.isin("name", "father_name") | ~blacklisted(e["value"]))
+    elif field in ("name", "father_name"):
         named = F.filter(named, lambda e: ~blacklisted(e["value"]))
     best = F.array_max(named)
     return F.when(F.coalesce(best["value"], F.lit("")) != "", F.struct(best["value"].alias("value"), F.least(best["confidence"], F.lit(MOST)).alias("confidence")))

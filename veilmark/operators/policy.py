@@ -44,6 +44,16 @@ def judged(fields: Column, document_type: Column, context: Column, rules: DataFr
     return once(requirements(rules), lambda table: F.transform(fields, lambda f: judge(f, table)))
 
 
+def judged_by(fields: Column, rules: Column, context: Column) -> Column:
+    """As ``judged``, by the array of the document's own rules (see ``detect.with_fields_of_rules``)."""
+
+    def judge(f: Column) -> Column:
+        needed = F.exists(F.coalesce(rules, F.array()), lambda r: (r["field_name"] == f["field_name"]) & F.coalesce(F.array_contains(r["required_in"], context), F.lit(False)))
+        return once(needed, lambda r: _with(f, DETECTED, required=r, decision=F.when(f["always_redact"], "redact").when(r, "allow").otherwise("redact")))
+
+    return F.transform(fields, judge)
+
+
 def decided(fields: Column, submitted: Column) -> Column:
     """Judged ``fields`` with the decision that ``submitted`` (a map by field) has for each, and the one applied: a missing one allows, always_redact redacts."""
 

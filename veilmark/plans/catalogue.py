@@ -136,6 +136,13 @@ def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fields(spark, sf_dir).select("doc_id", "document_type", "field_name", "value", "confidence", "method", "needs_review")
 
 
+def extract_by_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the cards by rules that are a table, joined with the cards on their type, and whether the card's context requires each."""
+    rows = detect.with_fields_of_rules(_classified(spark, sf_dir), rules.field_rules(spark))
+    judged = policy.judged_by(F.col("fields"), F.col("rules"), F.col("context"))
+    return rows.select("doc_id", F.inline(judged)).select("doc_id", "field_name", "value", "confidence", "method", "required")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.field_rows(_cards(spark, sf_dir), "text", "type_confidence")
 
@@ -475,7 +482,7 @@ def queries() -> dict[str, Query]:
     found = [_detect(n, p) for n, p in pairs + typed]
     found += [
         universal_scan, scan_text_pei, scan_text_highlight, docs_with_pii, docs_without_pii, keyword_scores, classify_documents, type_distribution, type_context_rollup, mrz_parse, anchored_regex, keyword_anchor_name, ngram_candidates,
-        fuzzy_best, extract_fields, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
+        fuzzy_best, extract_fields, extract_by_rule_table, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
         weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
         drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, unknown_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr, stored_scans, stored_scan_fields, stored_orphans,
     ]

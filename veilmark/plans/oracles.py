@@ -218,6 +218,7 @@ def oracles() -> dict[str, str]:
         "extract_fields": f"WITH {FIELDS} SELECT doc_id, document_type, field_name, value, confidence, method, needs_review FROM fields",
         "necessity_matrix": f"WITH {CLASSIFIED}, {NECESSITY}, n AS (SELECT document_type, context, count(*) AS n FROM classified GROUP BY ALL) SELECT document_type, field_name, context, required, coalesce(n, 0) AS n_cards FROM necessity LEFT JOIN n USING (document_type, context)",
         "fuzzy_best": _approximate(),
+        "extract_by_rule_table": f"WITH {JUDGED} SELECT doc_id, field_name, value, confidence, method, required FROM judged",
         "stored_scans": f"WITH {CARDS} SELECT 'scan-' || doc_id AS scan_id, concat('File_', doc_id, '.png') AS filename, (doc_id % 101)::DOUBLE AS pei_before, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN doc_id % 21 END::DOUBLE AS pei_after, CASE WHEN doc_id % 2 = 0 THEN 'redacted/' || doc_id END AS redacted_file_path, (1 + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT)::BIGINT AS version FROM cards WHERE doc_id % 10 <> 9",
         "stored_scan_fields": f"WITH {FIELDS} SELECT 'scan-' || doc_id AS scan_id, document_type, count(*) AS n_fields, sum(weight)::BIGINT AS weight, ((doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT)::BIGINT AS n_events FROM fields WHERE doc_id % 10 <> 9 GROUP BY doc_id, document_type",
         "stored_orphans": f"WITH {FIELDS}, e AS (SELECT doc_id, 'redacted' AS name FROM cards WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'cleared' FROM cards WHERE doc_id % 3 = 0) SELECT 'scan-' || doc_id AS scan_id, 'field' AS kind, field_name AS name FROM fields WHERE doc_id % 10 = 9 UNION ALL SELECT 'scan-' || doc_id, 'event', name FROM e WHERE doc_id % 10 = 9",
