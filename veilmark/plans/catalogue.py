@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.scalars import confidence_label, email_local_part, first_match, lookup, mask, mask_display, once, risk_label, scan_key, words
 from ..operators import classify, detect, entities, fuzzy, geometry, history, policy
+from ..sources import recognised as R
 from ..sources import tables as T
 from ..sources.store import ScanStore
 
@@ -411,6 +412,51 @@ def word_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.id_cards(spark, sf_dir).select("doc_id").join(means, "doc_id", "left").select("doc_id", F.round(mean, 9).alias("mean_confidence"), ((mean >= 0.72) & (F.coalesce("n", F.lit(0)) >= 5)).alias("good"))
 
 
+def classify_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of all cards and documents by a table of keywords, the default ones and a type for each four houses of the customers, and the default patterns."""
+    houses = T.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("house_"), F.floor(F.col("c_custkey") / 4)).alias("document_type"), (F.col("c_custkey") + 100).cast("int").alias("type_pos"), F.concat(F.lit("House "), "c_custkey", F.lit(" ")).alias("keyword")
+    )
+    keywords = classify.keyword_table(spark).unionByName(houses)
+    rows = classify.classify_by(T.texts(spark, sf_dir), keywords, {t: p for t, (_, p) in rules.KEYWORDS.items()})
+    return rows.select("src", "doc_id", "document_type", F.round("type_confidence", 9).alias("type_confidence"))
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cards with stored output of three engines as JSON, made from their words: one of lines (weak on two cards of three), one of blocks, paragraphs and words of symbols (on some cards without enough words), one of triples (absent on every fifth)."""
+    rows = T.id_cards(spark, sf_dir).select("doc_id", F.transform(words(F.col("text")), lambda w, i: F.struct(i.alias("i"), w.alias("w"))).alias("ws"))
+    line = lambda x: F.format_string(
+        "[[[%d.6,3],[%d,3.4],[%d,15],[%d,14.9]],[%s,%s]]", x["i"] * 10, x["i"] * 10 + 9, x["i"] * 10 + 8, x["i"] * 10, F.to_json(F.array(x["w"])).substr(F.lit(2), F.length(F.to_json(F.array(x["w"]))) - 2),
+        F.when(F.col("doc_id") % 3 == 0, "0.9").otherwise("0.6"),
+    )
+    corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
+    word = lambda x: F.struct(
+        F.transform(F.split(x["w"], ""), lambda s: F.struct(s.alias("text"))).alias("symbols"), ((x["i"] % 10) / 10).alias("confidence"),
+        F.struct(F.array(corner(x["i"] * 8, 2), corner(x["i"] * 8 + 7, 12)).alias("vertices")).alias("bounding_box"),
+    )
+    few = F.when(F.col("doc_id") % 4 == 0, F.slice("ws", 1, 3)).otherwise(F.col("ws"))
+    paragraphs = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda p: F.struct(F.transform(F.filter(few, lambda x: F.floor(x["i"] / 4) == p), word).alias("words")))
+    last = F.struct(F.array(F.struct(F.transform(F.filter(few, lambda x: x["i"] >= 12), word).alias("words"))).alias("paragraphs"))
+    tree = F.struct(F.array(F.struct(F.array(F.struct(paragraphs.alias("paragraphs")), last).alias("blocks"))).alias("pages"))
+    triple = lambda x: F.regexp_replace(line(x), r"\],\[(\".*\",0\.\d)\]\]$", "],$1]")
+    listed = lambda f: F.concat(F.lit("["), F.array_join(F.transform("ws", f), ","), F.lit("]"))
+    return rows.select("doc_id", listed(line).alias("lines"), F.to_json(tree).alias("blocks"), F.when(F.col("doc_id") % 5 != 0, listed(triple)).alias("triples"))
+
+
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of stored lines and blocks, with confidence and box."""
+    rows = _outputs(spark, sf_dir).select("doc_id", F.explode(F.create_map(F.lit("lines"), R.page_of_lines(F.col("lines")), F.lit("blocks"), R.page_of_blocks(F.col("blocks")))).alias("kind", "page"))
+    found = rows.select("doc_id", "kind", F.posexplode("page.words").alias("pos", "w"))
+    return found.select("doc_id", "kind", F.col("pos").cast("long").alias("pos"), "w.text", "w.confidence", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("x", "y", "width", "height")])
+
+
+def recognition_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of the first engine that is good enough; a costlier engine's stored output is looked up for the remainder only."""
+    stored = lambda name: lambda image: F.when(image.isNotNull(), F.col(name))
+    rows = R.recognise(_outputs(spark, sf_dir), "doc_id", stored("lines"), stored("blocks"), stored("triples"))
+    return rows.select("doc_id", F.col("page_engine").cast("long").alias("engine"), F.col("page.n_words").cast("long").alias("n_words"), F.round("page.avg_confidence", 6).alias("avg_confidence"), F.md5("page.text").alias("text_md5"))
+
+
 def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields read from JSON in which keys are missing and boxes have fractions."""
     k = F.col("doc_id")
@@ -485,6 +531,7 @@ def queries() -> dict[str, Query]:
         fuzzy_best, extract_fields, extract_by_rule_table, necessity_matrix, necessity_lookup, excess_fields, default_decisions, apply_decisions, pei_before, pei_after, pei_projected, pei_reduction, explanations, masked_values, needs_review_count, confidence_labels,
         weighted_confidence, bbox_union, bbox_normalise, redaction_boxes, latest_scan_version, scan_list, scan_by_id, history_search, risk_filter, scan_labels, dashboard_totals, top_exposed_fields, recent_scans, scan_timeline, audit_report, qr_xml_address,
         drawable_boxes, audit_present, context_validation, field_responses, entity_fields, entity_scores, extract_with_entities, unknown_with_entities, labels, email_names, scan_keys, word_confidence, stored_fields, extract_with_qr, stored_scans, stored_scan_fields, stored_orphans,
+        classify_by_table, recognised_words, recognition_chain,
     ]
     return {f.__name__: f for f in found}
 

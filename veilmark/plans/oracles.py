@@ -193,6 +193,30 @@ SELECT doc_id, field_name, value, weight::BIGINT AS weight, 0.85::DOUBLE AS conf
 UNION ALL SELECT doc_id, 'address', value, 5, round(confidence, 9), 'ner' FROM place WHERE {fresh.format('place', 'named')}"""
 
 
+def _by_table() -> str:
+    """Each keyword held against each text."""
+    keys = ", ".join(f"({_q(t)}, {i}, {_q(k)})" for i, (t, (ks, _)) in enumerate(R.KEYWORDS.items()) for k in ks)
+    patterns = ", ".join(f"({_q(t)}, {_q(p)})" for t, (_, ps) in R.KEYWORDS.items() for p in ps)
+    return f"""WITH {TEXTS}, pattern(t, p) AS (VALUES {patterns}),
+keyword AS (SELECT * FROM (VALUES {keys}) a(t, pos, k) UNION ALL SELECT concat('house_', c_custkey // 4), c_custkey + 100, concat('house ', c_custkey, ' ') FROM customer),
+total AS (SELECT t, min(pos) AS pos, count(*) + 2 * (SELECT count(*) FROM pattern p WHERE p.t = k.t) AS points FROM keyword k GROUP BY t),
+hit AS (SELECT src, doc_id, t, 1 AS n FROM texts JOIN keyword ON contains(lower(text), k) UNION ALL SELECT src, doc_id, t, 2 FROM texts JOIN pattern ON regexp_matches(text, p, 'i')),
+score AS (SELECT src, doc_id, t, any_value(pos) AS pos, sum(n)::DOUBLE / any_value(points) AS s FROM hit JOIN total USING (t) GROUP BY ALL),
+best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY src, doc_id ORDER BY s DESC, pos, t) = 1)
+SELECT src, doc_id, CASE WHEN s >= {R.MIN_TYPE_SCORE} THEN t ELSE 'unknown' END AS document_type, round(coalesce(s, 0), 9)::DOUBLE AS type_confidence FROM texts LEFT JOIN best USING (src, doc_id)"""
+
+
+#: Words of the engines, from the cards' texts without any JSON between.
+_WORDS = f"""{CARDS}, listed AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM cards),
+word AS (SELECT doc_id, len(ws) AS n, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM listed),
+seen AS (SELECT doc_id, 'lines' AS kind, i AS pos, w AS text, CASE WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, i * 10 AS x, 3 AS y, 9 AS width, 12 AS height FROM word
+  UNION ALL SELECT doc_id, 'blocks', i, w, ((i % 10) / 10)::DOUBLE, i * 8, 2, 7, 10 FROM word WHERE i < 3 OR doc_id % 4 <> 0)"""
+_CHAIN = f"""WITH {_WORDS}, page AS (SELECT doc_id, kind, count(*) AS n, avg(confidence) AS c, string_agg(text, ' ' ORDER BY pos) AS text FROM seen GROUP BY doc_id, kind),
+pick AS (SELECT doc_id, CASE WHEN l.c >= 0.72 AND l.n >= 5 THEN 1 WHEN b.n >= 5 THEN 2 WHEN doc_id % 5 <> 0 THEN 3 ELSE 1 END AS engine, l.n AS ln, l.c AS lc, l.text AS lt, b.n AS bn, b.c AS bc, b.text AS bt
+  FROM (SELECT * FROM page WHERE kind = 'lines') l JOIN (SELECT * FROM page WHERE kind = 'blocks') b USING (doc_id))
+SELECT doc_id, engine::BIGINT AS engine, CASE engine WHEN 2 THEN bn ELSE ln END AS n_words, round(CASE engine WHEN 2 THEN bc ELSE lc END, 6) AS avg_confidence, md5(CASE engine WHEN 2 THEN bt ELSE lt END) AS text_md5 FROM pick"""
+
+
 def oracles() -> dict[str, str]:
     out = {}
     for name, p in (("email", R.EMAIL), ("phone", R.PHONE), ("pan", R.PAN), ("aadhaar", R.AADHAAR), ("passport", R.PASSPORT), ("date", R.DATE)):
@@ -260,6 +284,9 @@ def oracles() -> dict[str, str]:
         "labels": f"WITH {FIELDS} SELECT doc_id, field_name, {_case('context', R.CONTEXT_LABELS)} AS context_label, {_case('method', R.METHOD_LABELS)} AS method_label FROM fields",
         "email_names": f"WITH {TEXTS} SELECT src, doc_id, split_part({_match(R.EMAIL)}, '@', 1) AS name FROM texts WHERE {_match(R.EMAIL)} IS NOT NULL",
         "scan_keys": f"WITH {CARDS} SELECT doc_id, sha256(concat(doc_id, chr(31), text, chr(31), context)) AS scan_key FROM cards",
+        "classify_by_table": _by_table(),
+        "recognised_words": f"WITH {_WORDS} SELECT doc_id, kind, pos, text, confidence, x::BIGINT AS x, y::BIGINT AS y, width::BIGINT AS width, height::BIGINT AS height FROM seen",
+        "recognition_chain": _CHAIN,
         "word_confidence": f"WITH {CARDS}, w AS (SELECT doc_id, unnest(range(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))) AS pos FROM cards WHERE doc_id % 13 <> 0), m AS (SELECT doc_id, avg(0.5 + ((doc_id + pos) % 10) / 20) AS c, count(*) AS n FROM w GROUP BY doc_id) SELECT doc_id, round(coalesce(c, 0), 9)::DOUBLE AS mean_confidence, coalesce(c, 0) >= 0.72 AND coalesce(n, 0) >= 5 AS good FROM cards LEFT JOIN m USING (doc_id)",
         "stored_fields": f"WITH {CARDS} SELECT doc_id, 'name' AS field_name, 'V' || doc_id AS field_value, 1::BIGINT AS sensitivity_weight, 'regex_fuzzy' AS detection_method, ('0.' || (5 + doc_id % 5))::DOUBLE AS confidence, doc_id % 90 AS x, 2::BIGINT AS y, 0::BIGINT AS width, doc_id % 5 < 2 AS needs_review, false AS required, 'redact' AS redaction_decision FROM cards UNION ALL SELECT doc_id, 'dob', '', 1, 'regex_fuzzy', 0, 0, 0, 0, true, false, 'redact' FROM cards",
         "extract_with_qr": f"WITH {FIELDS}, a AS (SELECT *, doc_id % 2 = 0 AND field_name IN ('aadhaar_number', 'name', 'dob', 'address') AS qr FROM fields WHERE document_type = 'aadhaar') SELECT doc_id, field_name, CASE WHEN NOT qr THEN value WHEN field_name = 'aadhaar_number' THEN '99' || doc_id WHEN field_name = 'name' THEN 'QR NAME' WHEN field_name = 'dob' THEN '01/01/2001' ELSE concat('H', doc_id, ', Town, 411001') END AS value, CASE WHEN qr THEN 0.98 ELSE confidence END::DOUBLE AS confidence, CASE WHEN qr THEN 'qr' ELSE method END AS method FROM a",
