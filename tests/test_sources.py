@@ -22,6 +22,25 @@ def test_files_and_uploads(spark, tmp_path):
     assert [(r["label"], r["filename"]) for r in T.uploads(spark, str(folder)).collect()] == [("passport", "b.PNG")]
 
 
+def test_cards_are_dealt_out(spark, tmp_path):
+    """One file of customers, which is one task to read, gives tasks by the number of cards; each customer keeps its card."""
+    folder = f"{tmp_path}/large"
+    spark.range(25_000).selectExpr("if(id < 20000, 7, id) AS c_custkey").coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    cards = T.id_cards(spark, folder)
+    sizes = [r["n"] for r in cards.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(sizes) >= 3 and sum(sizes) == 25_000 and max(sizes) <= T.ROWS_A_TASK
+    assert cards.where("doc_id = 7").count() == 20_000 and cards.select("doc_id").distinct().count() == 5_001
+
+
+def test_later_steps_are_taken_for_unsettled_rules_only(spark):
+    """A step that would fail is not taken for a text whose rule an early step has settled."""
+    fails = F.raise_error(F.concat(F.lit("taken for "), "text")).cast("string")
+    late = lambda text: F.when(text != "late ABC", fails).otherwise("late")
+    one = lambda text: detect._steps([F.lit(0).alias("rule_pos"), F.lit("f").alias("field_name"), F.lit(1).alias("weight"), F.lit(False).alias("always_redact")], [detect._step(detect._first(text, F.lit("ABC 1")), 0.95, "a")], [detect._step(late(text), 0.5, "b")], F.lit(None).cast("string"), F.lit(0.0))
+    rows = spark.createDataFrame([("ABC 1",), ("late ABC",)], "text string").repartition(1).select("text", one(F.col("text")).alias("o"))
+    assert {r["text"]: (r["o"]["early"] and r["o"]["early"]["value"], r["o"]["later"] and r["o"]["later"]["value"]) for r in rows.collect()} == {"ABC 1": ("ABC 1", None), "late ABC": (None, "late")}
+
+
 def test_choice_of_recognition(spark):
     kind = "struct<text:string,avg_confidence:double,n_words:int>"
     good, weak, none = ("good", 0.9, 9), ("weak", 0.5, 9), None

@@ -36,7 +36,7 @@ BY_PARTS = ("regex_fuzzy", "ner")
 def value_parts(value: Column) -> Column:
     """Words of two characters or more of a value, or the stripped value if it has none."""
     parts = F.filter(F.regexp_extract_all(F.lower(value), F.lit(_WORD), F.lit(0)), lambda p: F.length(p) >= 2)
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim(F.lower(value))))
+    return once(parts, lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(F.trim(F.lower(value)))))
 
 
 def layout(tokens: Column) -> Column:

@@ -29,9 +29,8 @@ _PAGE_TREE = f"struct<pages:array<struct<blocks:array<struct<paragraphs:array<st
 def _word(text: Column, confidence: Column, xs: Column, ys: Column) -> Column:
     """A word with the box around its polygon; coordinates are cut to whole pixels."""
     whole = [F.transform(v, lambda p: p.cast("int")) for v in (xs, ys)]
-    low, high = [F.array_min(v) for v in whole], [F.array_max(v) for v in whole]
-    parts = [text, confidence, *low, *[b - a for a, b in zip(low, high, strict=True)]]
-    return F.struct(*[p.alias(n) for p, n in zip(parts, ("text", "confidence", "x", "y", "width", "height"), strict=True)])
+    edges = F.struct(*[edge(v).alias(n) for v, axis in zip(whole, "xy", strict=True) for edge, n in ((F.array_min, axis), (F.array_max, f"{axis}1"))])
+    return once(edges, lambda e: F.struct(text.alias("text"), confidence.alias("confidence"), e["x"].alias("x"), e["y"].alias("y"), (e["x1"] - e["x"]).alias("width"), (e["y1"] - e["y"]).alias("height")))
 
 
 def page(words: Column, text: Column | None = None) -> Column:
@@ -56,8 +55,8 @@ def _lines(lines: Column) -> Column:
     """Page of lines of a polygon, a text and a confidence; a line that cannot be read makes the page null, as if the engine had failed."""
 
     def word(line: Column) -> Column:
-        points = F.from_json(F.get(line, F.lit(0)), "array<array<double>>")
-        return _word(strip(F.get(line, F.lit(1))), F.get(line, F.lit(2)).try_cast("double"), *_each(points, [lambda p: F.get(p, F.lit(0)), lambda p: F.get(p, F.lit(1))]))
+        read = lambda points: _word(strip(F.get(line, F.lit(1))), F.get(line, F.lit(2)).try_cast("double"), *_each(points, [lambda p: F.get(p, F.lit(0)), lambda p: F.get(p, F.lit(1))]))
+        return once(F.from_json(F.get(line, F.lit(0)), "array<array<double>>"), read)
 
     unread = lambda w: w["text"].isNull() | ((w["text"] != "") & (w["confidence"].isNull() | w["width"].isNull() | w["height"].isNull()))
     return page(once(F.transform(lines, word), lambda read: F.when(~F.exists(read, unread), F.filter(read, lambda w: w["text"] != ""))))
@@ -82,8 +81,11 @@ def page_of_blocks(output: Column) -> Column:
     """Page from JSON of pages, blocks, paragraphs, words and symbols, in that order, with the whole text beside them.
 
     Missing levels hold nothing, a missing coordinate or confidence is 0; a word without vertices makes the page null."""
+    return once(F.from_json(output, _PAGE_TREE), _page_of_tree)
+
+
+def _page_of_tree(tree: Column) -> Column:
     some = lambda a, kind: F.coalesce(a, F.array().cast(f"array<{kind}>"))
-    tree = F.from_json(output, _PAGE_TREE)
     blocks = F.flatten(F.transform(some(tree["pages"], _of("pages")), lambda p: some(p["blocks"], _of("blocks"))))
     paragraphs = F.flatten(F.transform(blocks, lambda b: some(b["paragraphs"], _of("paragraphs"))))
     words = F.flatten(F.transform(paragraphs, lambda p: some(p["words"], _WORD_TREE)))
