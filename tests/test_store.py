@@ -2,6 +2,7 @@
 
 import pytest
 
+from veilmark.plans import catalogue
 from veilmark.sources.store import ScanStore
 
 
@@ -62,3 +63,14 @@ def test_bucketed_tables_are_read_without_a_shuffle(spark, store):
             assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_fields_are_detected_for_the_fields_alone(spark, sf_dir, monkeypatch):
+    seen = []
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(ScanStore, "create", lambda self: self)
+    monkeypatch.setattr(ScanStore, "compact", lambda self: None)
+    monkeypatch.setattr(ScanStore, "insert", lambda self, table, rows: seen.append((table, "rule_pos" in plan(rows))))
+    monkeypatch.setattr(ScanStore, "update", lambda self, changes: seen.append(("update", "rule_pos" in plan(changes))))
+    catalogue._store(spark, sf_dir)
+    assert seen == [("scans", False), ("fields", True), ("update", False), ("audit_events", False), ("update", False), ("audit_events", False)]
