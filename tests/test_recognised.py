@@ -76,3 +76,10 @@ def test_fifty_thousand_keywords(spark):
     assert got == {1: ("t7", 0.4), 2: ("two", 1.0), 3: ("unknown", 0.0), 4: ("t2345", 0.2), 5: ("unknown", 0.0)}
     none = classify.classify_by(docs, more.limit(0))
     assert {(r["document_type"], r["type_confidence"]) for r in none.collect()} == {("unknown", 0.0)}
+
+
+def test_numbered_keywords_do_not_share_pieces(spark):
+    """A piece that many keywords are listed under is proposed with all of them for each text that has it."""
+    index = classify.keyword_index(spark.range(30_000).selectExpr("concat('house ', id, ' ') AS keyword"))
+    assert index.count() == 30_000
+    assert index.groupBy("gram").count().agg({"count": "max"}).first()[0] == 1
