@@ -221,3 +221,19 @@ def test_one_text_of_very_many_identifiers(spark):
         assert (r["n_email"], r["n_spans"]) == (n, n)
         assert r["spans"].endswith(f":{len(text(n)) - 4}")
     assert took[100_000] < 20 * took[10_000]
+
+
+def test_components_of_further_edges(spark, monkeypatch):
+    """Components that are known are not gone through again: only edges between them are, once each, and the result is that of all edges."""
+    from veilmark.llm import common
+
+    first = [(0, i) for i in range(1, 300)] + [(1000, i) for i in range(1001, 1300)] + [(2000, 2001)]
+    further = [(i, 1000 + i) for i in range(1, 200)] + [(5, 6), (3000, 2001), (4000, 4001)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = common.connected_components(frame(first)).cache()
+    given = []
+    whole = common.connected_components
+    monkeypatch.setattr(common, "connected_components", lambda edges: given.append(edges.where("a <> b").distinct().count()) or whole(edges))
+    got = common.joined_components(known, frame(further)).collect()
+    assert given == [3]
+    assert sorted(got) == sorted(whole(frame(first + further)).collect())

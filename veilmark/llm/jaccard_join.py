@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, connected_components, give_back, materialize
+from .common import Scratch, bound_batches, connected_components, give_back, joined_components, materialize
 
 SHINGLE = 5
 BLOCK_BYTES = 500_000
@@ -546,8 +546,7 @@ def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
         tried = tried.unionByName(crossing)
         more = materialize(verify(crossing, classes_met, rows))
         if not more.isEmpty():
-            links = materialize(links.unionByName(more))
-            comps = materialize(connected_components(links))
+            comps = materialize(joined_components(comps, more))
     # the smallest identifier of each component that links formed
     of = comps.withColumnRenamed("node", "class").join(classes.select("class", "least"), "class")
     named = of.join(of.groupBy("component").agg(F.min("least").alias("low")), "component").select("class", "component", "low")
