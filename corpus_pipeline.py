@@ -67,7 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN), path)
+    rows = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, decoded=True)
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return rows.select("doc_id", "lang", "source", F.expr("cast(length(token_ids) / 4 as bigint)").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 

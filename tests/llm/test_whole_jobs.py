@@ -237,3 +237,22 @@ def test_components_of_further_edges(spark, monkeypatch):
     got = common.joined_components(known, frame(further)).collect()
     assert given == [3]
     assert sorted(got) == sorted(whole(frame(first + further)).collect())
+
+
+def test_tokens_take_one_python_task(spark, sf_dir, capsys):
+    """The pipeline's last stage encodes and decodes in one Python task, with the ids and bytes that two give; its rows hold numbers of 32 bits."""
+    import public_tokenizers
+
+    import corpus_pipeline
+    from veilmark.llm import byte_bpe
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    corpus_pipeline.tokens(spark, docs, sf_dir).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    one = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
+    two = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    assert one.columns == two.columns and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    replay = byte_bpe.MergeReplay(byte_bpe.load_ranks(path), public_tokenizers.PATTERN)
+    assert replay.look_up(replay.byte_table[:9], replay.byte_table[1:10]).dtype == np.int32

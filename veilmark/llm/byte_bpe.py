@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -56,29 +56,30 @@ class MergeReplay:
 
         self.find = regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.byte_table = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte_table = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         made = sorted((a << 32 | b, i) for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None)
         self.pair_keys = np.array([k for k, _ in made] + [(1 << 63) - 1], dtype=np.int64)
-        self.pair_ranks = np.array([i for _, i in made] + [NONE], dtype=np.int64)
+        self.pair_ranks = np.array([i for _, i in made] + [NONE], dtype=np.int32)
         #: tokens of which some pair has a lower rank than the token itself
         self.uneven = {x for k, i in made for x in (k >> 32, k & NONE) if x > i}
         self.numbers, self.coded = Pieces(), []
 
     def look_up(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         """Ranks of the merges of token pairs, NONE where there is none."""
-        keys = a << 32 | b
+        keys = np.asarray(a, dtype=np.int64) << 32 | b
         at = np.searchsorted(self.pair_keys, keys)
-        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NONE)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], np.int32(NONE))
 
     def replay(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces (of one byte or more) in a row, and how many each has."""
         lengths = np.array([len(r) for r in raw], dtype=np.int64)
         end = int(lengths.sum())
-        of = np.repeat(np.arange(len(raw)), lengths)
+        # numbers of 32 bits: a row is no longer than a text may be, and it is what a task holds most of
+        of = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
         last = np.cumsum(lengths) - 1
         # place ``end`` stands for what lies beyond a piece
-        ids = np.append(self.byte_table[np.frombuffer(b"".join(raw), dtype=np.uint8)], NONE)
-        after, before = np.arange(1, end + 2), np.arange(-1, end)
+        ids = np.append(self.byte_table[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.int32(NONE))
+        after, before = np.arange(1, end + 2, dtype=np.int32), np.arange(-1, end, dtype=np.int32)
         after[last], before[last - lengths + 1], after[end] = end, end, end
         rank = self.look_up(ids, ids[after])
         index: dict[int, list[np.ndarray]] = {}
@@ -97,7 +98,7 @@ class MergeReplay:
                     heapq.heappush(queue, r)
                 index[r].append(places[x:y])
 
-        enter(np.arange(end))
+        enter(np.arange(end, dtype=np.int32))
         while queue:
             r = heapq.heappop(queue)
             found = index.pop(r)
@@ -169,9 +170,25 @@ def _tokens(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``. The vocabulary file is read once by the driver; its size is fixed."""
-    docs = docs.drop("token_ids")
+def _decoder(tokens: list[bytes]) -> Callable[[bytes | None], bytes]:
+    """What gives the bytes that coded ids stand for."""
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def text(coded: bytes | None) -> bytes:
+        ids = np.frombuffer(coded or b"", "<u4")
+        n = lengths[ids]
+        return data[np.arange(int(n.sum())) + np.repeat(starts[ids] - (np.cumsum(n) - n), n)].tobytes()
+
+    return text
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids``. The vocabulary file is read once by the driver; its size is fixed.
+
+    With ``decoded`` the ids are decoded too, as by ``decode``, in the same Python task instead of a second one beside it."""
+    added = ["token_ids", "decoded"] if decoded else ["token_ids"]
+    docs = docs.drop(*added)
     bound_batches(docs.sparkSession)
     shared, at, names = _tokens(docs.sparkSession, path), docs.columns.index(text_col), docs.columns
 
@@ -199,12 +216,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 
     def coded(replay: MergeReplay, held: list[tuple[pa.RecordBatch, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         replay.learn()
+        back = _decoder(shared.value) if decoded else None
         for rows, split in held:
             ids = [b"".join(map(replay.coded.__getitem__, s.tolist())) for s in split]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ids, pa.binary())], names=[*names, "token_ids"])
+            new = [ids, list(map(back, ids))] if back else [ids]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.binary()) for x in new)], names=[*names, *added])
         replay.forget()
 
-    return docs.mapInArrow(lambda batches: give_back(run(batches)), docs.withColumn("token_ids", F.lit(b"")).schema)
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), docs.withColumns({c: F.lit(b"") for c in added}).schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -213,15 +232,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     shared, at, names = _tokens(rows.sparkSession, path), rows.columns.index(ids_col), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        starts, data = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
-
-        def text(coded: bytes | None) -> bytes:
-            ids = np.frombuffer(coded or b"", "<u4")
-            n = lengths[ids]
-            return data[np.arange(int(n.sum())) + np.repeat(starts[ids] - (np.cumsum(n) - n), n)].tobytes()
-
+        text = _decoder(shared.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
