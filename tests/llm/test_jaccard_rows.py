@@ -150,3 +150,31 @@ def test_scratch_tables_are_removed(spark):
     docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string")
     found = jaccard_join.link_documents(docs)
     assert len({p.name for p in folder.glob("*")} - before) == 1 and found.count() == docs.count()
+
+
+def test_buckets_of_the_same_classes_are_gone_through_once(spark, monkeypatch):
+    """Sets that nearly link agree on many signatures; their pairs are compared, and their bitmaps carried, once. Bitmaps lie in one table at a time."""
+    rng, rows = random.Random(8), []
+    for g in range(30):
+        a, b = near(rng, 200, 9)
+        c, d = near(rng, 200, 1)
+        rows += [(4 * g, a), (4 * g + 1, b), (4 * g + 2, c), (4 * g + 3, d)]
+    seen, wide = [], []
+    shared, crossing = jaccard_join.shared_buckets, jaccard_join.crossing_pairs
+
+    def met(emitted):
+        wide.append(sum("cells" in df.columns for df, _ in Scratch.open[-1].tables))
+        return shared(emitted)
+
+    def gone_through(buckets, nearest):
+        members = defaultdict(set)
+        for r in buckets.select("sig", "class").collect():
+            members[r["sig"]].add(r["class"])
+        seen.append(Counter(frozenset(m) for m in members.values()))
+        return crossing(buckets, nearest)
+
+    monkeypatch.setattr(jaccard_join, "shared_buckets", met)
+    monkeypatch.setattr(jaccard_join, "crossing_pairs", gone_through)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.op9_jaccard_join(docs).collect())) == plain_components(rows)
+    assert seen[0] and max(seen[0].values()) == 1 and wide == [1]

@@ -367,6 +367,14 @@ def _group_starts(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """sig and parts of one of the ``buckets`` (sig, parts, size, x, y) of the same classes, that with the smallest sig.
+
+    Sets that nearly link agree on many signatures, so that the same classes meet in many buckets; their pairs are the same in each.
+    Classes are told by their number and 128 bits (x and y)."""
+    return buckets.groupBy("size", "x", "y").agg(F.min("sig").alias("sig"), F.max("parts").alias("parts")).select("sig", "parts")
+
+
 def bucket_blocks(buckets: DataFrame) -> DataFrame:
     """``buckets`` (sig, class, parts and more) with lo, hi and block: which two blocks of its bucket a row meets in a task.
 
@@ -501,6 +509,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, doc, key, n_shingles, component (null for an empty set) and component_id of ``rows`` (doc_id, doc, key, text); see ``row_key``."""
     sets = materialize(classify_sets(rows))
+    wide = [sets]
 
     def described() -> DataFrame:
         lists = [F.min(F.struct("doc", "key")).alias("row"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.max("cells").alias("cells"), F.min("check").alias("check"), F.max("check").alias("other")]
@@ -512,12 +521,20 @@ def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
     if not twins.isEmpty():  # different sets with one class: all but the first get a class of their own
         apart = sets.join(twins, "class", "left").withColumn("own", F.when(F.col("check") != F.col("first"), F.xxhash64("class", "check")))
         sets = materialize(apart.withColumn("class", F.coalesce("own", "class")).drop("first"))
-        named = sets.where("own is not null").select("doc", "key", "class").distinct()
+        wide.append(sets)
+        named = materialize(sets.where("own is not null").select("doc", "key", "class").distinct())
         sets = sets.drop("own")
+        wide.append(classes)
         classes = described()
         emitted = emitted.unionByName(signature_rows(rows.join(named, ["doc", "key"]).select("text", "class")))
+    # bitmaps are kept with the classes only, and then with those that meet others only
+    sets = materialize(sets.drop("check", "cells"))
+    for table in wide:
+        scratch.drop(table)
     buckets = materialize(shared_buckets(emitted))
     classes_met = materialize(buckets.select("class").distinct().join(classes.select("class", "doc", "key", "n", "cells"), "class"))
+    leasts = materialize(classes.select("class", "least"))
+    scratch.drop(classes)
     # a class meets the leader with which it shares most buckets
     star = buckets.where("class <> leader").groupBy("class", "leader").agg(F.count("*").alias("n"))
     pairs = materialize(star.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("a")).select("a", F.col("class").alias("b")))
@@ -529,8 +546,9 @@ def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
         labelled = classes_met.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class")).select("class", "comp", "n", "cells")
         members = buckets.select("sig", "class").join(labelled.select("class", "comp", F.length("cells").alias("bytes")), "class")
         parts = F.ceil(F.greatest(F.count("*") / BUCKET, F.sum("bytes") / BUCKET_BYTES)).cast("int")
-        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts.alias("parts")).where("lo <> hi").select("sig", "parts")
-        met = materialize(buckets.select("sig", "class").join(mixed, "sig"))
+        told = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+        mixed = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), parts.alias("parts"), *told).where("lo <> hi")
+        met = materialize(buckets.select("sig", "class").join(distinct_buckets(mixed), "sig"))
         scratch.drop(buckets)
         buckets = met
         firsts = buckets.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_SIGNATURES).alias("firsts"))
@@ -548,11 +566,11 @@ def linked_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
         if not more.isEmpty():
             comps = materialize(joined_components(comps, more))
     # the smallest identifier of each component that links formed
-    of = comps.withColumnRenamed("node", "class").join(classes.select("class", "least"), "class")
+    of = comps.withColumnRenamed("node", "class").join(leasts, "class")
     named = of.join(of.groupBy("component").agg(F.min("least").alias("low")), "component").select("class", "component", "low")
-    own = classes.select("class", "least").join(named, "class", "left")
+    own = leasts.join(named, "class", "left")
     own = own.select("class", F.coalesce("component", "class").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("low")).alias("least"))
-    joined = sets.drop("check", "cells").join(own, "class", "left")
+    joined = sets.join(own, "class", "left")
     return joined.select("doc_id", "doc", "key", "n_shingles", "component", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
