@@ -74,3 +74,13 @@ def test_fields_are_detected_for_the_fields_alone(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(ScanStore, "update", lambda self, changes: seen.append(("update", "rule_pos" in plan(changes))))
     catalogue._store(spark, sf_dir)
     assert seen == [("scans", False), ("fields", True), ("update", False), ("audit_events", False), ("update", False), ("audit_events", False)]
+
+
+def test_buckets_grow_with_the_cards(spark, sf_dir, monkeypatch):
+    """A bucket is written by one task, so that it holds a bounded number of cards."""
+    monkeypatch.setattr(catalogue, "CARDS_A_BUCKET", 10, raising=False)
+    store = catalogue._store(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert store.buckets == -(-n // 10) > 8
+    assert store.table("fields").select("scan_id").distinct().count() == n
+    store.drop()
