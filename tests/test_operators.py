@@ -72,6 +72,25 @@ def test_best_windows(spark):
     assert none["x"] is None and none["y"] is None
 
 
+def test_windows(spark):
+    """Every window once, whatever the number of words is beside a block's."""
+    texts = [None, "", " \n ", "a", "a a a a a a a", " é\tb  c\n"] + [" ".join(f"w{i % 7}" for i in range(k * fuzzy.BLOCK + m)) for k in (1, 2, 5) for m in (-1, 0, 1, 3, 4, 5)]
+    got = fuzzy.window_candidates(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()
+    parts = [(d, (t or "").split()) for d, t in enumerate(texts)]
+    want = [(d, n, i, " ".join(w[i : i + n])) for d, w in parts for n in range(1, fuzzy.MAX_WORDS + 1) for i in range(len(w) - n + 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_windows_are_written_small(spark, sf_dir, tmp_path):
+    """The rows are as many as the contract asks for, but their order takes a third off the files that hold them by number of words, then place."""
+    rows = fuzzy.window_candidates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    size = {}
+    for name, df in (("as listed", rows), ("by n", rows.sortWithinPartitions("doc_id", "n", "start"))):
+        df.write.option("compression", "snappy").parquet(str(tmp_path / name))
+        size[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    assert size["as listed"] < 0.75 * size["by n"]
+
+
 def test_extraction_is_one_projection(spark):
     """Fields, scores and boxes of a document need no shuffle, no join and no Python."""
     rows = spark.range(10).selectExpr("id AS doc_id", "'pan' AS document_type", "'kyc_onboarding' AS context", "concat('PAN ABCDE1234', id) AS text")
